@@ -11,6 +11,7 @@ from landsieve import constants as K
 from landsieve.functions import geometry as G
 from landsieve.operators.joins import small_side
 from landsieve.operators.spatial import overlap_join
+from landsieve.session import materialize
 
 EXCLUSIONS = ["excl_min_acres", "excl_sfha", "excl_slope", "excl_zoning", "excl_optional"]
 
@@ -245,7 +246,9 @@ def batch_score(parcels: DataFrame, requests: DataFrame, cell: float, exact: boo
     page bound (largest offset + limit asked for) is a literal in the rank
     filter, so each task keeps only that many rows per request before the
     shuffle and a request that covers everything does not fill one task.
+    Requests are written once first, as several steps read them.
     """
+    requests = materialize(requests, "requests")
     reach = requests.agg(F.max(F.col("offset") + F.col("limit"))).first()[0]
     req_cols = [c for c in requests.columns if c not in ("edges", "anchors")]
     need = ["id", "bbox", *dict.fromkeys(["acres", "sfha_flag", "mean_slope_pct", "zoning_class",
