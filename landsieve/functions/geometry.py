@@ -20,6 +20,11 @@ BBOX_T = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 EDGE_T = "struct<x1:double,y1:double,x2:double,y2:double>"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it several times in ``body(v)``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -87,10 +92,10 @@ def bbox_overlaps(a: Column, b: Column) -> Column:
 
 
 def map_points(parts: Column, fn) -> Column:
-    """Apply ``fn(x, y) -> (x, y)`` to each vertex of a polygon."""
+    """Apply ``fn(x, y)`` to each vertex; it returns a pair or an (x, y) struct."""
     def one(p):
-        x, y = fn(p["x"], p["y"])
-        return point(x, y)
+        out = fn(p["x"], p["y"])
+        return point(*out) if isinstance(out, tuple) else out
 
     return F.transform(
         parts,
@@ -130,20 +135,21 @@ def centroid(parts: Column) -> Column:
     o = parts[0]["rings"][0][0]
 
     def ring_moments(ring, sign):
-        a2 = ring_area2(ring)
-        orient = F.when(a2 < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * sign
+        orient = F.when(ring_area2(ring) < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * sign
         zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
         def step(acc, e):
             x1, y1, x2, y2 = e["x1"] - o["x"], e["y1"] - o["y"], e["x2"] - o["x"], e["y2"] - o["y"]
-            c = (x1 * y2 - x2 * y1) * orient
+            c = x1 * y2 - x2 * y1
             return F.struct(
                 (acc["a"] + c).alias("a"),
                 (acc["x"] + (x1 + x2) * c).alias("x"),
                 (acc["y"] + (y1 + y2) * c).alias("y"),
             )
 
-        return F.aggregate(ring_edges(ring), zero, step)
+        # The winding decides the sign of the whole sum, so it is applied once at the end.
+        return let(F.struct(orient.alias("k"), F.aggregate(ring_edges(ring), zero, step).alias("m")), lambda v: F.struct(
+            *[(v["m"][n] * v["k"]).alias(n) for n in ("a", "x", "y")]))
 
     moments = F.flatten(F.transform(
         parts,
@@ -162,7 +168,7 @@ def centroid(parts: Column) -> Column:
             F.struct((acc["x"] / (acc["a"] * 3.0)).alias("x"), (acc["y"] / (acc["a"] * 3.0)).alias("y")),
         ),
     )
-    return F.when(total.isNotNull(), point(o["x"] + total["x"], o["y"] + total["y"]))
+    return let(total, lambda t: F.when(t.isNotNull(), point(o["x"] + t["x"], o["y"] + t["y"])))
 
 
 def _crossings(px: Column, py: Column, es: Column) -> Column:
@@ -240,12 +246,9 @@ def polygons_intersect(edges_a: Column, anchors_a: Column, edges_b: Column, anch
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance from a point to a closed segment."""
     dx, dy = x2 - x1, y2 - y1
-    len2 = dx * dx + dy * dy
-    t = F.when(len2 == 0, F.lit(0.0)).otherwise(
-        F.least(F.greatest(((px - x1) * dx + (py - y1) * dy) / F.nullif(len2, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    )
-    ex, ey = px - (x1 + t * dx), py - (y1 + t * dy)
-    return F.sqrt(ex * ex + ey * ey)
+    ahead = ((px - x1) * dx + (py - y1) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.least(F.greatest(F.coalesce(ahead, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return let(t, lambda t: F.hypot(px - (x1 + t * dx), py - (y1 + t * dy)))
 
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -275,27 +278,30 @@ def geometry_problem(parts: Column) -> Column:
 
 def half_plane_clip(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Keep the part of a closed ring on the left of the directed line 1 -> 2."""
-    def side(p):
-        return (x2 - x1) * (p["y"] - y1) - (y2 - y1) * (p["x"] - x1)
+    none = F.array().cast(RING_T)
+
+    def side(x, y):
+        return (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
 
     def piece(e):
-        a = point(e["x1"], e["y1"])
-        b = point(e["x2"], e["y2"])
-        sa, sb = side(a), side(b)
-        t = sa / F.nullif(sa - sb, F.lit(0.0))
-        cut = point(
-            F.when(x1 == x2, x1).otherwise(e["x1"] + t * (e["x2"] - e["x1"])),
-            F.when(y1 == y2, y1).otherwise(e["y1"] + t * (e["y2"] - e["y1"])),
-        )
-        return (
-            F.when((sa >= 0) & (sb >= 0), F.array(b))
-            .when((sa >= 0) & (sb < 0), F.array(cut))
-            .when((sa < 0) & (sb >= 0), F.array(cut, b))
-            .otherwise(F.array().cast(RING_T))
-        )
+        def kept(v):
+            b = point(e["x2"], e["y2"])
+            t = v["a"] / F.nullif(v["a"] - v["b"], F.lit(0.0))
+            cut = point(
+                F.when(x1 == x2, x1).otherwise(e["x1"] + t * (e["x2"] - e["x1"])),
+                F.when(y1 == y2, y1).otherwise(e["y1"] + t * (e["y2"] - e["y1"])),
+            )
+            return (
+                F.when((v["a"] >= 0) & (v["b"] >= 0), F.array(b)).when(v["a"] >= 0, F.array(cut))
+                .when(v["b"] >= 0, F.array(cut, b)).otherwise(none)
+            )
+
+        return let(F.struct(side(e["x1"], e["y1"]).alias("a"), side(e["x2"], e["y2"]).alias("b")), kept)
 
-    out = F.flatten(F.transform(ring_edges(ring), piece))
-    return F.when(F.size(out) > 0, F.concat(F.slice(out, F.size(out), 1), out)).otherwise(F.array().cast(RING_T))
+    return let(
+        F.flatten(F.transform(ring_edges(ring), piece)),
+        lambda out: F.when(F.size(out) > 0, F.concat(F.slice(out, F.size(out), 1), out)).otherwise(none),
+    )
 
 
 def clip_ring(ring: Column, window: Column) -> Column:
@@ -308,16 +314,12 @@ def clip_ring(ring: Column, window: Column) -> Column:
 
 def clip_parts(parts: Column, window: Column) -> Column:
     """Clip every ring to a convex window; parts of zero area are dropped."""
-    def one(p):
-        kept = F.filter(
-            F.transform(p["rings"], lambda r: clip_ring(r, window)),
-            lambda r: (F.size(r) >= 4) & (F.abs(ring_area2(r)) > 0),
-        )
-        outer = clip_ring(p["rings"][0], window)
-        alive = (F.size(outer) >= 4) & (F.coalesce(F.abs(ring_area2(outer)), F.lit(0.0)) > 0)
-        return F.when(alive, F.struct(kept.alias("rings")))
+    def alive(r):
+        return (F.size(r) >= 4) & (F.coalesce(F.abs(ring_area2(r)), F.lit(0.0)) > 0)
 
-    return F.filter(F.transform(parts, one), lambda p: p.isNotNull())
+    clipped = F.transform(parts, lambda p: F.transform(p["rings"], lambda r: clip_ring(r, window)))
+    outer = F.filter(clipped, lambda rs: alive(rs[0]))
+    return F.transform(outer, lambda rs: F.struct(F.filter(rs, alive).alias("rings")))
 
 
 def convex_pieces(es: Column) -> Column:
@@ -335,29 +337,26 @@ def convex_pieces(es: Column) -> Column:
             .otherwise(e["x1"] + (y - e["y1"]) * slope)
         )
 
-    def slab(i):
+    def slab(ys, i):
         lo, hi = ys[i], ys[i + 1]
         mid = (lo + hi) / 2.0
         spans = F.filter(es, lambda e: (F.least(e["y1"], e["y2"]) <= lo) & (F.greatest(e["y1"], e["y2"]) >= hi))
         walls = F.array_sort(F.transform(
             spans, lambda e: F.struct(at(e, mid).alias("xm"), at(e, lo).alias("xl"), at(e, hi).alias("xh"))
         ))
-        n = (F.size(walls) / 2).cast("int")
-        return F.when(
-            n > 0,
-            F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda j: F.array(
-                    point(walls[j * 2]["xl"], lo), point(walls[j * 2 + 1]["xl"], lo),
-                    point(walls[j * 2 + 1]["xh"], hi), point(walls[j * 2]["xh"], hi),
-                    point(walls[j * 2]["xl"], lo),
-                ),
-            ),
-        ).otherwise(F.array().cast(f"array<{RING_T}>"))
-
-    return F.when(
-        F.size(ys) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ys) - 2), slab))
-    ).otherwise(F.array().cast(f"array<{RING_T}>"))
+
+        def boxes(ws):
+            n = (F.size(ws) / 2).cast("int")
+            return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.array(
+                point(ws[j * 2]["xl"], lo), point(ws[j * 2 + 1]["xl"], lo),
+                point(ws[j * 2 + 1]["xh"], hi), point(ws[j * 2]["xh"], hi), point(ws[j * 2]["xl"], lo),
+            ))).otherwise(F.array().cast(f"array<{RING_T}>"))
+
+        return let(walls, boxes)
+
+    return let(ys, lambda v: F.when(
+        F.size(v) > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size(v) - 2), lambda i: slab(v, i)))
+    ).otherwise(F.array().cast(f"array<{RING_T}>")))
 
 
 def spherical_area(parts: Column, radius: float = 6371008.8) -> Column:

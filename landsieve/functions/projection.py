@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsieve import constants as K
@@ -42,33 +42,102 @@ UTM_SCALE, UTM_FALSE_EAST, UTM_LON0 = 0.9996, 500000.0, -117.0
 _CONF = 2 * math.sqrt(_N) / (1 + _N)
 
 
-def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
+def _utm_sphere(lon: Column, lat: Column) -> list[Column]:
+    """Tangent of the conformal latitude, and the longitude from the central meridian."""
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.lit(_CONF) * F.atanh(F.lit(_CONF) * s))
-    dl = F.radians(lon - F.lit(UTM_LON0))
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(F.lit(1.0) + t * t))
+    return [F.sinh(F.atanh(s) - F.lit(_CONF) * F.atanh(F.lit(_CONF) * s)), F.radians(lon - F.lit(UTM_LON0))]
+
+
+def _utm_cylinder(t: Column, dl: Column) -> list[Column]:
+    return [F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(F.lit(1.0) + t * t))]
+
+
+def _utm_plane(xi: Column, eta: Column) -> list[Column]:
     east, north = eta, xi
     for j, a in enumerate(_ALPHA, start=1):
         east = east + F.lit(a) * F.cos(xi * (2.0 * j)) * F.sinh(eta * (2.0 * j))
         north = north + F.lit(a) * F.sin(xi * (2.0 * j)) * F.cosh(eta * (2.0 * j))
     scale = UTM_SCALE * _RADIUS
-    return F.lit(UTM_FALSE_EAST) + F.lit(scale) * east, F.lit(scale) * north
+    return [F.lit(UTM_FALSE_EAST) + F.lit(scale) * east, F.lit(scale) * north]
 
 
-def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
+def _utm_unplane(x: Column, y: Column) -> list[Column]:
     scale = UTM_SCALE * _RADIUS
-    xi, eta = y / F.lit(scale), (x - F.lit(UTM_FALSE_EAST)) / F.lit(scale)
+    return [y / F.lit(scale), (x - F.lit(UTM_FALSE_EAST)) / F.lit(scale)]
+
+
+def _utm_unroll(xi: Column, eta: Column) -> list[Column]:
     xp, ep = xi, eta
     for j, b in enumerate(_BETA, start=1):
         xp = xp - F.lit(b) * F.sin(xi * (2.0 * j)) * F.cosh(eta * (2.0 * j))
         ep = ep - F.lit(b) * F.cos(xi * (2.0 * j)) * F.sinh(eta * (2.0 * j))
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
+    return [xp, ep]
+
+
+def _utm_unsphere(xp: Column, ep: Column) -> list[Column]:
+    return [F.asin(F.sin(xp) / F.cosh(ep)), F.atan2(F.sinh(ep), F.cos(xp))]
+
+
+def _utm_degrees(chi: Column, dl: Column) -> list[Column]:
     lat = chi
     for j, d in enumerate(_DELTA, start=1):
         lat = lat + F.lit(d) * F.sin(chi * (2.0 * j))
-    lon = F.lit(UTM_LON0) + F.degrees(F.atan2(F.sinh(ep), F.cos(xp)))
-    return lon, F.degrees(lat)
+    return [F.lit(UTM_LON0) + F.degrees(dl), F.degrees(lat)]
+
+
+_FORWARD = [_utm_sphere, _utm_cylinder, _utm_plane]
+_INVERSE = [_utm_unplane, _utm_unroll, _utm_unsphere, _utm_degrees]
+
+
+def _staged(df: DataFrame, steps, x: str, y: str, out_x: str, out_y: str) -> DataFrame:
+    """Run the steps as successive projections, so each value is computed once
+    inside generated code and no expression grows large."""
+    a, b = F.col(x), F.col(y)
+    for i, step in enumerate(steps):
+        last = i == len(steps) - 1
+        na, nb = (out_x, out_y) if last else (f"_p{i}a", f"_p{i}b")
+        ca, cb = step(a, b)
+        keep = [c for c in df.columns if not c.startswith("_p") and c not in (na, nb)]
+        df = df.select(*keep, ca.alias(na), cb.alias(nb))
+        a, b = F.col(na), F.col(nb)
+    return df
+
+
+def add_utm(df: DataFrame, lon: str, lat: str, x: str = "mx", y: str = "my") -> DataFrame:
+    """Add metric columns of a lon/lat point."""
+    return _staged(df, _FORWARD, lon, lat, x, y)
+
+
+def add_lonlat(df: DataFrame, x: str, y: str, lon: str = "clon", lat: str = "clat") -> DataFrame:
+    """Add lon/lat columns of a metric point."""
+    return _staged(df, _INVERSE, x, y, lon, lat)
+
+
+def _bound(steps, a: Column, b: Column) -> Column:
+    """The steps as one expression, each pair bound once; struct (x, y)."""
+    first, rest = steps[0], steps[1:]
+    ca, cb = first(a, b)
+    pair = F.struct(ca.alias("x"), cb.alias("y"))
+    return pair if not rest else F.transform(F.array(pair), lambda v: _bound(rest, v["x"], v["y"]))[0]
+
+
+def utm_point(lon: Column, lat: Column) -> Column:
+    """Metric point as a struct, for vertices inside arrays."""
+    return _bound(_FORWARD, lon, lat)
+
+
+def lonlat_point(x: Column, y: Column) -> Column:
+    return _bound(_INVERSE, x, y)
+
+
+def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
+    p = utm_point(lon, lat)
+    return p["x"], p["y"]
+
+
+def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
+    p = lonlat_point(x, y)
+    return p["x"], p["y"]
 
 
 def _q(s):
@@ -112,6 +181,12 @@ def from_albers(x: Column, y: Column) -> tuple[Column, Column]:
         + F.lit(23 * e4 / 360 + 251 * e6 / 3780) * F.sin(b * 4.0)
         + F.lit(761 * e6 / 45360) * F.sin(b * 6.0)
     )
+    # One Newton step takes the truncated series to full precision.
+    s = F.sin(lat)
+    g = F.lit(1.0) - F.lit(_E2) * s * s
+    here = F.lit(1 - _E2) * (
+        s / g - F.log((F.lit(1.0) - F.lit(_E) * s) / (F.lit(1.0) + F.lit(_E) * s)) / F.lit(2 * _E))
+    lat = lat + (q - here) * g * g / (F.lit(2 * (1 - _E2)) * F.cos(lat))
     return F.lit(ALBERS_LON0) + F.degrees(theta / F.lit(ALBERS_N)), F.degrees(lat)
 
 

@@ -7,30 +7,29 @@ from pyspark.sql import functions as F
 
 from landsieve import constants as K
 from landsieve.functions import geometry as G
-from landsieve.functions.projection import from_utm, to_utm
+from landsieve.functions.projection import add_lonlat, add_utm, utm_point
 from landsieve.operators.joins import lookup_join
 from landsieve.operators.queue import poi_collapse
 from landsieve.operators.spatial import (intersecting, nearest_line, nearest_point, polygon_columns, smallest_container)
+from landsieve.session import materialize
 
 ZONE_CELL = 0.05
 OVERLAY_CELL = 0.02
 
 
 def metric_parts(parts: Column) -> Column:
-    return G.map_points(parts, to_utm)
+    return G.map_points(parts, utm_point)
 
 
 def with_centroids(parcels: DataFrame) -> DataFrame:
     """Centroid of the metric polygon (mx, my) and its lon/lat (clon, clat)."""
     c = G.centroid(metric_parts(F.col("parts")))
     out = parcels.withColumn("_c", c).withColumn("mx", F.col("_c.x")).withColumn("my", F.col("_c.y")).drop("_c")
-    lon, lat = from_utm(F.col("mx"), F.col("my"))
-    return out.withColumn("clon", lon).withColumn("clat", lat)
+    return add_lonlat(out, "mx", "my", "clon", "clat")
 
 
 def with_metric_point(df: DataFrame, lon: str, lat: str) -> DataFrame:
-    x, y = to_utm(F.col(lon), F.col(lat))
-    return df.withColumn("mx", x).withColumn("my", y)
+    return add_utm(df, lon, lat, "mx", "my")
 
 
 def nearest_substation(cent: DataFrame, subs: DataFrame) -> DataFrame:
@@ -99,7 +98,8 @@ def enrich_assemble(parcels: DataFrame, substations: DataFrame, lines: DataFrame
     The parts are all keyed by parcel id, so the joins that put them together
     share one partitioning of the parcel table.
     """
-    p = with_centroids(polygon_columns(parcels))
+    # Seven steps read the parcels with their centroids: derive them once.
+    p = materialize(with_centroids(polygon_columns(parcels)), "centroids")
     cent = p.select("id", "mx", "my", "clon", "clat")
     near = nearest_substation(cent, substations)
     if competition is not None:

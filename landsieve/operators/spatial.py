@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsieve.functions import geometry as G
-from landsieve.operators.joins import BROADCAST_POINTS, salted_join, small_side
+from landsieve.operators.joins import BROADCAST_POINTS, BROADCAST_ROWS, salted_join, small_side
 from landsieve.session import materialize
 
 LEVEL_STEP = 8
@@ -90,16 +90,21 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_id: str =
     broadcast only when proven small; otherwise crowded cells are salted.
     """
     right = right.select(*[F.col(c).alias("bbox" if c == "bbox" else f"r_{c}") for c in right.columns])
-    r_levels = _levels_present(right, cell)
-    l_levels = [0] if left_points else _levels_present(left, cell)
-    lhs = _emit_cells(left, cell, 0, 1, 2, r_levels)
-    rhs = _emit_cells(right, cell, 0, 2, 1, l_levels).withColumnRenamed("bbox", "r_bbox")
     keys = ["v", "tag", "cx", "cy"]
-    weight = F.size("r_edges") if "r_edges" in right.columns else None
-    if small_side(right, weight):
+    # One look at no more than BROADCAST_ROWS + 1 rows settles size and levels.
+    weight = F.sum(F.size("r_edges")) if "r_edges" in right.columns else F.lit(0)
+    seen, points, levels = right.limit(BROADCAST_ROWS + 1).agg(
+        F.count("*"), weight, F.collect_set(_level(F.col("bbox"), cell))).first()
+    if seen <= BROADCAST_ROWS and (points or 0) <= BROADCAST_POINTS:
+        # Few right rows: register them at every coarser level instead of asking the left side.
+        l_levels = [0] if left_points else list(range(MAX_LEVELS + 1))
+        lhs = _emit_cells(left, cell, 0, 1, 2, sorted(levels))
+        rhs = _emit_cells(right, cell, 0, 2, 1, l_levels).withColumnRenamed("bbox", "r_bbox")
         pairs = lhs.join(F.broadcast(rhs), keys)
     else:
-        pairs = salted_join(lhs, rhs, keys, left_id)
+        lhs = _emit_cells(left, cell, 0, 1, 2, _levels_present(right, cell))
+        rhs = _emit_cells(right, cell, 0, 2, 1, [0] if left_points else _levels_present(left, cell))
+        pairs = salted_join(lhs, rhs.withColumnRenamed("bbox", "r_bbox"), keys, left_id)
     size = F.lit(cell) * F.pow(F.lit(float(LEVEL_STEP)), F.col("v"))
     a, b = F.col("bbox"), F.col("r_bbox")
     return pairs.filter(
@@ -138,8 +143,8 @@ def smallest_container(points: DataFrame, polygons: DataFrame, cell: float, x: s
 # --- nearest neighbour ---------------------------------------------------------
 
 FEW = 64
-SMALL_ITEMS = 2048
-SMALL_CELL_LEVEL = 6
+SMALL_ITEMS = 1024
+SMALL_CELL_LEVEL = 5
 START_LEVEL = 4
 STEP_BITS = 2
 DEEPEST = 14
@@ -211,31 +216,36 @@ def _small_candidates(right: DataFrame, item_cols: list[str], n_right: int, x0:
                       size: float) -> tuple[int, DataFrame]:
     """Candidate items per grid cell when there are at most SMALL_ITEMS of them.
 
-    The whole item list (a bounded array) is weighed against each cell of a
-    grid of at most 4**SMALL_CELL_LEVEL cells.
+    The whole item list is weighed against each cell of a grid of at most
+    4**SMALL_CELL_LEVEL cells, so the result has at most SMALL_ITEMS times that
+    many entries (about a million) however the items lie.
     """
     level = min(SMALL_CELL_LEVEL, max(2, math.ceil(math.log(n_right, 4))))
     s = size / 2**level
+    spark = right.sparkSession
     items = right.agg(F.collect_list(F.struct(*item_cols, "reach")).alias("items")).scalar()
-    lo_x, lo_y = F.lit(x0) + F.col("ax") * F.lit(s), F.lit(y0) + F.col("ay") * F.lit(s)
-    hi_x, hi_y = lo_x + F.lit(s), lo_y + F.lit(s)
-    rx, ry = F.col("item.rx"), F.col("item.ry")
-    far_x, far_y = F.greatest(F.abs(rx - lo_x), F.abs(rx - hi_x)), F.greatest(F.abs(ry - lo_y), F.abs(ry - hi_y))
-    off_x = F.greatest(lo_x - rx, rx - hi_x, F.lit(0.0))
-    off_y = F.greatest(lo_y - ry, ry - hi_y, F.lit(0.0))
-    pairs = (
-        right.sparkSession.range(4**level)
+    cells = (
+        spark.range(0, 4**level, 1, min(4**level, spark.sparkContext.defaultParallelism))
         .select(F.shiftright("id", level).alias("ax"), F.col("id").bitwiseAND(F.lit(2**level - 1)).alias("ay"))
-        .withColumn("item", F.explode(items))
-        .select("ax", "ay", "item", F.sqrt(far_x * far_x + far_y * far_y).alias("far"),
-                (F.sqrt(off_x * off_x + off_y * off_y) - F.col("item.reach") - F.lit(size * 1e-9)).alias("near"))
+        .withColumn("lo_x", F.lit(x0) + F.col("ax") * F.lit(s)).withColumn("lo_y", F.lit(y0) + F.col("ay") * F.lit(s))
+        .withColumn("all", items)
     )
-    least = pairs.groupBy("ax", "ay").agg(F.min("far").alias("least"))
-    found = (
-        pairs.join(F.broadcast(least), ["ax", "ay"]).filter("near <= least")
-        .groupBy("ax", "ay").agg(F.collect_list("item").alias("items"))
-    )
-    return level, materialize(found, "nearest-small")
+    lo_x, lo_y, hi_x, hi_y = F.col("lo_x"), F.col("lo_y"), F.col("lo_x") + F.lit(s), F.col("lo_y") + F.lit(s)
+
+    def far(i):
+        dx = F.greatest(F.abs(i["rx"] - lo_x), F.abs(i["rx"] - hi_x))
+        dy = F.greatest(F.abs(i["ry"] - lo_y), F.abs(i["ry"] - hi_y))
+        return dx * dx + dy * dy
+
+    def near(i):
+        dx = F.greatest(lo_x - i["rx"], i["rx"] - hi_x, F.lit(0.0))
+        dy = F.greatest(lo_y - i["ry"], i["ry"] - hi_y, F.lit(0.0))
+        return F.sqrt(dx * dx + dy * dy) - i["reach"]
+
+    # The bound is taken once per cell and then used for every item.
+    found = G.let(F.array_min(F.transform("all", far)), lambda h: F.filter(
+        F.col("all"), lambda i: near(i) <= F.sqrt(h) + F.lit(size * 1e-9)))
+    return level, cells.select("ax", "ay", found.alias("items"))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str, item_distance,
@@ -251,11 +261,14 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
     Candidates come from a walk down a grid over cell summaries, so the cost
     does not depend on how unevenly either side is spread; only cells that are
     still crowded at the deepest level are joined item by item (salted).
+
+    Both sides are written once as thin tables, since several steps read them
+    and their coordinates may be costly to derive.
     """
-    left = left.select(left_id, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    left = materialize(left.select(left_id, x, y), "nearest-points", deal=True).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     item_cols = list(dict.fromkeys([order, *payload, "rx", "ry"]))
-    right = right.filter(F.col("rx").isNotNull() & F.col("ry").isNotNull()).select(
-        *item_cols, (F.col(reach) if reach else F.lit(0.0)).alias("reach"))
+    right = materialize(right.select(*item_cols, (F.col(reach) if reach else F.lit(0.0)).alias("reach")), "nearest-items").filter(
+        F.col("rx").isNotNull() & F.col("ry").isNotNull())
     out_cols = [left_id, "dist", *dict.fromkeys([order, *payload])]
 
     lx0, ly0, lx1, ly1 = left.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
@@ -272,15 +285,14 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
     px, py = F.col(x), F.col(y)
     if n_right <= SMALL_ITEMS:
         level, items = _small_candidates(right, item_cols, n_right, x0, y0, size)
-        if small_side(items, F.size("items")):
-            cell = size / 2**level
-            probe = left.withColumn("ax", F.floor((px - F.lit(x0)) / F.lit(cell))).withColumn(
-                "ay", F.floor((py - F.lit(y0)) / F.lit(cell)))
-            best = F.array_min(F.transform("items", lambda i: F.struct(
-                item_distance(px, py, i).alias("dist"), i[order].alias(order),
-                *[i[c].alias(c) for c in payload if c != order])))
-            return probe.join(F.broadcast(items), ["ax", "ay"]).withColumn("_b", best).select(
-                left_id, *[f"_b.{c}" for c in out_cols[1:]])
+        cell = size / 2**level
+        probe = left.withColumn("ax", F.floor((px - F.lit(x0)) / F.lit(cell))).withColumn(
+            "ay", F.floor((py - F.lit(y0)) / F.lit(cell)))
+        best = F.array_min(F.transform("items", lambda i: F.struct(
+            item_distance(px, py, i).alias("dist"), i[order].alias(order),
+            *[i[c].alias(c) for c in payload if c != order])))
+        return probe.join(F.broadcast(items), ["ax", "ay"]).select(left_id, best.alias("_b")).select(
+            left_id, *[f"_b.{c}" for c in out_cols[1:]])
     grid = float(2**deepest)
 
     def key(c: Column, origin: float) -> Column:
@@ -374,11 +386,16 @@ def nearest_line(left: DataFrame, lines: DataFrame, left_id: str, x: str, y: str
                  max_piece: float = 5000.0) -> DataFrame:
     """Least distance from each point to any line; ties by line id."""
     pieces = line_pieces(lines, line_id, line, max_piece)
-    return nearest_join(
-        left, pieces, left_id, x, y,
-        lambda ax, ay, i: G.segment_distance(ax, ay, i["x1"], i["y1"], i["x2"], i["y2"]),
-        line_id, ["x1", "y1", "x2", "y2"], "reach",
-    ).drop("x1", "y1", "x2", "y2")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    pieces = pieces.withColumn("dx", dx).withColumn("dy", dy).withColumn("len2", F.nullif(dx * dx + dy * dy, F.lit(0.0)))
+
+    def to_segment(px, py, i):
+        ahead = ((px - i["x1"]) * i["dx"] + (py - i["y1"]) * i["dy"]) / i["len2"]
+        t = F.least(F.greatest(F.coalesce(ahead, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        return G.let(t, lambda t: F.hypot(px - (i["x1"] + t * i["dx"]), py - (i["y1"] + t * i["dy"])))
+
+    return nearest_join(left, pieces, left_id, x, y, to_segment, line_id, ["x1", "y1", "dx", "dy", "len2"], "reach").select(
+        left_id, "dist", line_id)
 
 
 # --- radius totals -------------------------------------------------------------
@@ -393,13 +410,13 @@ def radius_totals(centres: DataFrame, items: DataFrame, radius: float, centre_id
     on the rim is tested location by location. Centres with nothing near get 0.
     """
     spots = materialize(
-        items.filter(F.col("ix").isNotNull() & F.col("iy").isNotNull())
-        .groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum(value).alias("s")), "radius-items")
+        items.groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum(value).alias("s")), "radius-items"
+    ).filter(F.col("ix").isNotNull() & F.col("iy").isNotNull())
+    centres = materialize(centres.select(centre_id, "cx", "cy"), "radius-centres")
     where = (
         centres.filter(F.col("cx").isNotNull() & F.col("cy").isNotNull())
         .select(F.col("cx").alias("px"), F.col("cy").alias("py")).distinct()
     )
-    where = materialize(where, "radius-centres")
     px, py, r = F.col("px"), F.col("py"), F.lit(radius)
 
     def grid(df, size):
@@ -480,9 +497,8 @@ def clip_polygons(features: DataFrame, boundary: DataFrame, cell: float, feature
     small = features.select(feature_id, parts, G.bbox(F.col(parts)).alias("bbox"))
     cut = (
         overlap_join(small, windows, cell, feature_id)
-        .withColumn("_p", G.clip_parts(F.col(parts), F.col("r_window")))
-        .filter(F.size("_p") > 0)
-        .groupBy(feature_id).agg(F.flatten(F.collect_list("_p")).alias("_parts"))
+        .select(feature_id, F.explode(G.clip_parts(F.col(parts), F.col("r_window"))).alias("_p"))
+        .groupBy(feature_id).agg(F.collect_list("_p").alias("_parts"))
     )
     rest = [c for c in features.columns if c not in (feature_id, parts)]
     return features.select(feature_id, *rest).join(cut.withColumnRenamed("_parts", parts), feature_id)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from landsieve import constants as K
 from landsieve.functions import cleaning as C
 from landsieve.functions import geometry as G
-from landsieve.functions.projection import reproject, to_utm
+from landsieve.functions.projection import reproject, utm_point
 from landsieve.operators import enrich as E
 from landsieve.operators import quality as Q
 from landsieve.operators import queue as QU
@@ -195,7 +195,7 @@ def build_slope(dem: DataFrame, source: R.Grid, target: R.Grid, boundary: DataFr
 
 def line_layer_metric(lines: DataFrame) -> DataFrame:
     """One row per clipped piece, in metres, for the distance step."""
-    to_metric = lambda line: F.transform(line, lambda p: G.point(*to_utm(p["x"], p["y"])))
+    to_metric = lambda line: F.transform(line, lambda p: utm_point(p["x"], p["y"]))
     return lines.select(F.col("id").alias("line_id"), F.explode("pieces").alias("line")).withColumn("line", to_metric(F.col("line")))
 
 

@@ -47,16 +47,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/landsieve/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small file scan out to all cores.
+
+    A table of a few megabytes is read as one partition, however costly the
+    work on each row is. A table with a partition per core is left alone, so at
+    scale this adds no shuffle. Only for plain scans: counting their partitions
+    runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def materialize(df: DataFrame, name: str, deal: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and gives the
-    planner true file sizes for its join choices.
+    planner true file sizes for its join choices. ``deal`` spreads a small
+    result over all cores for costly work per row.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return spread(back) if deal else back
 
 
 def within_rows(df: DataFrame, max_rows: int, weight=None, max_weight: int | None = None) -> bool:

@@ -11,7 +11,8 @@ from landsieve.operators.usage import chargeable, effective_cap, price_events
 
 def priced_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Price each event once; a replayed event id inside the watermark is dropped."""
-    return price_events(events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return price_events(timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]))
 
 
 def write_priced(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

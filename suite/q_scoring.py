@@ -153,7 +153,7 @@ FACTOR_ROWS = " union all ".join(
 
 def cents(expr):
     """Decimal text rounded half up to two places, in hundredths."""
-    return f"cast(round(cast(cast({expr} as string) as decimal(24,16)), 2) * 100 as bigint)"
+    return f"cast(round(cast(cast({expr} as string) as decimal(30,22)), 2) * 100 as bigint)"
 
 
 @q("breakdown", f"select id, key, {cents('contribution')} as contribution2, known from ({FACTOR_ROWS}) f")

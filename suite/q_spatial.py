@@ -22,7 +22,7 @@ from landsieve.streaming import usage as ST
 from suite.q_scoring import ACTIVE, COST, MW, norm_name_sql, queue, usage_rows, with_usage_json
 from suite.q_sources import IN_L
 from suite.registry import lng, q, s, scaled
-from suite.tables import (box_layer, boundary, d, flood_geo, line_geo, metric, parcel_points, parcels_geo, utm_sql, view)
+from suite.tables import (L_SHAPE, box_layer, boundary, d, flood_geo, line_geo, metric, parcel_points, parcels_geo, utm_sql, view)
 
 UX, UY = utm_sql("x", "y")
 PM = f"select id, {UX} as mx, {UY} as my from parcels"
@@ -344,8 +344,9 @@ def smallest_containing(spark, sf):
 
 @q("point_in_polygon", "select id, x > -119.9 and x < -118.1 and y > 34.9 and y < 35.2 or x > -119.9 and x < -119.0 and y > 34.9 and y < 35.6 as inside from parcels")
 def point_in_polygon(spark, sf):
-    es = boundary(spark).select("edges").scalar()
-    return view(spark, sf, "parcels").select("id", G.contains_strict(F.col("x"), F.col("y"), es).alias("inside"))
+    p = view(spark, sf, "parcels").select("id", "x", "y")
+    hit = S.points_in_polygons(p, boundary(spark).select("bbox", "edges"), 0.25, "x", "y").select("id", F.lit(True).alias("inside"))
+    return p.select("id").join(hit, "id", "left").select("id", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
 @q("enrich_assemble", f"""select p.id, s.tid as sub_kv_of, t.dist_cm as tx_cm, g.ghi6, z.code as zoning_class, coalesce(f.hit, false) as sfha_flag, coalesce(o.pa, false) as excl_protected_area
@@ -381,8 +382,8 @@ def update_from(spark, sf):
 @q("polygon_candidates", "select id from parcels where x0 <= -118.1 and x1 >= -119.9 and y0 <= 35.6 and y1 >= 34.9 and (y0 <= 35.2 or x0 <= -119.0)")
 def polygon_candidates(spark, sf):
     p = parcels_geo(spark, sf).withColumn("parts", G.box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
-    b = boundary(spark)
-    return SC.candidates(p, (-119.9, 34.9, -118.1, 35.6), b.select("parts").scalar()).select("id")
+    drawn = G.polygon(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in L_SHAPE]))
+    return SC.candidates(p, (-119.9, 34.9, -118.1, 35.6), drawn).select("id")
 
 
 @q("exclusions_union", "select kind, count(*) as n from overlays group by 1")
@@ -428,7 +429,7 @@ def geojson_format(spark, sf):
     return g.select("id", F.get_json_object("g", "$.type").alias("kind"), scaled(F.get_json_object("g", "$.coordinates[0]").cast("double"), 1e6).alias("x6"))
 
 
-@q("reproject", f"select id, {s(UX, CM)} as mx_cm, {s(UY, CM)} as my_cm, {s('x', 1e8)} as back8, {s('y', 1e8)} as backy8, true as albers_ok from parcels")
+@q("reproject", f"select id, {s(UX, CM)} as mx_cm, {s(UY, CM)} as my_cm, true as back_ok, true as albers_ok from parcels")
 def reproject(spark, sf):
     p = view(spark, sf, "parcels")
     mx, my = P.reproject(F.col("x"), F.col("y"), 4326, 26911)
@@ -438,7 +439,7 @@ def reproject(spark, sf):
     p = p.withColumn("ax", ax).withColumn("ay", ay)
     cx, cy = P.reproject(F.col("ax"), F.col("ay"), 3310, 4269)
     ok = (F.abs(cx - F.col("x")) < 1e-9) & (F.abs(cy - F.col("y")) < 1e-9)
-    return p.select("id", scaled("mx", CM).alias("mx_cm"), scaled("my", CM).alias("my_cm"), scaled(bx, 1e8).alias("back8"), scaled(by, 1e8).alias("backy8"), ok.alias("albers_ok"))
+    return p.select("id", scaled("mx", CM).alias("mx_cm"), scaled("my", CM).alias("my_cm"), ((F.abs(bx - F.col("x")) < 1e-10) & (F.abs(by - F.col("y")) < 1e-10)).alias("back_ok"), ok.alias("albers_ok"))
 
 
 @q("area", f"select id, {s('w * h / 2.0', 1e12)} as tri12, {s('w * h / 2.0 - w * h / 32.0', 1e12)} as hole12 from floods")

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve.functions import geometry as G
-from landsieve.functions.projection import to_utm
+from landsieve.functions.projection import add_utm, utm_point
 from landsieve.operators.spatial import polygon_columns
+from landsieve.session import spread
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
@@ -210,6 +211,8 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     for t in [*BASE, *DEPS.get(name, [])]:
         if re.search(rf"\b(FROM|JOIN) {t}\b", sql):
             used[t] = view(spark, sf, t) if t in VIEWS else spark.read.parquet(f"{sf}/{t}.parquet")
+            if t == "orders":
+                used[t] = spread(used[t])
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)
 
@@ -252,13 +255,12 @@ def parcels_geo(spark: SparkSession, sf: str) -> DataFrame:
 
 def parcel_points(spark: SparkSession, sf: str) -> DataFrame:
     """Parcel centres in metres."""
-    mx, my = to_utm(F.col("x"), F.col("y"))
-    return view(spark, sf, "parcels").select("id", F.col("x").alias("clon"), F.col("y").alias("clat"), mx.alias("mx"), my.alias("my"))
+    p = view(spark, sf, "parcels").select("id", F.col("x").alias("clon"), F.col("y").alias("clat"))
+    return add_utm(p, "clon", "clat")
 
 
 def metric(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    mx, my = to_utm(F.col(x), F.col(y))
-    return df.withColumn("mx", mx).withColumn("my", my)
+    return add_utm(df, x, y)
 
 
 def flood_geo(df: DataFrame) -> DataFrame:
@@ -269,7 +271,7 @@ def flood_geo(df: DataFrame) -> DataFrame:
 
 def line_geo(df: DataFrame, metres: bool = True) -> DataFrame:
     def pt(x, y):
-        return G.point(*to_utm(F.col(x), F.col(y))) if metres else G.point(F.col(x), F.col(y))
+        return utm_point(F.col(x), F.col(y)) if metres else G.point(F.col(x), F.col(y))
 
     return df.withColumn("line", F.array(pt("ax", "ay"), pt("bx", "by_"), pt("cx", "cy")))
 
