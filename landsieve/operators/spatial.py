@@ -143,10 +143,12 @@ def smallest_container(points: DataFrame, polygons: DataFrame, cell: float, x: s
 # --- nearest neighbour ---------------------------------------------------------
 
 FEW = 64
+MANY = 1024
 SMALL_ITEMS = 1024
 SMALL_CELL_LEVEL = 5
 START_LEVEL = 4
-STEP_BITS = 2
+STEP_BITS = 1
+PAIR_BUDGET = 1 << 14
 DEEPEST = 14
 
 
@@ -164,15 +166,17 @@ def _candidate_cells(lcells: DataFrame, rcells: DataFrame, deepest: int, size: f
     Walks down the grid one step at a time. Between cells a and b every item of
     b lies no nearer than ``low`` and at least one lies no farther than
     ``high``; b is dropped when its ``low`` exceeds the least ``high`` of a. A
-    left cell is finished once its candidates hold at most FEW items, or at the
-    deepest level. Returns (level, pairs, few) with pairs (ax, ay, bx, by).
+    left cell is finished once its candidates hold at most FEW items, once its
+    points times its items (at most MANY) are fewer tests than another step
+    would cost, or at the deepest level. Returns (level, pairs, few) with pairs (ax, ay, bx, by); ``few``
+    says that no left cell of the part has more than MANY items.
     """
     done: list[tuple[int, DataFrame, bool]] = []
     open_pairs: DataFrame | None = None
     level = min(START_LEVEL, deepest)
     parent = 0
     while True:
-        la = _cells_at(lcells, deepest, level, "a").select("ax", "ay").distinct()
+        la = _cells_at(lcells, deepest, level, "a").groupBy("ax", "ay").agg(F.sum("m").alias("m"))
         rb = _cells_at(rcells, deepest, level, "b").groupBy("bx", "by").agg(
             F.sum("n").alias("n"), F.max("reach").alias("reach"))
         shift = level - parent
@@ -194,16 +198,18 @@ def _candidate_cells(lcells: DataFrame, rcells: DataFrame, deepest: int, size: f
             .withColumn("least_high", F.expr(f"min(high) over (partition by {per_a})"))
             .filter("low <= least_high")
             .withColumn("total", F.expr(f"sum(n) over (partition by {per_a})"))
-            .select("ax", "ay", "bx", "by", "total")
+            .withColumn("few", (F.col("total") <= FEW) | (
+                (F.col("total") <= MANY) & (F.col("total") * F.col("m") <= PAIR_BUDGET)))
+            .select("ax", "ay", "bx", "by", "total", "few")
         )
         pairs = materialize(pairs, "nearest-cells")
         last = level >= deepest
-        n_few, n_many = pairs.agg(F.count_if(F.col("total") <= FEW), F.count_if(F.col("total") > FEW)).first()
+        n_few, n_many = pairs.agg(F.count_if("few"), F.count_if(~F.col("few"))).first()
         if n_few:
-            done.append((level, pairs.filter(F.col("total") <= FEW), True))
+            done.append((level, pairs.filter("few"), True))
         if not n_many:
             return done
-        many = pairs.filter(F.col("total") > FEW)
+        many = pairs.filter("not few")
         if last:
             done.append((level, many, False))
             return done
@@ -249,13 +255,13 @@ def _small_candidates(right: DataFrame, item_cols: list[str], n_right: int, x0:
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str, item_distance,
-                 order: str, payload: list[str], reach: str | None = None) -> DataFrame:
+                 order: str, payload: list[str], reach: str | None = None, needs: list[str] = ()) -> DataFrame:
     """Per left point the right item with the least (distance, ``order``).
 
     ``right`` needs ``rx, ry`` (a point of the item) and, for items with size,
     a ``reach`` column: no point of the item is farther than that from it.
     ``item_distance(px, py, item)`` gives the exact distance, ``item`` being a
-    struct of ``payload`` + rx, ry. Returns left_id, dist, order and payload;
+    struct of ``payload``, ``needs`` and rx, ry. Returns left_id, dist, order and payload;
     left points without coordinates are left out.
 
     Candidates come from a walk down a grid over cell summaries, so the cost
@@ -266,7 +272,7 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
     and their coordinates may be costly to derive.
     """
     left = materialize(left.select(left_id, x, y), "nearest-points", deal=True).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    item_cols = list(dict.fromkeys([order, *payload, "rx", "ry"]))
+    item_cols = list(dict.fromkeys([order, *payload, *needs, "rx", "ry"]))
     right = materialize(right.select(*item_cols, (F.col(reach) if reach else F.lit(0.0)).alias("reach")), "nearest-items").filter(
         F.col("rx").isNotNull() & F.col("ry").isNotNull())
     out_cols = [left_id, "dist", *dict.fromkeys([order, *payload])]
@@ -300,10 +306,18 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
 
     lk = left.withColumn("ax", key(F.col(x), x0)).withColumn("ay", key(F.col(y), y0))
     rk = right.withColumn("bx", key(F.col("rx"), x0)).withColumn("by", key(F.col("ry"), y0))
-    lcells = materialize(lk.select("ax", "ay").distinct(), "nearest-left")
+    lcells = materialize(lk.groupBy("ax", "ay").agg(F.count("*").alias("m")), "nearest-left")
     rcells = materialize(rk.groupBy("bx", "by").agg(F.count("*").alias("n"), F.max("reach").alias("reach")), "nearest-right")
     done = _candidate_cells(lcells, rcells, deepest, size)
 
+
+    def least(rows: DataFrame) -> DataFrame:
+        """Best item of each left point; rows of one point are reduced before the shuffle."""
+        i = F.col("item")
+        scored = rows.select(left_id, F.struct(item_distance(px, py, i).alias("dist"), i[order].alias(order),
+                                               *[i[c].alias(c) for c in payload if c != order]).alias("_b"))
+        return scored.groupBy(left_id).agg(F.min("_b").alias("_b")).select(left_id, *[f"_b.{c}" for c in out_cols[1:]])
+
     parts = []
     few = [(lv, p) for lv, p, is_few in done if is_few]
     if few:
@@ -323,15 +337,13 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
                          F.shiftright("ay", deepest - lv).alias("ay")) for lv, _ in few])
             probe = lk.withColumn("_l", F.explode(levels)).select(left_id, x, y, "_l.lv", "_l.ax", "_l.ay")
         keys = ["lv", "ax", "ay"]
-        # FEW items per cell at most, so a row-bounded side is also byte-bounded.
-        if small_side(items, F.size("items"), BROADCAST_POINTS // FEW):
+        # MANY items per cell at most; rows and items together are checked.
+        items = materialize(items, "nearest-lists")
+        if small_side(items, F.size("items")):
             matched = probe.join(F.broadcast(items), keys)
         else:
             matched = salted_join(probe, items, keys, left_id)
-        best = F.array_min(F.transform("items", lambda i: F.struct(
-            item_distance(px, py, i).alias("dist"), i[order].alias(order),
-            *[i[c].alias(c) for c in payload if c != order])))
-        parts.append(matched.withColumn("_b", best).select(left_id, *[f"_b.{c}" for c in out_cols[1:]]))
+        parts.append(least(matched.withColumn("item", F.explode("items")).drop("items")))
     for lv, pairs, is_few in done:
         if is_few:
             continue
@@ -339,9 +351,7 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
         at = _cells_at(rk, deepest, lv, "b").select("bx", "by", F.struct(*item_cols).alias("item"))
         near = salted_join(probe, pairs.select("ax", "ay", "bx", "by"), ["ax", "ay"], left_id)
         full = salted_join(near, at, ["bx", "by"], left_id)
-        b = F.min(F.struct(item_distance(px, py, F.col("item")).alias("dist"), F.col(f"item.{order}").alias(order),
-                           *[F.col(f"item.{c}").alias(c) for c in payload if c != order])).alias("_b")
-        parts.append(full.groupBy(left_id).agg(b).select(left_id, *[f"_b.{c}" for c in out_cols[1:]]))
+        parts.append(least(full))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -383,7 +393,7 @@ def line_pieces(lines: DataFrame, line_id: str, line: str, max_len: float) -> Da
 
 
 def nearest_line(left: DataFrame, lines: DataFrame, left_id: str, x: str, y: str, line_id: str, line: str,
-                 max_piece: float = 5000.0) -> DataFrame:
+                 max_piece: float = 1500.0) -> DataFrame:
     """Least distance from each point to any line; ties by line id."""
     pieces = line_pieces(lines, line_id, line, max_piece)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -392,10 +402,10 @@ def nearest_line(left: DataFrame, lines: DataFrame, left_id: str, x: str, y: str
     def to_segment(px, py, i):
         ahead = ((px - i["x1"]) * i["dx"] + (py - i["y1"]) * i["dy"]) / i["len2"]
         t = F.least(F.greatest(F.coalesce(ahead, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        return G.let(t, lambda t: F.hypot(px - (i["x1"] + t * i["dx"]), py - (i["y1"] + t * i["dy"])))
+        return F.hypot(px - (i["x1"] + t * i["dx"]), py - (i["y1"] + t * i["dy"]))
 
-    return nearest_join(left, pieces, left_id, x, y, to_segment, line_id, ["x1", "y1", "dx", "dy", "len2"], "reach").select(
-        left_id, "dist", line_id)
+    return nearest_join(left, pieces, left_id, x, y, to_segment, line_id, [], "reach",
+                        ["x1", "y1", "dx", "dy", "len2"])
 
 
 # --- radius totals -------------------------------------------------------------
