@@ -360,8 +360,8 @@ def enrich_assemble(spark, sf):
     The station id stands in for its voltage, so the match itself is compared.
     Box centres are used as centroids, as in the reference text.
     """
-    p = parcel_boxes(spark, sf)
-    cent = parcel_points(spark, sf)
+    p = materialize(parcel_boxes(spark, sf), "boxes", deal=True)
+    cent = materialize(parcel_points(spark, sf), "centres", deal=True)
     near = E.nearest_substation(cent, subs_m(spark, sf)).select("id", F.col("sub_id").alias("sub_kv_of"))
     out = p.select("id").join(near, "id", "left")
     out = out.join(E.nearest_line_distance(cent, line_geo(view(spark, sf, "lines"))).select("id", scaled("dist_tx_m", CM).alias("tx_cm")), "id", "left")
@@ -416,6 +416,21 @@ def bbox_polygon(spark, sf):
     return o.select("id", G.vertex_count(F.col("parts")).alias("n"), scaled(b["xmin"], 1e9).alias("x9"), scaled(b["ymax"], 1e9).alias("y9"))
 
 
+@q("geometry_bbox", f"{_BB} from floods")
+def geometry_bbox(spark, sf):
+    """Box of a geometry given as GeoJSON text."""
+    f = flood_geo(view(spark, sf, "floods")).withColumn("g", RD.format_polygon(F.col("parts"), None))
+    f = f.withColumn("b", G.bbox(RD.parse_polygon(F.get_json_object("g", "$.type"), F.get_json_object("g", "$.coordinates"))))
+    return f.select("id", *[scaled(f"b.{c}", 1e9).alias(f"{c}9") for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+@q("vertex_count", "select p.id, cast(5 as int) as n from parcels p union all select -f.id, cast(4 as int) from floods f")
+def vertex_count(spark, sf):
+    p = parcel_boxes(spark, sf).select("id", G.vertex_count(F.col("parts")).alias("n"))
+    f = flood_geo(view(spark, sf, "floods")).select((-F.col("id")).alias("id"), G.vertex_count(F.col("parts")).alias("n"))
+    return p.unionByName(f)
+
+
 @q("geojson_parse", f"select id, {s('w * h / 2.0', 1e12)} as area12 from floods")
 def geojson_parse(spark, sf):
     f = flood_geo(view(spark, sf, "floods")).withColumn("g", RD.format_polygon(F.col("parts"), None))
@@ -491,12 +506,20 @@ def boundary_union(spark, sf):
     return z.select(scaled(G.area(F.col("parts")), 1e6).alias("area6"), F.size("parts").cast("long").alias("parts"))
 
 
-_HX = "cast(least(greatest(floor((x + 120.2) / 2.58 * 65536.0), 0), 65535) as bigint)"
+def _unit(lo, hi, v0, span):
+    """Grid position 0..65535 of the middle of two coordinates."""
+    return f"least(greatest(cast(trunc((({lo} + {hi}) / {d(2.0)} - {d(v0)}) / {d(span)} * {d(65536.0)}) as bigint), 0), 65535)"
 
 
-@q("hilbert_index")
+@q("hilbert_index", f"""with recursive walk as (
+ select id, {_unit('x0', 'x1', -120.21, -117.61 + 120.21)} as hx, {_unit('y0', 'y1', 34.78, 35.82 - 34.78)} as hy, cast(0 as bigint) as pos, cast(32768 as bigint) as side from parcels
+ union all
+ select id, case when ry = 0 then (case when rx = 1 then 65535 - hy else hy end) else hx end, case when ry = 0 then (case when rx = 1 then 65535 - hx else hx end) else hy end,
+  pos + side * side * xor(3 * rx, ry), side // 2
+ from (select *, case when hx & side > 0 then 1 else 0 end as rx, case when hy & side > 0 then 1 else 0 end as ry from walk where side > 0) w)
+select id, pos as hilbert from walk where side = 0""")
 def hilbert_index(spark, sf):
-    """Curve position of every parcel; checked against a plain walk in the tests."""
+    """Curve position of every parcel."""
     p = parcels_geo(spark, sf)
     return O.hilbert_key(p, (-120.21, 34.78, -117.61, 35.82)).select("id", "hilbert")
 

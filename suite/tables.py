@@ -237,6 +237,8 @@ def oracle(query: str) -> str:
     if not wanted:
         return q
     head = ", ".join(f"{n} AS ({body(n).strip()})" for n in wanted)
+    if q.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {q[15:]}"
     return f"WITH {head}, {q[5:]}" if q[:5].upper() == "WITH " else f"WITH {head} {q}"
 
 
