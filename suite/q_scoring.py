@@ -490,17 +490,17 @@ FOUND = f"""select t.request_id, b.place, b.x - 0.06 as bx0, b.y - 0.06 as by0,
  join (values ('mojave', -118.174::double, 35.052::double), ('california city', -117.986, 35.126), ('lake isabella', -118.473, 35.614), ('ridgecrest', -117.671, 35.622), ('taft', -119.456, 35.142), ('wasco', -119.341, 35.594)) b(place, x, y) on b.place = t.place"""
 
 
-@q("find_sites", f"""select place, count, id, score, rank from (select place, id, {s(score_sql(SOLAR), 1)} as score, count(*) over (partition by place) as count, row_number() over (partition by place order by {score_sql(SOLAR)} desc, id) as rank
+@q("find_sites", f"""select place, least(count, 200) as count, id, score, rank from (select place, id, {s(score_sql(SOLAR), 1)} as score, count(*) over (partition by place) as count, row_number() over (partition by place order by {score_sql(SOLAR)} desc, id) as rank
  from (select distinct place, bx0, by0, bx1, by1 from ({FOUND}) f) f join parcels p on x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0 where {KEEP_SOLAR}) t where rank <= 3""")
 def find_sites(spark, sf):
-    """Resolve the texts, answer each distinct area once, report count and best three."""
+    """Resolve the texts, answer each distinct area once, report page size and best three."""
     r = PL.place_resolve(view(spark, sf, "texts")).filter("source = 'gazetteer'")
     areas = r.groupBy("place").agg(F.min("box").alias("bbox"))
     no_map = F.lit(None).cast("map<string,double>")
     reqs = SC.request_columns(areas.select(
         F.col("place").alias("request_id"), F.lit("utility_solar").alias("use_case"), "bbox", no_map.alias("weights"), F.lit(None).cast("double").alias("t_min_acres"),
         F.lit(None).cast("double").alias("t_max_slope_pct"), F.lit(None).cast("boolean").alias("t_exclude_sfha"), F.lit(None).cast("boolean").alias("t_optional"),
-        F.array(F.lit("E"), F.lit("P")).alias("prohibited"), F.lit(1_000_000).alias("limit"), F.lit(0).alias("offset"))).drop("weights")
+        F.array(F.lit("E"), F.lit("P")).alias("prohibited"), F.lit(K.DEFAULT_LIMIT).alias("limit"), F.lit(0).alias("offset"))).drop("weights")
     hits = materialize(SC.batch_score(parcels_geo(spark, sf), reqs, 0.1, exact=False), "sites")
     n = hits.groupBy("request_id").agg(F.count("*").alias("count"))
     return hits.filter("rank <= 3").join(n, "request_id").select(

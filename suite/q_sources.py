@@ -194,7 +194,8 @@ def median_value_parse(spark, sf):
 def price_bodies(spark, sf):
     p = view(spark, sf, "prices")
     obs = F.struct(F.col("obs_date").alias("date"), F.col("value_text").alias("value"))
-    return p.groupBy("county", (F.col("k") % 4).alias("chunk")).agg(
+    # At most 500 observations per answer text.
+    return p.groupBy("county", F.floor(F.col("k") / 500).alias("chunk")).agg(
         F.to_json(F.struct(F.collect_list(obs).alias("observations"))).alias("body"))
 
 

@@ -496,14 +496,13 @@ def geometry_repair(spark, sf):
     return r.select("id", "repair", scaled(G.area(F.col("parts")), 1e10).alias("area10"))
 
 
-@q("boundary_union", f"select {s('sum((x1 - x0) * (y1 - y0))', 1e6)} as area6, count(*) as parts from zones where id < 100")
+@q("boundary_union", f"select {ZCODE} as zone_code, {s('sum((x1 - x0) * (y1 - y0))', 1e6)} as area6, count(*) as parts, {s('min(x0)', 1e6)} as xmin6, {s('max(y1)', 1e6)} as ymax6 from zones group by 1")
 def boundary_union(spark, sf):
-    """The nation tiles cover the region once; their parts are one geometry.
-
-    25 rows by construction of the table.
-    """
-    z = zones_geo(spark, sf).filter("id < 100").agg(F.flatten(F.collect_list("parts")).alias("parts"))
-    return z.select(scaled(G.area(F.col("parts")), 1e6).alias("area6"), F.size("parts").cast("long").alias("parts"))
+    """All polygons of a zone taken together: parts, area and extent, combined before the shuffle."""
+    z = zones_geo(spark, sf)
+    return z.groupBy("zone_code").agg(
+        scaled(F.sum(G.area(F.col("parts"))), 1e6).alias("area6"), F.sum(F.size("parts")).alias("parts"),
+        scaled(F.min("bbox.xmin"), 1e6).alias("xmin6"), scaled(F.max("bbox.ymax"), 1e6).alias("ymax6"))
 
 
 def _unit(lo, hi, v0, span):
