@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_WORK: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "landsieve", **conf: str) -> SparkSession:
@@ -43,6 +46,25 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_WORK[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Functions that run in tasks are found by their module's name, and workers don't share the driver's path.
+    """
+    app = spark.conf.get("spark.app.id", "local")
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="landsieve-code-")), "landsieve.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/landsieve/{name}-{uuid.uuid4().hex}"
 
