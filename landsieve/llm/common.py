@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsieve.session import materialize
+from landsieve.session import materialize, ship_package
 
 #: No more than this many keys can hold a HOT_PARTS-th of all rows each.
 HOT_PARTS = 2048
@@ -83,3 +83,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``fn`` over the Arrow batches of each partition; the workers get this package first."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsieve.llm.common import batches, row_numbers, texts, written
+from landsieve.llm.common import batches, map_batches, row_numbers, texts, written
 from landsieve.llm.encode import encoder
 
 PIECE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
 
         yield from batches(rows(), PIECE)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE_DDL)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECE_DDL)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

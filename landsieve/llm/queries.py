@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landsieve.llm.common import default_tokenizer, table
 from landsieve.llm.packing import pack_documents
+from landsieve.llm.secrets import digest, find_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,3 +22,8 @@ def query(fn):
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
