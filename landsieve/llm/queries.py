@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve.llm.common import default_tokenizer, table
+from landsieve.llm.near_dedup import near_duplicates
 from landsieve.llm.packing import pack_documents
 from landsieve.llm.secrets import digest, find_secrets
 
@@ -27,3 +28,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+@query
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("first")
