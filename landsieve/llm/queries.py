@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve.llm.common import default_tokenizer, table
+from landsieve.llm.line_dedup import summary
 from landsieve.llm.near_dedup import near_duplicates
 from landsieve.llm.packing import pack_documents
+from landsieve.llm.quality import verdicts
 from landsieve.llm.secrets import digest, find_secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +35,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("first")
+
+
+@query
+def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(table(spark, sf_dir, "documents"))

@@ -2,4 +2,61 @@
 
 from __future__ import annotations
 
+from landsieve.llm import quality as q
+
 ORACLE: dict[str, str] = {}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE["op6_line_rules"] = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as ws from d),
+win as (select rid, i, array_to_string(ws[i:i + 4], ' ') as k from w, unnest(range(1, len(ws) - 3)) as u(i)),
+rep as (select rid, i from (select rid, i, count(*) over (partition by rid, k) as c from win) where c > 1),
+cov as (select rid, sum(least(5, coalesce(nxt - i, 5))) as n
+        from (select rid, i, lead(i) over (partition by rid order by i) as nxt from rep) group by rid),
+li as (select rid, x, len([y for y in string_split_regex(x, '[\x20\x09-\x0D]+') if y <> '']) as nw,
+              length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) as chars,
+              len(regexp_extract_all(x, '{q.SEPARATORS}')) as seps, len(regexp_extract_all(x, '{q.SYMBOLS}')) as syms,
+              len(regexp_extract_all(x, '{q.SHOUTS}')) as shouts
+       from (select rid, unnest(string_split(t, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+bad as (select *, (seps >= {q.MIN_SEPARATORS} and seps * 100 >= nw * {q.SEPARATOR_PERCENT})
+               or (nw >= {q.SENTENCE_WORDS} and not regexp_matches(x, {_quoted(q.FINAL)}))
+               or syms * 100 > nw * {q.MAX_SYMBOL_PERCENT} or shouts * 100 > nw * {q.MAX_SHOUT_PERCENT}
+               or regexp_matches(lower(x), {_quoted('|'.join(q.BOILERPLATE))}) as fails from li),
+ls as (select rid, count(*) - count(distinct x) as dups, coalesce(sum(chars) filter (where fails), 0) as lost
+       from bad group by rid),
+m as (select w.rid, doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+             len(regexp_extract_all(t, '{q.SYMBOLS}')) as n_symbols, coalesce(dups, 0) as n_dup_lines,
+             coalesce(cov.n, 0) as n_repeat_words, coalesce(lost, 0) as lost_chars
+      from w left join ls on w.rid = ls.rid left join cov on w.rid = cov.rid),
+b as (select *, n_words < {q.MIN_WORDS} or 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words as base_failed from m)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, lost_chars::bigint as lost_chars,
+       base_failed, not base_failed and not lost_chars * 100 > word_chars * {q.MAX_LOST_PERCENT} as kept from b
+"""
+
+ORACLE["op5_line_windows"] = r"""
+with d as (select distinct doc_id, text from documents),
+n as (select row_number() over (order by doc_id nulls last, md5(text)) as rid, doc_id, text from d),
+s as (select rid, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i
+      from n where text is not null),
+li as (select rid, x, row_number() over (partition by rid order by i) - 1 as pos from s
+       where regexp_matches(x, '[^\x20\x09-\x0D]')),
+win as (select rid, pos, x || chr(10) || lead(x, 1) over o || chr(10) || lead(x, 2) over o as k from li
+        window o as (partition by rid order by pos)),
+occ as (select rid, pos, first_value(rid) over f as rid1, first_value(pos) over f as pos1 from win where k is not null
+        window f as (partition by k order by rid, pos)),
+cov as (select distinct rid, unnest(range(case when rid = rid1 then greatest(pos, pos1 + 3) else pos end, pos + 3)) as pos
+        from occ where not (rid = rid1 and pos = pos1)),
+kept as (select li.rid, count(*) as n_lines, count(cov.pos) as n_removed,
+                string_agg(case when cov.pos is null then x end, chr(10) order by li.pos) as t
+         from li left join cov on li.rid = cov.rid and li.pos = cov.pos group by li.rid)
+select o.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed,
+       md5(case when coalesce(n_removed, 0) = 0 then o.text else coalesce(t, '') end) as text_md5
+from documents o join n on o.doc_id is not distinct from n.doc_id and o.text is not distinct from n.text
+left join kept on n.rid = kept.rid
+"""
