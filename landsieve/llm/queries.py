@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve.llm.common import default_tokenizer, table
+from landsieve.llm.html_text import page_texts
 from landsieve.llm.line_dedup import summary
 from landsieve.llm.near_dedup import near_duplicates
 from landsieve.llm.packing import pack_documents
 from landsieve.llm.quality import verdicts
 from landsieve.llm.secrets import digest, find_secrets
+from landsieve.llm.top_k import embedding_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,3 +47,13 @@ def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_top_k(table(spark, sf_dir, "embeddings"))

@@ -60,3 +60,14 @@ select o.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)
 from documents o join n on o.doc_id is not distinct from n.doc_id and o.text is not distinct from n.text
 left join kept on n.rid = kept.rid
 """
+
+ORACLE["op4_threshold_top_k"] = """
+with v as (select distinct vec_id, [floor(64 * x::double)::bigint for x in embedding] as z from embeddings
+           where vec_id is not null and embedding is not null
+           and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (select q.vec_id as query_id, q.z as qz, c.vec_id as vec_id,
+             list_inner_product(q.z::double[], c.z::double[])::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id, qz order by score desc, vec_id) as rank from s)
+select query_id, rank::integer as rank, vec_id, score from r where rank <= 20
+"""
