@@ -5,17 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from landsieve.llm.common import default_tokenizer, table, written
+from landsieve.llm.line_dedup import without_repeats
+from landsieve.llm.near_dedup import without_near_duplicates
 from landsieve.llm.packing import pack_documents
+from landsieve.llm.quality import clean
+from landsieve.llm.secrets import mask_secrets
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines."""
+    return clean(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of repeated three-line windows."""
+    return without_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return without_near_duplicates(docs, width=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return mask_secrets(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every token piece of the documents that are left, in sequences of 1024 ids."""
     return pack_documents(docs, default_tokenizer())
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
-#: Token ids can't be made in SQL; tests compare run() with a brute-force version.
+#: Signatures and token ids can't be made in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

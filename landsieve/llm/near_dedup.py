@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landsieve.llm.common import batches, join_counted, map_batches, row_numbers, texts, words_of, written
 from landsieve.llm.components import components
@@ -39,8 +40,6 @@ _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2)
 _PERMUTED = [np.concatenate([[2 * o, 2 * o + 1], _rng.permutation(
     [c for c in range(COORDINATES) if c // 2 != o])]) for o in range(ORDERS)]
 
-_SIGNED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("seq", pa.binary()),
-                     ("sig", pa.binary()), ("body", pa.binary())])
 _SIGNED_DDL = "uid long, doc_id long, n_shingles long, seq binary, sig binary, body binary"
 
 
@@ -85,35 +84,34 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sign(docs: DataFrame, width: int) -> DataFrame:
-    """Each document's set size, digest of its word sequence, signature and normalised words."""
+def sign(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """Each document's set size, digest of its word sequence, signature, normalised words and kept columns."""
+    row = F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row")
+    inputs = docs.select(F.col("doc_id").cast("long"), "text", row)
+    out = T.StructType([*T.StructType.fromDDL(_SIGNED_DDL).fields, inputs.schema["row"]])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = row_numbers()
 
-        def flush(ids, docs_words, sets):
-            rows = zip(ids, docs_words, sets, signatures(sets), strict=True)
-            for doc, words, s, sig in rows:
-                body = b" ".join(words)
-                yield next(uid), doc, len(s), xxhash.xxh3_128_digest(body), sig.tobytes(), body
+        def signed(part: pa.RecordBatch, docs_words: list[list[bytes]], sets: list[np.ndarray]) -> pa.RecordBatch:
+            bodies = [b" ".join(words) for words in docs_words]
+            own = [pa.array([next(uid) for _ in sets], pa.int64()), part.column(0),
+                   pa.array([len(s) for s in sets], pa.int64()),
+                   pa.array([xxhash.xxh3_128_digest(b) for b in bodies], pa.binary()),
+                   pa.array([x.tobytes() for x in signatures(sets)], pa.binary()), pa.array(bodies, pa.binary())]
+            return pa.RecordBatch.from_arrays([*own, part.column(2)], names=out.names)
 
-        def rows():
-            ids, docs_words, sets, held = [], [], [], 0
-            for batch in source:
-                for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    words = words_of(text)
-                    ids.append(doc)
-                    docs_words.append(words)
-                    sets.append(shingle_hashes(words, width))
-                    held += len(words) + 1
-                    if held > BLOCK_WORDS:
-                        yield from flush(ids, docs_words, sets)
-                        ids, docs_words, sets, held = [], [], [], 0
-            yield from flush(ids, docs_words, sets)
-
-        yield from batches(rows(), _SIGNED, 512)
+        for batch in source:
+            start, docs_words, sets, held = 0, [], [], 0
+            for i, text in enumerate(texts(batch.column(1)), 1):
+                docs_words.append(words_of(text))
+                sets.append(shingle_hashes(docs_words[-1], width))
+                held += len(docs_words[-1])
+                if held > BLOCK_WORDS or i == batch.num_rows:
+                    yield signed(batch.slice(start, i - start), docs_words, sets)
+                    start, docs_words, sets, held = i, [], [], 0
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, _SIGNED_DDL)
+    return map_batches(inputs, run, out)
 
 
 def _prefix_keys(nodes: DataFrame, depth: int) -> DataFrame:
@@ -220,9 +218,12 @@ def confirmed(members: DataFrame, bodies: DataFrame, width: int, percent: int) -
     return map_batches(met.select("region", "node", "body"), run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """For each document: doc_id, n_shingles, component_id, kept, and ``first`` (true for one row of each group)."""
-    signed = written(sign(docs, width), "signed")
+def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
+    """For each document: doc_id, n_shingles, component_id, kept, and ``first`` (true for one row of each group).
+
+    ``keep`` names columns that come back beside these, in the struct ``row``.
+    """
+    signed = written(sign(docs, width, keep or []), "signed")
     has_set = signed.filter("n_shingles > 0")
     reps = written(has_set.groupBy("seq").agg(
         F.min("uid").alias("node"), F.min("doc_id").alias("doc"), F.min_by("sig", "uid").alias("sig"),
@@ -236,10 +237,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
                                          F.count(F.lit(1)).alias("texts"))
     by_text = written(join_counted(rooted.select("seq", "n", "root"), of_root, "root", reps.count(), "texts")
                       .select("seq", "n", "component_id", F.col("lead.uid").alias("lead")), "by_text")
-    plain = signed.select("uid", "doc_id", "n_shingles", "seq")
+    carried = ["row"] if keep else []
+    plain = signed.select("uid", "doc_id", "n_shingles", "seq", *carried)
     grouped = join_counted(plain.filter("n_shingles > 0"), by_text, "seq", has_set.count())
     alone = plain.filter("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "lead": F.col("uid")})
-    cols = ["uid", "doc_id", "n_shingles", "component_id", "lead"]
+    cols = ["uid", "doc_id", "n_shingles", "component_id", "lead", *carried]
     return grouped.select(*cols).unionByName(alone.select(*cols)).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        (F.col("uid") == F.col("lead")).alias("first"))
+        (F.col("uid") == F.col("lead")).alias("first"), *carried)
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group: that with the least id."""
+    found = near_duplicates(docs, width, percent, docs.columns)
+    return found.filter("first").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
