@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landsieve.llm.common import written
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -105,8 +107,11 @@ def rate(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with the lines that pass; n_chars, where there is one, follows the text."""
-    kept = rate(docs).filter("_q_kept")
+    """Documents that pass, with the lines that pass; n_chars, where there is one, follows the text.
+
+    The verdicts are written first: a filter pushed through them would repeat their expressions many times over.
+    """
+    kept = written(rate(docs).select(*docs.columns, "_q_clean", "_q_kept"), "rated").filter("_q_kept")
     changed = {"text": F.col("_q_clean")} | ({"n_chars": F.length("_q_clean").cast(docs.schema["n_chars"].dataType)}
                                              if "n_chars" in docs.columns else {})
     return kept.withColumns(changed).select(*docs.columns)
