@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landsieve.llm.automaton import encode_decode
 from landsieve.llm.common import default_tokenizer, table
 from landsieve.llm.html_text import page_texts
 from landsieve.llm.line_dedup import summary
@@ -14,6 +15,7 @@ from landsieve.llm.near_dedup import near_duplicates
 from landsieve.llm.packing import pack_documents
 from landsieve.llm.quality import verdicts
 from landsieve.llm.secrets import digest, find_secrets
+from landsieve.llm.separator_scan import document_token_counts
 from landsieve.llm.top_k import embedding_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +59,13 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"), default_tokenizer())
