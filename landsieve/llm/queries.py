@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landsieve.llm.automaton import encode_decode
 from landsieve.llm.common import default_tokenizer, table
+from landsieve.llm.hmm import score_documents
 from landsieve.llm.html_text import page_texts
 from landsieve.llm.line_dedup import summary
 from landsieve.llm.near_dedup import near_duplicates
@@ -69,3 +70,8 @@ def op7_merge_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+@query
+def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
