@@ -214,7 +214,7 @@ def confirmed(members: DataFrame, bodies: DataFrame, width: int, percent: int) -
 
         yield from batches(rows(), schema)
 
-    met = members.join(bodies, "node").repartition("region").sortWithinPartitions("region", "node")
+    met = members.join(bodies.hint("merge"), "node").repartition("region").sortWithinPartitions("region", "node")
     return map_batches(met.select("region", "node", "body"), run, "a long, b long").distinct()
 
 
@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, keep: li
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("lead")), "reps")
     members = written(regions(reps), "regions")
     wanted = members.select("node").distinct()
-    bodies = has_set.select(F.col("uid").alias("node"), "body").join(wanted, "node", "left_semi")
+    # texts are dealt by node at every size: a plan that turns from a broadcast to this at some size scales by surprise
+    bodies = has_set.select(F.col("uid").alias("node"), "body").join(wanted.hint("merge"), "node", "left_semi")
     roots = components(written(confirmed(members, bodies, width, percent), "confirmed"))
     rooted = written(reps.drop("sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     of_root = rooted.groupBy("root").agg(F.min("doc").alias("component_id"), F.min("lead").alias("lead"),
