@@ -34,12 +34,16 @@ def build_session(master: str | None = None, app: str = "landsieve", **conf: str
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where that setting is absent, which is
-    the case in tests on one machine.
+    Where that setting is absent, a folder of this machine is made if the whole
+    of Spark runs on it. On a cluster that is an error: each executor would
+    write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _LOCAL_WORK:
         _LOCAL_WORK[app] = tempfile.mkdtemp(prefix="spark-landsieve-", dir="/tmp")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,56 +88,106 @@ def read_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_feature_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Line-delimited features: splittable, for layers of any size."""
-    rows = spark.read.schema("properties map<string,string>, geometry struct<type:string,coordinates:string>").json(path)
-    return rows.select("properties", F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("coordinates"))
+    """Line-delimited features: splittable, for layers of any size; the same columns as ``read_features``.
+
+    ``pos`` numbers the features over all files; it is the same at every
+    reading while files and split sizes stay, so write the layer before joining
+    it with itself under other settings. A line that is no feature fails the read.
+    """
+    lines = spark.read.schema("value string").text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_row"))
+    f = F.from_json("value", FEATURE_T)
+    whole = F.when(f["geometry"].isNull() & f["properties"].isNull(), F.raise_error(
+        F.concat(F.lit("not a feature: "), F.substring("value", 1, 80)))).otherwise(f)
+    return lines.filter(F.trim("value") != "").select("source_file", F.col("_row").alias("pos"), whole.alias("f")).select(
+        "source_file", "pos", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"),
+        F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def property_columns(features: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """Turn the properties map into columns.
 
     Without ``names`` the distinct property names are listed first; their
-    number is the width of the layer's attribute table.
+    number is the width of the layer's attribute table. Names that differ only
+    in case give one column, filled from the first that has a value. A name
+    that the feature's own columns use gets a ``property_`` in front.
     """
     if names is None:
         names = [r[0] for r in features.select(F.explode(F.map_keys("properties"))).distinct().collect()]
     rest = [c for c in features.columns if c != "properties"]
-    return features.select(*rest, *[F.col("properties")[n].alias(n) for n in sorted(names)])
+    taken, alike = {c.lower() for c in rest}, {}
+    for n in sorted(names):
+        alike.setdefault(n.lower(), []).append(n)
+    cols = [F.coalesce(*[F.col("properties")[n] for n in same]).alias(("property_" if low in taken else "") + same[0])
+            for low, same in alike.items()]
+    return features.select(*rest, *cols)
 
 
-def page_report(pages: DataFrame, page_size: int, expected: int | None = None, body: str = "body") -> DataFrame:
-    """Per page: feature count, error text, and whether it comes after the end.
+MORE_T = "exceededTransferLimit:string"
+PAGE_T = f"struct<error:string,properties:struct<{MORE_T}>,{MORE_T},features:array<{FEATURE_T}>>"
 
-    The layer ends at the first page with fewer than ``page_size`` features.
+
+def page_report(pages: DataFrame, page_size: int, body: str = "body") -> DataFrame:
+    """Per page: feature count ``n``, error text, ``more`` and ``used``.
+
+    A page promises more when it says so (transfer limit flag, at the top or in
+    the properties) or is full. The layer ends at the first page that does not.
+    A body without readable features carries the error ``unreadable``.
     """
-    p = F.from_json(F.col(body), f"error string, features array<{FEATURE_T}>")
-    rep = pages.select("page", F.coalesce(F.size(p["features"]), F.lit(0)).alias("n"), p["error"].alias("error"))
-    last = rep.filter(F.col("n") < page_size).select(F.min("page")).scalar()
-    return rep.withColumn("used", F.coalesce(F.col("page") <= last, F.lit(True)))
+    p = F.from_json(F.col(body), PAGE_T)
+    flag = lambda c: F.coalesce(F.lower(c) == "true", F.lit(False))
+    n = F.coalesce(F.size(p["features"]), F.lit(0))
+    error = F.coalesce(p["error"], F.when(p["features"].isNull(), F.lit("unreadable")))
+    rep = pages.select("page", n.alias("n"), error.alias("error"), (
+        (n > 0) & ((n >= page_size) | flag(p["exceededTransferLimit"]) | flag(p["properties"]["exceededTransferLimit"]))
+    ).alias("more"))
+    ends = rep.filter(~F.col("more") & F.col("error").isNull()).agg(F.min("page").alias("end"))
+    return rep.crossJoin(F.broadcast(ends)).withColumn("used", F.coalesce(F.col("page") <= F.col("end"), F.lit(True))).drop("end")
 
 
 def read_feature_pages(pages: DataFrame, page_size: int, expected: int | None = None, body: str = "body") -> DataFrame:
-    """Features of all pages of one layer (columns page, body).
+    """Features of all pages of one layer (columns page, body); nothing is left out in silence.
 
-    An error page fails the read, as does a total other than ``expected``.
+    The read fails on a page with an error or an unreadable body, a missing or
+    repeated page number, features after the page that ends the layer, a last
+    page that promises more, and a total other than ``expected``.
+    """
+    rep = page_report(pages, page_size, body)
+    r = rep.agg(
+        F.count_if(F.col("error").isNotNull()).alias("errors"), F.count(F.lit(1)).alias("pages"),
+        F.countDistinct("page").alias("numbers"), F.min("page").alias("first"), F.max("page").alias("last"),
+        F.sum("n").alias("total"), F.count_if(~F.col("used") & (F.col("n") > 0)).alias("beyond"),
+        F.max_by("more", "page").alias("promised")).first()
+    if r["errors"]:
+        raise SourceError(f"{r['errors']} page(s) carry an error or can't be read")
+    if r["pages"] != r["numbers"] or r["pages"] and r["last"] - r["first"] + 1 != r["pages"]:
+        raise SourceError(f"page numbers from {r['first']} to {r['last']} have gaps or repeats ({r['pages']} pages)")
+    if r["beyond"]:
+        raise SourceError(f"{r['beyond']} page(s) with features follow the page that ends the layer")
+    total = r["total"] or 0
+    if expected is not None and total != expected:
+        raise SourceError(f"pages hold {total} features, expected {expected}")
+    if expected is None and r["promised"]:
+        raise SourceError("the last page promises more features")
+    return collection_features(pages, body)
+
+
+def source_fallback(candidates: list[tuple[str, DataFrame | Callable[[], DataFrame]]]) -> tuple[str, DataFrame]:
+    """First source, in order, that can be read and has at least one row.
+
+    A source may be a function, so that one whose opening fails is passed over
+    like one that fails when read.
     """
-    rep = page_report(pages, page_size, expected, body)
-    errors, total = rep.agg(
-        F.count_if(F.col("used") & F.col("error").isNotNull()), F.sum(F.when(F.col("used"), F.col("n")))).first()
-    if errors:
-        raise SourceError(f"{errors} page(s) carry an error")
-    if expected is not None and (total or 0) != expected:
-        raise SourceError(f"pages hold {total or 0} features, expected {expected}")
-    used = pages.join(rep.filter("used").select("page"), "page", "left_semi")
-    return collection_features(used, body)
-
-
-def source_fallback(candidates: list[tuple[str, DataFrame]]) -> tuple[str, DataFrame]:
-    """First source, in order, with at least one row."""
-    for label, df in candidates:
-        if not df.isEmpty():
-            return label, df
-    raise SourceError(f"no usable source among {[label for label, _ in candidates]}")
+    failed = []
+    for label, source in candidates:
+        try:
+            df = source() if callable(source) else source
+            if not df.isEmpty():
+                return label, df
+            failed.append(f"{label}: no rows")
+        except (PySparkException, Py4JJavaError, SourceError, OSError) as err:
+            failed.append(f"{label}: {str(err).splitlines()[0][:200]}")
+    raise SourceError("no usable source; " + "; ".join(failed))
 
 
 def predicate_into_scan(df: DataFrame, box: tuple[float, float, float, float], where: Column | None = None) -> DataFrame:
