@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from landsieve.functions import geometry as G
+from landsieve.session import ship_package
 
 
 def _loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
@@ -56,20 +56,43 @@ def _area2(loop) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(loop, loop[1:]))
 
 
+def _inside(point, loop) -> bool:
+    """Even-odd test of a point against a closed loop."""
+    x, y = point
+    odd = False
+    for (ax, ay), (bx, by) in zip(loop, loop[1:]):
+        if (ay > y) != (by > y) and x < ax + (y - ay) / (by - ay) * (bx - ax):
+            odd = not odd
+    return odd
+
+
+def _simple(ring) -> list:
+    """Simple loops with area of one ring."""
+    pts = [(p["x"], p["y"]) for p in ring]
+    if pts and pts[0] != pts[-1]:
+        pts.append(pts[0])
+    return [lp for lp in _loops(pts) if _area2(lp) != 0]
+
+
 def _repair(parts) -> list | None:
-    """Valid simple parts of one polygon; None when nothing with area is left."""
+    """Valid simple parts of one polygon; None when nothing with area is left.
+
+    Every loop of an outer ring is a part of its own. A loop of a hole goes to
+    the part that holds it; one that no part holds cuts nothing out.
+    """
     out = []
     for part in parts if parts is not None else []:
+        shells, holes = [], []
         for k, ring in enumerate(part["rings"]):
-            pts = [(p["x"], p["y"]) for p in ring]
-            if pts and pts[0] != pts[-1]:
-                pts.append(pts[0])
-            good = [lp for lp in _loops(pts) if _area2(lp) != 0]
-            as_rings = [[{"x": x, "y": y} for x, y in lp] for lp in good]
-            if k == 0:
-                out.extend({"rings": [r]} for r in as_rings)
-            elif out:
-                out[-1]["rings"].extend(as_rings)
+            (holes if k else shells).extend(_simple(ring))
+        found = [[shell] for shell in shells]
+        for hole in holes:
+            middle = ((hole[0][0] + hole[1][0]) / 2, (hole[0][1] + hole[1][1]) / 2)
+            for rings in found:
+                if _inside(middle, rings[0]):
+                    rings.append(hole)
+                    break
+        out.extend({"rings": [[{"x": x, "y": y} for x, y in lp] for lp in rings]} for rings in found)
     return out or None
 
 
@@ -77,16 +100,23 @@ def geometry_repair(df: DataFrame, parts: str = "parts") -> DataFrame:
     """Replace invalid polygons by valid ones; add ``repair`` (ok, repaired, quarantined).
 
     Only the rows that fail the check leave the JVM; they keep their columns
-    and travel in Arrow batches.
+    and travel in Arrow batches. A repaired polygon is checked again, and one
+    that still fails is quarantined without geometry.
     """
     checked = df.withColumn("_problem", G.geometry_problem(F.col(parts)))
     fine = checked.filter("_problem is null").drop("_problem").withColumn("repair", F.lit("ok"))
     bad = checked.filter("_problem is not null").drop("_problem")
-    schema = T.StructType([*df.schema.fields, T.StructField("repair", T.StringType())])
 
-    def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fixed = [_repair(p) for p in pdf[parts]]
-            yield pdf.assign(**{parts: fixed, "repair": ["repaired" if f else "quarantined" for f in fixed]})
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(parts)
+            fixed = pa.array([_repair(p) for p in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:at], fixed, *batch.columns[at + 1:]], names=batch.schema.names)
 
-    return fine.unionByName(bad.mapInPandas(fix, schema))
+    ship_package(df.sparkSession)
+    again = bad.mapInArrow(fix, df.schema).withColumn("_problem", G.geometry_problem(F.col(parts)))
+    sound = F.col("_problem").isNull()
+    mended = again.withColumns({parts: F.when(sound, F.col(parts)),
+                                "repair": F.when(sound, F.lit("repaired")).otherwise(F.lit("quarantined"))}).drop("_problem")
+    return fine.unionByName(mended)
