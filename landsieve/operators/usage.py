@@ -15,34 +15,46 @@ VOICE_USAGE = (
 )
 
 
+#: Money is kept in whole billionths of a dollar, so that sums don't depend on their order.
+NANO = 1_000_000_000
+
+
+def nano_rate(usd_per_million: float) -> Column:
+    """Price of one token in nano-dollars; the published prices are whole numbers of these."""
+    nano = round(usd_per_million * 1000)
+    if abs(nano - usd_per_million * 1000) > 1e-9:
+        raise ValueError(f"{usd_per_million} USD per million is no whole number of nano-dollars per token")
+    return F.lit(nano).cast("long")
+
+
 def count_of(c: Column) -> Column:
     """Token count: whole, not negative, anything unreadable is zero."""
     return F.greatest(F.coalesce(F.floor(c.try_cast("double")).cast("long"), F.lit(0)), F.lit(0))
 
 
 def text_rate(model: Column, which: int) -> Column:
-    """Rate of the longest known name contained in the model id."""
+    """Rate (nano-dollars a token) of the longest known name contained in the model id."""
     low, out = F.lower(F.coalesce(model, F.lit(""))), None
     for name in sorted(K.TEXT_RATES, key=len, reverse=True):
-        hit, rate = low.contains(name), F.lit(K.TEXT_RATES[name][which])
+        hit, rate = low.contains(name), nano_rate(K.TEXT_RATES[name][which])
         out = F.when(hit, rate) if out is None else out.when(hit, rate)
-    return out.otherwise(F.lit(K.DEFAULT_TEXT_RATE[which]))
+    return out.otherwise(nano_rate(K.DEFAULT_TEXT_RATE[which]))
 
 
 def text_cost(usage: Column, model: Column) -> Column:
-    """USD of one text turn; a missing usage costs nothing."""
+    """Nano-dollars of one text turn; a missing usage costs nothing."""
     def either(a, b):
         first = usage[a].try_cast("double")
         return F.when(F.coalesce(first, F.lit(0.0)) != 0, count_of(usage[a])).otherwise(count_of(usage[b]))
 
     fresh_total, out = either("input_tokens", "request_tokens"), either("output_tokens", "response_tokens")
     cached = F.least(count_of(usage["cache_read_tokens"]), fresh_total)
-    usd = ((fresh_total - cached) * text_rate(model, 0) + cached * text_rate(model, 2) + out * text_rate(model, 1)) / 1e6
-    return F.when(usage.isNull(), F.lit(0.0)).otherwise(usd)
+    nano = (fresh_total - cached) * text_rate(model, 0) + cached * text_rate(model, 2) + out * text_rate(model, 1)
+    return F.when(usage.isNull(), F.lit(0).cast("long")).otherwise(nano)
 
 
 def voice_cost(usage: Column) -> Column:
-    """USD of one voice turn. A side without a modality split counts as audio."""
+    """Nano-dollars of one voice turn. A side without a modality split counts as audio."""
     i, o = usage["input_token_details"], usage["output_token_details"]
     cached = F.when(i["cached_tokens_details"].isNotNull(), count_of(i["cached_tokens_details"]["audio_tokens"])).otherwise(
         count_of(i["cached_tokens"]))
@@ -50,26 +62,31 @@ def voice_cost(usage: Column) -> Column:
     in_audio = F.when((count_of(i["audio_tokens"]) == 0) & (in_text == 0), count_of(usage["input_tokens"])).otherwise(count_of(i["audio_tokens"]))
     out_audio = F.when((count_of(o["audio_tokens"]) == 0) & (out_text == 0), count_of(usage["output_tokens"])).otherwise(count_of(o["audio_tokens"]))
     fresh = F.greatest(in_audio - cached, F.lit(0))
-    usd = (
-        fresh * F.lit(K.VOICE_AUDIO_IN + K.TRANSCRIBE_AUDIO_IN) + cached * F.lit(K.VOICE_AUDIO_CACHED)
-        + in_text * F.lit(K.VOICE_TEXT_IN) + out_audio * F.lit(K.VOICE_AUDIO_OUT) + out_text * F.lit(K.VOICE_TEXT_OUT)
-    ) / 1e6
-    return F.when(usage.isNull(), F.lit(0.0)).otherwise(usd)
+    nano = (
+        fresh * nano_rate(K.VOICE_AUDIO_IN + K.TRANSCRIBE_AUDIO_IN) + cached * nano_rate(K.VOICE_AUDIO_CACHED)
+        + in_text * nano_rate(K.VOICE_TEXT_IN) + out_audio * nano_rate(K.VOICE_AUDIO_OUT)
+        + out_text * nano_rate(K.VOICE_TEXT_OUT))
+    return F.when(usage.isNull(), F.lit(0).cast("long")).otherwise(nano)
 
 
 def price_events(events: DataFrame) -> DataFrame:
-    """Add ``cost_usd`` to events with mode (text/voice), model and usage JSON."""
+    """Add ``cost_nano`` and ``cost_usd`` to events with mode (text/voice), model and usage JSON."""
     text = text_cost(F.from_json("usage", TEXT_USAGE), F.col("model"))
     voice = voice_cost(F.from_json("usage", VOICE_USAGE))
-    return events.withColumn("cost_usd", F.when(F.col("mode") == "voice", voice).otherwise(text))
+    priced = events.withColumn("cost_nano", F.when(F.col("mode") == "voice", voice).otherwise(text))
+    return priced.withColumn("cost_usd", F.col("cost_nano") / F.lit(NANO))
 
 
 def chargeable(priced: DataFrame) -> DataFrame:
-    return priced.filter((F.col("cost_usd") > 0) & F.coalesce(F.col("client") != "", F.lit(False)))
+    return priced.filter((F.col("cost_nano") > 0) & F.coalesce(F.col("client") != "", F.lit(False)))
 
 
 def spend_ledger(priced: DataFrame) -> DataFrame:
-    return chargeable(priced).groupBy("client", "mode").agg(F.sum("cost_usd").alias("spent_usd"))
+    """Spend per client and mode; a repeated event id is charged once."""
+    named = priced.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    once = named.unionByName(priced.filter(F.col("event_id").isNull()))
+    sums = chargeable(once).groupBy("client", "mode").agg(F.sum("cost_nano").alias("spent_nano"))
+    return sums.withColumn("spent_usd", F.col("spent_nano") / F.lit(NANO))
 
 
 def effective_cap(cap: float | None) -> float:
@@ -81,7 +98,7 @@ def effective_cap(cap: float | None) -> float:
 
 def cap_status(ledger: DataFrame, cap: float | None = None) -> DataFrame:
     limit = effective_cap(cap)
-    reached = (F.col("spent_usd") >= F.lit(limit)) if limit > 0 else F.lit(False)
+    reached = (F.col("spent_nano") >= F.lit(round(limit * NANO))) if limit > 0 else F.lit(False)
     return ledger.withColumn("limit_usd", F.lit(limit)).withColumn("limit_reached", reached)
 
 
@@ -93,11 +110,13 @@ def cap_crossings(priced: DataFrame, cap: float | None = None, bucket: str = "da
     then ordered one by one. A client with a third of all events is therefore
     never sorted as a whole.
     """
-    limit = effective_cap(cap)
-    paid = chargeable(priced).withColumn("_b", F.date_trunc(bucket, "ts"))
+    limit = round(effective_cap(cap) * NANO)
+    named = priced.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    once = named.unionByName(priced.filter(F.col("event_id").isNull()))
+    paid = chargeable(once).withColumn("_b", F.date_trunc(bucket, "ts"))
     if limit <= 0:
         return paid.select("client", "mode", "event_id", "ts", F.lit(0.0).alias("spent_usd")).filter(F.lit(False))
-    sums = paid.groupBy("client", "mode", "_b").agg(F.sum("cost_usd").alias("s"))
+    sums = paid.groupBy("client", "mode", "_b").agg(F.sum("cost_nano").alias("s"))
     upto = Window.partitionBy("client", "mode").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     hit = (
         sums.withColumn("run", F.sum("s").over(upto)).withColumn("before", F.col("run") - F.col("s"))
@@ -105,6 +124,6 @@ def cap_crossings(priced: DataFrame, cap: float | None = None, bucket: str = "da
     inner = Window.partitionBy("client", "mode", "_b").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     first = Window.partitionBy("client", "mode").orderBy("ts", "event_id")
     return (
-        paid.join(hit, ["client", "mode", "_b"]).withColumn("spent_usd", F.col("before") + F.sum("cost_usd").over(inner))
-        .filter(F.col("spent_usd") >= limit).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-        .select("client", "mode", "event_id", "ts", "spent_usd"))
+        paid.join(hit, ["client", "mode", "_b"]).withColumn("spent", F.col("before") + F.sum("cost_nano").over(inner))
+        .filter(F.col("spent") >= limit).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+        .select("client", "mode", "event_id", "ts", (F.col("spent") / F.lit(NANO)).alias("spent_usd")))

@@ -1,75 +1,119 @@
-"""Structured Streaming jobs over usage events."""
+"""Structured Streaming jobs over usage events.
+
+Each micro-batch writes folders of its own number, so a batch that is run again replaces what it wrote. An event is
+charged once: ids of earlier batches are looked up in what those wrote, by day, so events may be as late as they
+like and none is dropped. A replayed event carries its first timestamp; events without id are all charged.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from landsieve.operators.usage import chargeable, effective_cap, price_events
+from landsieve.operators.usage import NANO, chargeable, effective_cap, price_events
+
+EVENTS = "event_id long, ts timestamp, client string, mode string, cost_nano long, cost_usd double"
+TOTALS = "client string, mode string, before_nano long, spent_nano long"
+
+
+def _open(spark: SparkSession, path: str, schema: str, *keys: str) -> None:
+    """Make an empty first folder, so that the table can be read before any batch has written."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*keys).parquet(f"{path}/batch=-1")
+
+
+def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < batch_id)
+
+
+def new_events(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """Events of ``batch`` that neither it nor an earlier batch holds already."""
+    timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+    named = timed.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
+    known = _earlier(batch.sparkSession, path, f"{EVENTS}, day date", batch_id).select("event_id", "day").distinct()
+    fresh = named.withColumn("day", F.to_date("ts")).join(known.withColumnRenamed("event_id", "_id").withColumnRenamed(
+        "day", "_day"), (F.col("event_id") == F.col("_id")) & F.col("day").eqNullSafe(F.col("_day")), "left_anti")
+    return fresh.drop("day").unionByName(timed.filter(F.col("event_id").isNull()))
+
+
+def _save_events(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """Price the new events of a batch, keep them, and read them back."""
+    spark = batch.sparkSession
+    priced = price_events(new_events(batch, batch_id, path)).select(*[c.split()[0] for c in EVENTS.split(", ")])
+    own = f"{path}/batch={batch_id}"
+    priced.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(own)
+    return spark.read.schema(f"{EVENTS}, day date").parquet(own)
 
 
-def priced_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Price each event once; a replayed event id inside the watermark is dropped."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return price_events(timed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]))
+def _start(events: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return (events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def write_priced(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    return (
-        priced_stream(events).writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    """Every event once, with its cost."""
+    _open(events.sparkSession, out, f"{EVENTS}, day date", "day")
+    return _start(events, checkpoint, lambda batch, k: _save_events(batch, k, out) and None)
 
 
-def ledger_stream(events: DataFrame) -> DataFrame:
-    """Running spend per client and mode.
+def read_priced(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(out)
 
-    The sum is combined inside each task before the shuffle and again with the
-    state, so a client with very many events does not overload one task.
+
+def _book(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """Totals of the clients that this batch charges, before and after it.
+
+    The batch's sum is combined inside each task before the shuffle, so a client
+    with very many events does not overload one task.
     """
-    return chargeable(price_events(events)).groupBy("client", "mode").agg(F.sum("cost_usd").alias("spent_usd"))
+    spark = batch.sparkSession
+    sums = chargeable(_save_events(batch, batch_id, f"{out}/events")).groupBy("client", "mode").agg(
+        F.sum("cost_nano").alias("now"))
+    last = _earlier(spark, f"{out}/totals", TOTALS, batch_id).groupBy("client", "mode").agg(
+        F.max_by("spent_nano", "batch").alias("before"))
+    before = F.coalesce("before", F.lit(0).cast("long"))
+    own = f"{out}/totals/batch={batch_id}"
+    sums.join(last, ["client", "mode"], "left").select(
+        "client", "mode", before.alias("before_nano"), (before + F.col("now")).alias("spent_nano")
+    ).write.mode("overwrite").parquet(own)
+    return spark.read.schema(TOTALS).parquet(own)
 
 
-def write_ledger(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Changed totals of each micro-batch, one folder per batch (safe to replay)."""
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+def _open_book(spark: SparkSession, out: str) -> None:
+    _open(spark, f"{out}/events", f"{EVENTS}, day date", "day")
+    _open(spark, f"{out}/totals", TOTALS)
+
 
-    return (
-        ledger_stream(events).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def write_ledger(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Changed totals of each micro-batch."""
+    _open_book(events.sparkSession, out)
+    return _start(events, checkpoint, lambda batch, k: _book(batch, k, out) and None)
 
 
-def read_ledger(spark, out: str) -> DataFrame:
+def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     """Latest total of each client and mode."""
-    rows = spark.read.parquet(f"{out}/batch=*")
-    return rows.groupBy("client", "mode").agg(F.max_by("spent_usd", "batch_id").alias("spent_usd"))
+    rows = spark.read.schema(f"{TOTALS}, batch long").parquet(f"{out}/totals")
+    latest = rows.groupBy("client", "mode").agg(F.max_by("spent_nano", "batch").alias("spent_nano"))
+    return latest.withColumn("spent_usd", F.col("spent_nano") / F.lit(NANO))
 
 
 def write_alerts(events: DataFrame, out: str, checkpoint: str, cap: float | None = None) -> StreamingQuery:
-    """One alert per client and mode, in the batch in which the cap is reached.
-
-    A batch that is replayed writes its own folder again, and an alert already
-    raised by an earlier batch is not raised twice.
-    """
-    limit = effective_cap(cap)
+    """One alert per client and mode, in the batch that takes its total from below the cap to the cap or beyond."""
+    limit = round(effective_cap(cap) * NANO)
+    spark = events.sparkSession
+    _open_book(spark, out)
+    _open(spark, f"{out}/raised", TOTALS)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        over = batch.filter((F.col("spent_usd") >= limit) & F.lit(limit > 0)).withColumn("batch_id", F.lit(batch_id))
-        index = f"{out}/raised"
-        try:
-            earlier = spark.read.parquet(index).filter(F.col("batch_id") < batch_id)
-            over = over.join(earlier.select("client", "mode").distinct(), ["client", "mode"], "left_anti")
-        except Exception as err:  # the index does not exist before the first alert
-            if "PATH_NOT_FOUND" not in str(err) and "UNABLE_TO_INFER_SCHEMA" not in str(err):
-                raise
-        over.write.mode("overwrite").parquet(f"{index}/batch={batch_id:012d}")
-
-    return (
-        ledger_stream(events).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def read_alerts(spark, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/raised").select("client", "mode", "spent_usd", "batch_id")
+        crossed = (F.col("before_nano") < limit) & (F.col("spent_nano") >= limit) & F.lit(limit > 0)
+        _book(batch, batch_id, out).filter(crossed).write.mode("overwrite").parquet(f"{out}/raised/batch={batch_id}")
+
+    return _start(events, checkpoint, save)
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    rows = spark.read.schema(f"{TOTALS}, batch long").parquet(f"{out}/raised")
+    return rows.select("client", "mode", "spent_nano", (F.col("spent_nano") / F.lit(NANO)).alias("spent_usd"),
+                       F.col("batch").alias("batch_id"))

@@ -516,9 +516,10 @@ def round_coords(spark, sf):
 
 # --- usage ----------------------------------------------------------------------
 
-RATE = """case when lower(model) like '%gemini-3.5-flash%' then [1.5, 9.0, 0.15] when lower(model) like '%gemini-2.5-flash%' then [0.3, 2.5, 0.075] else [1.5, 9.0, 0.15] end"""
-COST = f"""select event_id, ts, client, mode, case when mode = 'text' then ((t_in - least(t_cached, t_in)) * r[1] + least(t_cached, t_in) * r[3] + t_out * r[2]) / 1e6
- else (greatest(t_in - t_cached, 0) * 35.0 + t_cached * 0.4 + t_out * 64.0) / 1e6 end as cost from (select *, {RATE} as r from usage) u"""
+# Prices in nano-dollars per token, so that sums are exact in both engines.
+RATE = """case when lower(model) like '%gemini-3.5-flash%' then [1500, 9000, 150] when lower(model) like '%gemini-2.5-flash%' then [300, 2500, 75] else [1500, 9000, 150] end"""
+COST = f"""select event_id, ts, client, mode, cast(case when mode = 'text' then (t_in - least(t_cached, t_in)) * r[1] + least(t_cached, t_in) * r[3] + t_out * r[2]
+ else greatest(t_in - t_cached, 0) * 35000 + t_cached * 400 + t_out * 64000 end as bigint) as cost from (select *, {RATE} as r from usage) u"""
 
 
 def usage_rows(spark, sf):
@@ -533,6 +534,6 @@ def with_usage_json(u):
     return u.select("event_id", "ts", "client", "mode", "model", F.when(F.col("mode") == "text", text).otherwise(voice).alias("usage"))
 
 
-@q("token_cost", f"select event_id, {s('cost', 1e9)} as nano from ({COST}) c")
+@q("token_cost", f"select event_id, cost as nano from ({COST}) c")
 def token_cost(spark, sf):
     return U.price_events(usage_rows(spark, sf)).select("event_id", scaled("cost_usd", 1e9).alias("nano"))

@@ -675,31 +675,32 @@ def usage_stream(spark, sf):
     return with_usage_json(u)
 
 
-@q("usage_cost_stream", f"select event_id, {s('cost', 1e9)} as nano from ({COST}) c")
+@q("usage_cost_stream", f"select event_id, cost as nano from ({COST}) c")
 def usage_cost_stream(spark, sf):
     out, cp = fresh_path(spark, "priced"), fresh_path(spark, "cp")
     ST.write_priced(usage_stream(spark, sf), out, cp).awaitTermination()
-    return spark.read.parquet(out).select("event_id", scaled("cost_usd", 1e9).alias("nano"))
+    return ST.read_priced(spark, out).select("event_id", scaled("cost_usd", 1e9).alias("nano"))
 
 
-@q("spend_ledger_stream", f"select client, mode, {s('sum(cost)', 1e6)} as micro from ({COST}) c where cost > 0 group by 1, 2")
+@q("spend_ledger_stream", f"select client, mode, cast(sum(cost) as bigint) as nano from ({COST}) c where cost > 0 group by 1, 2")
 def spend_ledger_stream(spark, sf):
     out, cp = fresh_path(spark, "ledger"), fresh_path(spark, "cp")
     ST.write_ledger(usage_stream(spark, sf), out, cp).awaitTermination()
-    return ST.read_ledger(spark, out).select("client", "mode", scaled("spent_usd", 1e6).alias("micro"))
+    return ST.read_ledger(spark, out).select("client", "mode", F.col("spent_nano").alias("nano"))
 
 
 CAP = 0.3
+CAP_NANO = 300_000_000
 
 
-@q("cap_alert_stream", f"select client, mode, {s('sum(cost)', 1e6)} as micro from ({COST}) c where cost > 0 group by 1, 2 having sum(cost) >= {CAP}")
+@q("cap_alert_stream", f"select client, mode, cast(sum(cost) as bigint) as nano from ({COST}) c where cost > 0 group by 1, 2 having sum(cost) >= {CAP_NANO}")
 def cap_alert_stream(spark, sf):
     out, cp = fresh_path(spark, "alerts"), fresh_path(spark, "cp")
     ST.write_alerts(usage_stream(spark, sf), out, cp, CAP).awaitTermination()
-    return ST.read_alerts(spark, out).select("client", "mode", scaled("spent_usd", 1e6).alias("micro"))
+    return ST.read_alerts(spark, out).select("client", "mode", F.col("spent_nano").alias("nano"))
 
 
 @q("cap_alert_batch", f"""select client, mode, event_id from (select client, mode, event_id, row_number() over (partition by client, mode order by ts, event_id) as rn from (
- select client, mode, event_id, ts, sum(cost) over (partition by client, mode order by ts, event_id rows unbounded preceding) as run from ({COST}) c where cost > 0) r where run >= {CAP}) t where rn = 1""")
+ select client, mode, event_id, ts, sum(cost) over (partition by client, mode order by ts, event_id rows unbounded preceding) as run from ({COST}) c where cost > 0) r where run >= {CAP_NANO}) t where rn = 1""")
 def cap_alert_batch(spark, sf):
     return U.cap_crossings(U.price_events(usage_rows(spark, sf)), CAP).select("client", "mode", "event_id")
