@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,9 +40,11 @@ class Automaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.cut: dict[tuple[int, int], int] = {}
         for order, (u, v, w) in enumerate(merges):
-            self.cut[u, v] = order
-            if w not in self.made:
-                self.made[w], self.parts[w] = order, (u, v)
+            # a merge whose arcs no longer meet changes nothing; parts of it may never have come about
+            if u in self.made and v in self.made and self.has_arc(u, v, order):
+                self.cut[u, v] = order
+                if w not in self.made:
+                    self.made[w], self.parts[w] = order, (u, v)
         # bytes that spell arcs, as one transition table: (node, byte) -> node, and the arc that ends at a node
         self.step: dict[int, int] = {}
         self.arc: list[int] = [START]
@@ -57,9 +60,12 @@ class Automaton:
                 self.arc[node] = i
         self.known: dict[int, bool] = {}
 
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether the finished automaton has the arc: back through the gadgets that copied it to the first bytes."""
-        made, before = self.made, len(self.cut)
+    def has_arc(self, state: int, token: int, before: float = math.inf) -> bool:
+        """Whether the automaton has the arc before a merge, by default the finished one.
+
+        Goes back through the gadgets that copied the arc to the first bytes.
+        """
+        made = self.made
         while True:
             order = self.cut.get((state, token))
             if order is not None and order < before:

@@ -243,7 +243,7 @@ def score_documents(docs: DataFrame, states: int = STATES, frequent: int = FREQU
     head = np.array([(counts.filter(F.col("word") == F.lit(bytearray(END))).first() or {"c": 0})["c"],
                      0, *[r["c"] for r in top]], dtype=np.float64)
     head[RARE] = rare_total = total - head.sum()
-    rare_distinct = distinct - len(top) - 1
+    rare_distinct = max(0, distinct - len(top) - 1)
 
     coded = written(symbols(docs, number), "symbols")
     model = train(coded.filter(~F.col("held_out")), head, states)

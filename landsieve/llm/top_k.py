@@ -24,6 +24,7 @@ from landsieve.session import ship_package
 #: Rows of a candidate block and of a query block: bounds of one task's work.
 CANDIDATES, QUERIES = 8192, 1024
 FIRST_DEPTH, DEEPER = 16, 8
+LONG = 2**63 - 1
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -47,11 +48,15 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int):
-    """(query row, candidate row, score) of each query's k best candidates with another id; x by ascending id."""
+    """(query row, candidate row, score) of each query's k best candidates with another id; x by ascending id.
+
+    Numbers are of the narrowest kind that holds every sum exactly; scores past a long are cut to its range.
+    """
     n = len(x)
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * q.shape[1]
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+    bound = max(-int(q.min(initial=0)), int(q.max(initial=0))) * max(-int(x.min(initial=0)), int(x.max(initial=0))) * q.shape[1]
+    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
     qk, xk = q.astype(kind), x.astype(kind)
+    whole = lambda s: s.astype(np.int64) if kind is not object else np.clip(s, -LONG, LONG).astype(np.int64)
     lists = np.argsort(x, axis=0, kind="stable")
     seen = np.zeros(n, bool)
     active = np.arange(len(q))
@@ -66,7 +71,7 @@ def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
         fresh = np.flatnonzero(met & ~seen)
         seen[fresh] = True
         if len(fresh):
-            score = (qk[active] @ xk[fresh].T).astype(np.int64)
+            score = whole(qk[active] @ xk[fresh].T)
             score[q_ids[active][:, None] == x_ids[fresh][None, :]] = np.iinfo(np.int64).min
             score = np.concatenate([best_score[active], score], axis=1)
             row = np.concatenate([best_row[active], np.broadcast_to(fresh, (len(active), len(fresh)))], axis=1)
@@ -77,8 +82,8 @@ def block_top_k(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
                     c = np.flatnonzero(score[i] >= kth[i])
                     c = c[np.lexsort((row[i, c], -score[i, c]))[:k]]
                     best_score[a], best_row[a] = score[i, c], row[i, c]
-        high, low = x[lists[n - to], np.arange(x.shape[1])], x[lists[to - 1], np.arange(x.shape[1])]
-        threshold = np.maximum(q[active], 0) @ high + np.minimum(q[active], 0) @ low
+        high, low = xk[lists[n - to], np.arange(x.shape[1])], xk[lists[to - 1], np.arange(x.shape[1])]
+        threshold = whole(np.maximum(qk[active], 0) @ high + np.minimum(qk[active], 0) @ low)
         depth = to
         active = active[best_score[active, -1] <= threshold]
     at = np.nonzero(best_score > np.iinfo(np.int64).min)
