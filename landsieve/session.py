@@ -85,20 +85,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def materialize(df: DataFrame, name: str, deal: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, deal: bool = False, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or to ``path``) and read it back.
 
     Cuts lineage in a way that survives the loss of executors, and gives the
     planner true file sizes for its join choices. ``deal`` spreads a small
     result over all cores for costly work per row.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     return spread(back) if deal else back
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def within_rows(df: DataFrame, max_rows: int, weight=None, max_weight: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (and summed ``weight``).
 
