@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from landsieve import constants as K
 from landsieve.functions import geometry as G
+from landsieve.operators.scoring import bad_parameters
 
 
 def request_validate(requests: DataFrame) -> DataFrame:
     """Add ``reject_reason`` (NULL when accepted).
 
-    Needs geometry_type, vertices (int), weights (map), limit, offset.
+    Needs geometry_type, vertices (int), weights (map), limit, offset; use case
+    and thresholds are checked where the rows have them.
     """
     known = F.array(*[F.lit(k) for k in K.FACTORS])
     keys = F.map_keys("weights")
@@ -24,7 +26,8 @@ def request_validate(requests: DataFrame) -> DataFrame:
         .when(F.size(F.array_except(keys, known)) > 0, "unknown weight")
         .when(F.exists(F.map_values("weights"), lambda v: ~(v >= 0) | (v == F.lit(float("inf"))) | F.isnan(v)), "bad weight")
         .when((F.col("limit") < 1) | (F.col("limit") > K.MAX_LIMIT), "limit")
-        .when(F.col("offset") < 0, "offset"))
+        .when(F.col("offset") < 0, "offset")
+        .otherwise(bad_parameters() if {"use_case", "t_min_acres", "t_max_slope_pct"} <= set(requests.columns) else F.lit(None)))
 
 
 def clamp_page(requests: DataFrame) -> DataFrame:

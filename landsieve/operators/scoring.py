@@ -195,13 +195,36 @@ def dominant_reasons() -> Column:
 
 # --- many requests in one job ---------------------------------------------------
 
+def bad_parameters() -> Column:
+    """Why a request row can't be scored; NULL when it can. Missing columns can't be bad."""
+    weights = F.col("weights")
+    known = F.array(*[F.lit(k) for k in K.FACTORS])
+    unfit = lambda v: ~(v >= 0) | F.isnan(v) | (v == F.lit(float("inf")))
+    preset_only = None
+    for use_case, p in K.PRESETS.items():
+        kept = [k for k, v in p["weights"].items() if v > 0]
+        rest = F.size(F.array_except(F.array(*[F.lit(k) for k in kept]), F.coalesce(
+            F.map_keys(weights), F.array().cast("array<string>")))) > 0
+        cond = F.col("use_case") == use_case
+        preset_only = F.when(cond, rest) if preset_only is None else preset_only.when(cond, rest)
+    some = preset_only | F.coalesce(F.exists(F.map_values(weights), lambda v: v > 0), F.lit(False))
+    return (
+        F.when(~F.coalesce(F.col("use_case").isin(*K.PRESETS), F.lit(False)), "unknown use case")
+        .when(F.size(F.array_except(F.map_keys(weights), known)) > 0, "unknown weight")
+        .when(F.exists(F.map_values(weights), lambda v: v.isNull() | unfit(v)), "bad weight")
+        .when(~some, "weights sum to zero")
+        .when(unfit(F.col("t_min_acres")) | unfit(F.col("t_max_slope_pct")), "bad threshold"))
+
+
 def request_columns(requests: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Resolve weights, thresholds and prohibited codes of each request row.
 
     ``requests``: request_id, use_case, bbox, optional edges/anchors, ``weights``
     map<string,double>, ``thresholds`` struct-like nullable columns
     (t_min_acres, t_max_slope_pct, t_exclude_sfha, t_optional), ``prohibited``
-    array<string> or NULL, limit, offset. Adds w_<factor> columns summing to 1.
+    array<string> or NULL, limit, offset. Adds w_<factor> columns summing to 1,
+    and ``reject_reason`` for rows with an unknown use case, unknown, negative,
+    not finite or all-zero weights, or thresholds that are negative or not finite.
     """
     preset = {u: F.create_map(*[x for k, v in p["weights"].items() for x in (F.lit(k), F.lit(v))])
               for u, p in K.PRESETS.items()}
@@ -216,11 +239,11 @@ def request_columns(requests: DataFrame, rules: DataFrame | None = None) -> Data
     base = per_use(lambda u, p: preset[u])
     merged = F.map_zip_with(base, F.coalesce("weights", F.create_map().cast("map<string,double>")),
                             lambda k, a, b: F.coalesce(b, a))
-    out = requests.withColumn("_w", F.map_filter(merged, lambda k, v: v > 0))
+    out = requests.withColumn("reject_reason", bad_parameters()).withColumn("_w", F.map_filter(merged, lambda k, v: v > 0))
     out = out.withColumn("_sum", F.aggregate(
         F.array(*[F.coalesce(F.col("_w")[k], F.lit(0.0)) for k in K.FACTORS]), F.lit(0.0), lambda a, v: a + v))
     for key in K.FACTORS:
-        out = out.withColumn(f"w_{key}", F.coalesce(F.col("_w")[key] / F.col("_sum"), F.lit(0.0)))
+        out = out.withColumn(f"w_{key}", F.coalesce(F.try_divide(F.col("_w")[key], F.col("_sum")), F.lit(0.0)))
     out = (
         out.withColumn("min_acres", F.coalesce("t_min_acres", per_use(lambda u, p: F.lit(p["min_acres"]))))
         .withColumn("max_slope_pct", F.coalesce("t_max_slope_pct", per_use(lambda u, p: F.lit(p["max_slope_pct"]))))
@@ -239,16 +262,34 @@ def request_columns(requests: DataFrame, rules: DataFrame | None = None) -> Data
     return out.withColumn("prohibited", F.coalesce("prohibited", F.array().cast("array<string>")))
 
 
+#: Parts into which the candidates of one request are dealt for the first ranking.
+RANK_PARTS = 64
+
+
+def best_of_each(scored: DataFrame, reach: int) -> DataFrame:
+    """The ``reach`` best rows of each request with their rank, however deep the page.
+
+    Each part of a request is ranked by itself and hands on at most ``reach``
+    rows, so a request that covers everything is not sorted by one task.
+    """
+    best = lambda *keys: Window.partitionBy("request_id", *keys).orderBy(F.desc("score_raw"), F.asc("id"))
+    part = F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS))
+    few = scored.withColumn("_part", part).withColumn("_r", F.row_number().over(best("_part"))).filter(
+        F.col("_r") <= reach).drop("_part", "_r")
+    return few.withColumn("rank", F.row_number().over(best())).filter(F.col("rank") <= reach)
+
+
 def batch_score(parcels: DataFrame, requests: DataFrame, cell: float, exact: bool = True) -> DataFrame:
     """Score every request's area in one job; one ranked page per request.
 
-    Parcels are matched to areas by grid cells, never by trying all pairs. The
-    page bound (largest offset + limit asked for) is a literal in the rank
-    filter, so each task keeps only that many rows per request before the
-    shuffle and a request that covers everything does not fill one task.
-    Requests are written once first, as several steps read them.
+    Parcels are matched to areas by grid cells, never by trying all pairs; with
+    ``exact`` the polygons themselves are tested then. A request with a
+    ``reject_reason`` gets no page. Requests are written once first, as several
+    steps read them.
     """
     requests = materialize(requests, "requests")
+    if "reject_reason" in requests.columns:
+        requests = requests.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     reach = requests.agg(F.max(F.col("offset") + F.col("limit"))).first()[0]
     req_cols = [c for c in requests.columns if c not in ("edges", "anchors")]
     need = ["id", "bbox", *dict.fromkeys(["acres", "sfha_flag", "mean_slope_pct", "zoning_class",
@@ -256,20 +297,16 @@ def batch_score(parcels: DataFrame, requests: DataFrame, cell: float, exact: boo
                                           *[f[0] for f in K.FACTORS.values()]])]
     geo = ["edges", "anchors"] if exact else []
     pairs = overlap_join(parcels.select(*need, *geo), requests.select(*req_cols, *geo), cell, "id")
-    if exact:
-        pairs = pairs.filter(G.polygons_intersect(F.col("edges"), F.col("anchors"), F.col("r_edges"), F.col("r_anchors")))
     th = {"min_acres": F.col("r_min_acres"), "max_slope_pct": F.col("r_max_slope_pct"),
           "exclude_sfha": F.col("r_exclude_sfha"), "apply_optional_exclusions": F.col("r_apply_optional")}
     kept = exclusion_flags(pairs, th, F.col("r_prohibited")).filter(~any_exclusion())
+    if exact:
+        kept = kept.filter(G.polygons_intersect(F.col("edges"), F.col("anchors"), F.col("r_edges"), F.col("r_anchors")))
     total = None
     for key in K.FACTORS:
         term = F.when(F.col(f"r_w_{key}") > 0, F.col(f"r_w_{key}") * factor_norm(key)).otherwise(F.lit(0.0))
         total = term if total is None else total + term
     scored = kept.select(F.col("r_request_id").alias("request_id"), "id", (F.lit(100.0) * total).alias("score_raw"),
                          F.col("r_limit").alias("limit"), F.col("r_offset").alias("offset"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("score_raw"), F.asc("id"))
-    return (
-        scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(reach or 0))
-        .filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit")))
-        .drop("limit", "offset")
-    )
+    return best_of_each(scored, int(reach or 0)).filter(
+        (F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit"))).drop("limit", "offset")

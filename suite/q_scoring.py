@@ -107,21 +107,36 @@ def demo_rules(spark):
                                   ("C-2", "data_center", "prohibited"), ("A", "solar", "conditional")], "zone_code string, use_case string, permission string")
 
 
+# Every third area is the lower left half of its box; every thirteenth request can't be scored.
+IN_AREA = ("(r.request_id % 3 <> 0 or (greatest(p.x0, r.x0) - r.x0) * (r.y1 - r.y0) + (greatest(p.y0, r.y0) - r.y0) * (r.x1 - r.x0)"
+           " <= (r.x1 - r.x0) * (r.y1 - r.y0))")
+SCORED = "r.request_id % 13 <> 4"
 BATCH_SCORE = f"{d(100.0)} * (" + " + ".join(f"case when w_{k} > 0 then w_{k} * {norm_sql(k)} else 0.0 end" for k in NORM) + ")"
 BATCH = f"""
 select request_id, id, raw, row_number() over (partition by request_id order by raw desc, id) as rank, "limit" as lim, "offset" as off_ from (
  select r.request_id, p.id, {BATCH_SCORE} as raw, r."limit", r."offset" from ({RESOLVED}) r join parcels p on p.x0 <= r.x1 and p.x1 >= r.x0 and p.y0 <= r.y1 and p.y1 >= r.y0
- where not (coalesce(acres < min_acres, false) or (exclude_sfha and coalesce(sfha_flag, false)) or coalesce(mean_slope_pct > r.max_slope_pct, false)
+ where {IN_AREA} and {SCORED} and not (coalesce(acres < min_acres, false) or (exclude_sfha and coalesce(sfha_flag, false)) or coalesce(mean_slope_pct > r.max_slope_pct, false)
   or (apply_optional and (coalesce(excl_protected_area, false) or coalesce(excl_open_water, false) or coalesce(excl_built_up, false)))
   or coalesce(case when own_codes then zoning_class in ('A', 'P') when use_case = 'utility_solar' then zoning_class in ('E', 'R-1') else zoning_class in ('R-1', 'C-2') end, false))) t"""
 BATCH_PAGE = f"select request_id, id, {s('raw', 1e6)} as score6, rank from ({BATCH}) p where rank > off_ and rank <= off_ + lim"
 
 
 def batch_pages(spark, sf):
-    reqs = SC.request_columns(request_rows(spark, sf), demo_rules(spark))
-    reqs = reqs.withColumn("bbox", F.struct(F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), F.col("x1").alias("xmax"), F.col("y1").alias("ymax")))
-    reqs = reqs.drop("x0", "y0", "x1", "y1", "weights")
-    return reqs, SC.batch_score(parcels_geo(spark, sf), reqs, 0.1, exact=False)
+    rows = request_rows(spark, sf)
+    k = F.col("request_id")
+    odd = F.when(k % 39 == 4, F.create_map(F.lit("ghi"), F.lit(-1.0))).when(k % 39 == 17, F.create_map(F.lit("nope"), F.lit(1.0)))
+    zero = F.map_from_arrays(F.array(*[F.lit(f) for f in K.FACTORS]), F.array(*[F.lit(0.0) for _ in K.FACTORS]))
+    rows = rows.withColumn("weights", F.when(k % 13 == 4, F.coalesce(odd, zero)).otherwise(F.col("weights")))
+    reqs = SC.request_columns(rows, demo_rules(spark))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    half = G.polygon(F.array(G.point(x0, y0), G.point(x1, y0), G.point(x0, y1), G.point(x0, y0)))
+    parts = F.when(k % 3 == 0, half).otherwise(G.box_polygon(x0, y0, x1, y1))
+    reqs = reqs.withColumns({
+        "bbox": F.struct(x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax")),
+        "edges": G.edges(parts), "anchors": G.anchors(parts)}).drop("x0", "y0", "x1", "y1", "weights")
+    land = parcels_geo(spark, sf)
+    own = G.box_polygon(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return reqs, SC.batch_score(land.withColumns({"edges": G.edges(own), "anchors": G.anchors(own)}), reqs, 0.1)
 
 
 @q("batch_score", BATCH_PAGE)
@@ -138,7 +153,7 @@ def page_rank(spark, sf):
 
 @q("result_meta", f"""select r.request_id, r.use_case, {s('w_ghi', 1e4)} as w_ghi4, cast(min_acres as double) as min_acres,
   case when own_codes then 'A,P' when r.use_case = 'utility_solar' then 'E,R-1' else 'C-2,R-1' end as prohibited,
-  coalesce(c.n, 0) as count from ({RESOLVED}) r left join (select request_id, count(*) as n from ({BATCH}) p where rank > off_ and rank <= off_ + lim group by 1) c on c.request_id = r.request_id""")
+  coalesce(c.n, 0) as count from ({RESOLVED}) r left join (select request_id, count(*) as n from ({BATCH}) p where rank > off_ and rank <= off_ + lim group by 1) c on c.request_id = r.request_id where {SCORED}""")
 def result_meta(spark, sf):
     reqs, page = batch_pages(spark, sf)
     m = RS.result_meta(reqs, page)
