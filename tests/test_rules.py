@@ -16,13 +16,13 @@ from landsieve.operators.spatial import polygon_columns
 from landsieve.sources import writers as W
 
 PARCELS = [  # id, acres, slope, ghi, tx, sub, kv, poi_mw, sfha, zone, lng
-    (1, 120.0, 3.0, 6.3, 1000.0, 600.0, 230.0, None, False, "A", -119.04),
-    (2, 50.0, 8.0, 5.8, 9000.0, 5000.0, None, None, False, "M-1", -119.03),
-    (3, 200.0, 20.0, 6.0, 500.0, 300.0, 500.0, 1200.0, False, "M-2", -119.02),
-    (4, 10.0, 2.0, 6.4, 1200.0, 700.0, 115.0, None, False, "A", -119.01),
-    (5, 300.0, 2.0, 6.5, 800.0, 500.0, 230.0, None, True, "A", -119.00),
-    (6, 80.0, 5.0, 6.1, 2000.0, 1500.0, 115.0, None, False, "E", -118.99),
-    (7, 60.0, None, 6.0, 3000.0, 2000.0, None, None, False, None, -118.98),
+    (11, 95.0, 4.5, 6.2, 1500.0, 900.0, 230.0, None, False, "A", -118.64),
+    (12, 34.0, 11.0, 5.5, 7000.0, 6500.0, None, None, False, "C-2", -118.63),
+    (13, 410.0, 27.0, 6.1, 450.0, 250.0, 345.0, 640.0, False, "M-1", -118.62),
+    (14, 12.0, 2.5, 6.3, 1100.0, 800.0, 66.0, None, False, "A", -118.61),
+    (15, 150.0, 1.5, 6.4, 700.0, 400.0, 230.0, None, True, "A", -118.60),
+    (16, 66.0, 6.0, 6.0, 2600.0, 1700.0, 115.0, None, False, "R-1", -118.59),
+    (17, 48.0, None, 5.9, 3300.0, 2400.0, None, None, False, None, -118.58),
 ]
 
 
@@ -41,26 +41,49 @@ def ids(df):
 
 
 def test_survivors(parcels):
-    solar = ids(SC.score_topk(parcels, "utility_solar", prohibited=["E"]))
-    assert set(solar) == {1, 2, 7} and solar[0] == 1
-    assert set(ids(SC.score_topk(parcels, "data_center", prohibited=["E"]))) == {1, 2, 4, 7}
-    assert set(ids(SC.score_topk(parcels, "utility_solar", prohibited=["A"]))) == {2, 6, 7}
-    assert 4 in ids(SC.score_topk(parcels, "utility_solar", thresholds={"min_acres": 0}, prohibited=["E"]))
-    assert ids(SC.score_topk(parcels, "utility_solar", prohibited=["E"], limit=1, offset=1)) == solar[1:2]
+    solar = ids(SC.score_topk(parcels, "utility_solar", prohibited=["R-1"]))
+    assert set(solar) == {11, 12, 17} and solar[0] == 11
+    assert set(ids(SC.score_topk(parcels, "data_center", prohibited=["R-1"]))) == {11, 12, 14, 17}
+    assert set(ids(SC.score_topk(parcels, "utility_solar", prohibited=["A"]))) == {12, 16, 17}
+    assert 14 in ids(SC.score_topk(parcels, "utility_solar", thresholds={"min_acres": 0}, prohibited=["R-1"]))
+    assert ids(SC.score_topk(parcels, "utility_solar", prohibited=["R-1"], limit=1, offset=1)) == solar[1:2]
 
 
 def test_candidates(parcels):
-    assert len(ids(SC.candidates(parcels, (-119.05, 35.28, -118.93, 35.33)))) == 7
-    assert ids(SC.candidates(parcels, (-120.5, 36.5, -120.4, 36.6))) == []
-    plan = SC.candidates(parcels, (-119.05, 35.28, -118.93, 35.33))._jdf.queryExecution().toString()
+    assert len(ids(SC.candidates(parcels, (-118.65, 35.28, -118.55, 35.33)))) == 7
+    assert ids(SC.candidates(parcels, (-117.5, 36.5, -117.4, 36.6))) == []
+    plan = SC.candidates(parcels, (-118.65, 35.28, -118.55, 35.33))._jdf.queryExecution().toString()
     assert "Join" not in plan
 
 
+def test_batch_rejects_and_ranks_deep_pages(spark, parcels):
+    """Bad requests get no page; pages past a thousand rows are ranked like others."""
+    many = spark.range(3000).select(F.lit(1).alias("request_id"), F.col("id"), (F.pmod(F.col("id") * 7919, F.lit(3001)) * 1.0).alias("score_raw"),
+                                    F.lit(500).alias("limit"), F.lit(1500).alias("offset"))
+    got = SC.best_of_each(many, 2000).orderBy("rank").collect()
+    order = sorted(range(3000), key=lambda i: (-(i * 7919 % 3001), i))
+    assert [r.id for r in got] == order[:2000] and [r["rank"] for r in got] == list(range(1, 2001))
+    rows = [(1, "utility_solar", None, None), (2, "wind", None, None), (3, "utility_solar", {"nope": 1.0}, None),
+            (4, "utility_solar", {"ghi": -1.0}, None), (5, "utility_solar", dict.fromkeys(K.FACTORS, 0.0), None),
+            (6, "utility_solar", None, -5.0), (7, "data_center", {"ghi": float("nan")}, None), (8, None, None, None)]
+    reqs = spark.createDataFrame([(*r, None, None, None, ["R-1"], 10, 0) for r in rows], (
+        "request_id int, use_case string, weights map<string,double>, t_min_acres double, t_max_slope_pct double, "
+        "t_exclude_sfha boolean, t_optional boolean, prohibited array<string>, limit int, offset int"))
+    reqs = polygon_columns(reqs.withColumn("parts", G.polygon(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in (
+        (-118.65, 35.2), (-118.622, 35.2), (-118.65, 35.4), (-118.65, 35.2))]))))
+    full = SC.request_columns(reqs).drop("weights", "parts")
+    assert {r.request_id: r.reject_reason for r in full.collect()} == {
+        1: None, 2: "unknown use case", 3: "unknown weight", 4: "bad weight", 5: "weights sum to zero", 6: "bad threshold",
+        7: "bad weight", 8: "unknown use case"}
+    page = SC.batch_score(parcels, full, 0.1).collect()
+    assert [(r.request_id, r.id) for r in page] == [(1, 11)]  # 12 lies in the triangle's box but not in it
+
+
 def test_breakdown_sums_to_score(parcels):
-    for r in SC.explain(parcels, "utility_solar", prohibited=["E"]).collect():
+    for r in SC.explain(parcels, "utility_solar", prohibited=["R-1"]).collect():
         assert abs(sum(f.contribution for f in r.factors) - r.score_raw) < 0.2
         assert [f.contribution for f in r.factors] == sorted((f.contribution for f in r.factors), reverse=True)
-    seven = SC.explain(parcels.filter("id = 7"), "utility_solar").withColumn("why", SC.why_this_rank(F.col("factors"))).first()
+    seven = SC.explain(parcels.filter("id = 17"), "utility_solar").withColumn("why", SC.why_this_rank(F.col("factors"))).first()
     slope = next(f for f in seven.factors if f.key == "slope")
     assert (slope.known, slope.normalized, slope.raw) == (False, 0.5, None)
     assert "terrain slope" in seven.why and not seven.excluded
@@ -77,16 +100,16 @@ def test_weights():
 
 
 def test_results_csv(spark, parcels, tmp_path):
-    page = SC.score_topk(parcels, "utility_solar", prohibited=["E"]).withColumn("rank", F.col("id").cast("int"))
+    page = SC.score_topk(parcels, "utility_solar", prohibited=["R-1"]).withColumn("rank", F.col("id").cast("int"))
     W.write_results_csv(page, str(tmp_path / "csv"))
     part = next((tmp_path / "csv").glob("part-*"))
     text = part.read_bytes().decode("utf-8")
-    assert text.startswith("﻿rank,id,apn,") and text.count("\r\n") == 4 and "'=A1" in text and ",120,A,false," in text
+    assert text.startswith("﻿rank,id,apn,") and text.count("\r\n") == 4 and "'=A11" in text and ",95,A,false," in text
 
 
 def test_compare_and_page(parcels):
-    assert {r.attribute for r in RS.compare_set(parcels, [1, 2], ["zoning_class", "acres"]).collect()} == {"zoning_class", "acres"}
-    assert ids(RS.result_page(parcels, "slope", 0, 3)) == [4, 5, 1]
+    assert {r.attribute for r in RS.compare_set(parcels, [11, 12], ["zoning_class", "acres"]).collect()} == {"zoning_class", "acres"}
+    assert ids(RS.result_page(parcels, "slope", 0, 3)) == [15, 14, 11]
 
 
 def test_cleaning(spark):
@@ -100,13 +123,13 @@ def test_cleaning(spark):
 
 
 def test_competition(spark):
-    st = spark.createDataFrame([(1, "ALPHA", 230.0, -119.0, 35.0), (2, "BRAVO", None, -119.05, 35.0), (3, "CHARLIE", 115.0, -119.2, 35.0)], "id long, name string, max_voltage_kv double, x double, y double")
+    st = spark.createDataFrame([(7, "ELM FLAT", 115.0, -118.4, 35.2), (8, "COLDWATER", None, -118.44, 35.2), (9, "TWO FORKS", 66.0, -118.6, 35.2)], "id long, name string, max_voltage_kv double, x double, y double")
     from landsieve.operators.enrich import with_metric_point
     st = with_metric_point(st, "x", "y")
-    q = spark.createDataFrame([("a", "Alpha 230kV", 100.0), ("b", "BRAVO", 50.0), ("c", "Charlie Switchyard", 80.0)], "queue_id string, poi_name string, capacity_mw double")
+    q = spark.createDataFrame([("u", "Elm Flat 115kV", 40.0), ("v", "Coldwater", 25.0), ("w", "Two Forks Switchyard", 70.0)], "queue_id string, poi_name string, capacity_mw double")
     q = q.withColumn("is_active", F.lit(True)).withColumn("source_voltage_kv", F.lit(None).cast("double"))
     got = {r.poi_name: (r.n_at_poi, r.mw_at_poi, r.n_within_radius, r.mw_within_radius) for r in QU.poi_competition(QU.match_queue(q, st), st).collect()}
-    assert got == {"ALPHA": (1, 100, 2, 150), "BRAVO": (1, 50, 2, 150), "CHARLIE": (1, 80, 1, 80)}
+    assert got == {"ELM FLAT": (1, 40, 2, 65), "COLDWATER": (1, 25, 2, 65), "TWO FORKS": (1, 70, 1, 70)}
 
 
 def test_rules(spark):
