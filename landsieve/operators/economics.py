@@ -26,9 +26,14 @@ def affordability_band(score: Column) -> Column:
 
 
 def affordability_blend(score: Column, affordability: Column, weight: Column | None = None) -> Column:
-    """Convex blend, unrounded; keeps the order within one area."""
+    """Convex blend to one decimal; keeps the order within one area.
+
+    An affordability that is missing, not finite or outside 0..1 fails the query.
+    """
     w = clamp01(F.coalesce(weight, F.lit(K.AFFORDABILITY_WEIGHT)) if weight is not None else F.lit(K.AFFORDABILITY_WEIGHT))
-    return (F.lit(1.0) - w) * score + w * F.lit(100.0) * clamp01(affordability)
+    fit = F.coalesce((affordability >= 0) & (affordability <= 1), F.lit(False))
+    share = F.when(fit, affordability).otherwise(F.raise_error(F.lit("affordability must be a number in [0, 1]")).cast("double"))
+    return F.round((F.lit(1.0) - w) * score + w * F.lit(100.0) * share, 1)
 
 
 def median_value_parse(responses: DataFrame, body: str = "body", year: str = "year", key: str = "county") -> DataFrame:
@@ -56,7 +61,7 @@ def price_series_parse(responses: DataFrame, body: str = "body", key: str = "cou
 
 
 def price_yoy(series: DataFrame, key: str = "county") -> DataFrame:
-    """Latest observation and its change in percent against the one before.
+    """Latest observation (two decimals) and its change in percent (one decimal) against the one before.
 
     Two ordered picks per county through aggregation, so a long series is never
     gathered in one place.
@@ -66,7 +71,7 @@ def price_yoy(series: DataFrame, key: str = "county") -> DataFrame:
     prev = joined.filter(F.col("date") < F.col("last.date")).groupBy(key).agg(F.max(F.struct("date", "value")).alias("prev"))
     out = top.join(prev, key, "left")
     change = (F.col("last.value") - F.col("prev.value")) / F.nullif(F.col("prev.value"), F.lit(0.0)) * 100.0
-    return out.select(key, F.col("last.date").alias("as_of"), F.col("last.value").alias("hpi_index"), change.alias("yoy_pct"))
+    return out.select(key, F.col("last.date").alias("as_of"), F.round("last.value", 2).alias("hpi_index"), F.round(change, 1).alias("yoy_pct"))
 
 
 def affordability_summary(medians: DataFrame, trends: DataFrame, key: str = "county") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from landsieve.session import within_rows
 
-HOT_KEYS = 1024
 ROWS_PER_TASK = 1_000_000
 BROADCAST_ROWS = 20_000
 BROADCAST_POINTS = 1_000_000
@@ -19,17 +18,13 @@ def small_side(df: DataFrame, weight=None, max_rows: int = BROADCAST_ROWS) -> bo
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The keys with more rows than one task should take, and their salt count.
+    """Every key with more rows than one task should take, and its salt count.
 
-    At most ``HOT_KEYS`` rows by construction, so it is always safe to
-    broadcast; a key outside the top ``HOT_KEYS`` holds less than one part in
-    ``HOT_KEYS`` of the table. The tie-break on the keys makes the choice the
-    same each time it is evaluated.
+    There are fewer of them than there are tasks' worth of rows, as each holds
+    more than one task's.
     """
     return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-        .filter(F.col("_n") > rows_per_task)
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
         .select(*keys, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts"))
     )
 
@@ -40,7 +35,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str,
 
     The right rows of a hot key are repeated once per salt, all others once.
     """
-    hot = F.broadcast(hot_keys(left, keys, rows_per_task))
+    hot = hot_keys(left, keys, rows_per_task)
+    hot = F.broadcast(hot) if small_side(hot) else hot
     lhs = left.join(hot, keys, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(F.col(spread)), F.col("_salts")).cast("int"), F.lit(0))
     ).drop("_salts")

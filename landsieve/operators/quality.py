@@ -62,8 +62,8 @@ def crs_check(raster_meta: DataFrame, metric: int = K.CRS_METRIC_UTM) -> DataFra
 
 
 def enforce(checks: DataFrame) -> DataFrame:
-    """Raise on failed errors (a handful of rows); return the warnings."""
-    failed = checks.filter((F.col("severity") == "error") & ~F.col("ok")).limit(20).collect()
+    """Raise on failed errors, naming all of them; return the warnings. Checks are as few as the layers."""
+    failed = checks.filter((F.col("severity") == "error") & ~F.coalesce("ok", F.lit(False))).orderBy("check").collect()
     if failed:
         raise BuildError("; ".join(f"{r['check']}: {r['detail']}" for r in failed))
     return checks.filter(~F.col("ok"))

@@ -58,17 +58,22 @@ def manifest(layers: Mapping[str, tuple[DataFrame, str]], extra: Mapping[str, st
 
 
 def publish_release(spark: SparkSession, root: str, release: str, tables: Mapping[str, DataFrame]) -> str:
-    """Write all tables under a new release, then move the pointer to it.
+    """Write all tables under a new release, then announce it.
 
-    The pointer is one small table written last: a failed build leaves readers
-    on the release before.
+    Each release has an announcement of its own, written last and never
+    changed, and the newest one counts. A build that fails at any point leaves
+    readers on the release before, and nothing they read is ever overwritten.
     """
     base = f"{root}/releases/{release}"
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{base}/{name}")
-    spark.createDataFrame([(release,)], "release string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    announced = spark.range(1).select(F.lit(release).alias("release"), F.current_timestamp().alias("at"))
+    announced.coalesce(1).write.mode("append").parquet(f"{root}/announced")
     return base
 
 
 def current_release(spark: SparkSession, root: str) -> str:
-    return f"{root}/releases/" + spark.read.parquet(f"{root}/current").first()["release"]
+    """Folder of the newest announced release."""
+    newest = spark.read.schema("release string, at timestamp").parquet(f"{root}/announced").agg(
+        F.max_by("release", F.struct("at", "release"))).first()[0]
+    return f"{root}/releases/{newest}"

@@ -447,32 +447,35 @@ def affordability_band(spark, sf):
     return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", EC.affordability_band(EC.affordability_score(m)).alias("band"))
 
 
-@q("affordability_blend", f"select id, {s('0.88 * (' + score_sql(SOLAR) + ') + 0.12 * 100.0 * ((id % 100) / 99.0)', 1e6)} as blended6 from parcels")
+@q("affordability_blend", f"select id, cast(round(round(0.88 * ({score_sql(SOLAR)}) + 0.12 * 100.0 * ((id % 100) / 99.0), 1) * 10) as bigint) as blended1 from parcels")
 def affordability_blend(spark, sf):
     sc = SC.score_raw(SC.resolve_weights("utility_solar"))
-    return parcels(spark, sf).select("id", scaled(EC.affordability_blend(sc, F.col("id") % 100 / 99.0), 1e6).alias("blended6"))
+    return parcels(spark, sf).select("id", scaled(EC.affordability_blend(sc, F.col("id") % 100 / 99.0), 10).alias("blended1"))
 
 
 SERIES = "select county, yr, max(cast(value_text as double)) as value from prices where value_text not in ('.', '') group by 1, 2"
 YOY = f"select county, yr, value, row_number() over (partition by county order by yr desc) as rn, lag(value) over (partition by county order by yr) as prev from ({SERIES}) s"
 
+TREND = "cast(round(round((value - prev) / nullif(prev, 0) * 100.0, 1) * 10) as bigint)"
+
 
 def price_series(spark, sf):
     p = EC.price_series_parse(price_bodies(spark, sf))
     return p.groupBy("county", "date").agg(F.max("value").alias("value"))
 
 
-@q("price_yoy", f"select county, concat(cast(yr as string), '-01-01') as as_of, value as hpi_index, {s('(value - prev) / nullif(prev, 0) * 100.0', 1e4)} as yoy4 from ({YOY}) y where rn = 1")
+@q("price_yoy", f"select county, concat(cast(yr as string), '-01-01') as as_of, round(value, 2) as hpi_index, {TREND} as yoy1 from ({YOY}) y where rn = 1")
 def price_yoy(spark, sf):
-    return EC.price_yoy(price_series(spark, sf)).select("county", "as_of", "hpi_index", scaled("yoy_pct", 1e4).alias("yoy4"))
+    return EC.price_yoy(price_series(spark, sf)).select("county", "as_of", "hpi_index", scaled("yoy_pct", 10).alias("yoy1"))
 
 
-@q("affordability_summary", f"""select coalesce(m.county, t.county) as county, m.median_home_value_usd, cast(t.yr as string) as hpi_as_of, t.value as hpi_index,
+@q("affordability_summary", f"""select coalesce(m.county, t.county) as county, m.median_home_value_usd, cast(t.yr as string) as hpi_as_of, round(t.value, 2) as hpi_index, t.trend as trend1,
  case when m.median_home_value_usd is null then 'unknown' when m.median_home_value_usd <= 330000 then 'affordable' when m.median_home_value_usd <= 442500 then 'moderate' else 'expensive' end as affordability_band
- from ({_MED_SQL.replace("value_text <> 'null'", "value_text <> 'null' and k % 11 <> 0")}) m full outer join (select * from ({YOY}) y where rn = 1) t on t.county = m.county""")
+ from ({_MED_SQL.replace("value_text <> 'null'", "value_text <> 'null' and k % 11 <> 0")}) m full outer join (select *, {TREND} as trend from ({YOY}) y where rn = 1) t on t.county = m.county""")
 def affordability_summary(spark, sf):
     out = EC.affordability_summary(EC.median_value_parse(_medians(spark, sf)), EC.price_yoy(price_series(spark, sf)))
-    return out.select("county", "median_home_value_usd", "hpi_as_of", "hpi_index", "affordability_band")
+    return out.select("county", "median_home_value_usd", "hpi_as_of", "hpi_index", "affordability_band",
+                      scaled("price_trend_yoy_pct", 10).alias("trend1"))
 
 
 PN = "regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')"
@@ -483,11 +486,11 @@ def place_norm(spark, sf):
     return view(spark, sf, "texts").select("request_id", C.place_norm(F.col("text")).alias("norm"))
 
 
-@q("numbers_from_text", "select doc_id, len(regexp_extract_all(text, '[-+]?\\d+(?:\\.\\d+)?')) as n, array_to_string(regexp_extract_all(text, '[-+]?\\d+(?:\\.\\d+)?')[1:3], '|') as first3 from documents")
+@q("numbers_from_text", "select doc_id, len(regexp_extract_all(text, '[-+]?\\d+(?:\\.\\d+)?')) as n, array_to_string(regexp_extract_all(text, '[-+]?\\d+(?:\\.\\d+)?'), '|') as numbers from documents")
 def numbers_from_text(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     raw = F.regexp_extract_all("text", F.lit(PL.NUMBER), F.lit(0))
-    return docs.select("doc_id", F.size(PL.numbers_from_text(F.col("text"))).alias("n"), F.array_join(F.slice(raw, 1, 3), "|").alias("first3"))
+    return docs.select("doc_id", F.size(PL.numbers_from_text(F.col("text"))).alias("n"), F.array_join(raw, "|").alias("numbers"))
 
 
 _PLACE_CASE = f"""case c when 0 then 'county' when 1 then 'mojave' when 2 then 'california city' when 3 then 'bbox' when 4 then 'point' when 6 then 'lake isabella'
