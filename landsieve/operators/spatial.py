@@ -289,15 +289,18 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
     size = max(max(lx1, rx1) - x0, max(ly1, ry1) - y0) * (1 + 1e-9) + 1e-9
     deepest = min(DEEPEST, max(START_LEVEL, math.ceil(math.log(n_right, 4)) + 4))
     px, py = F.col(x), F.col(y)
+
+    def nearest_of(items: str) -> Column:
+        return F.array_min(F.transform(items, lambda i: F.struct(
+            item_distance(px, py, i).alias("dist"), i[order].alias(order),
+            *[i[c].alias(c) for c in payload if c != order])))
+
     if n_right <= SMALL_ITEMS:
         level, items = _small_candidates(right, item_cols, n_right, x0, y0, size)
         cell = size / 2**level
         probe = left.withColumn("ax", F.floor((px - F.lit(x0)) / F.lit(cell))).withColumn(
             "ay", F.floor((py - F.lit(y0)) / F.lit(cell)))
-        best = F.array_min(F.transform("items", lambda i: F.struct(
-            item_distance(px, py, i).alias("dist"), i[order].alias(order),
-            *[i[c].alias(c) for c in payload if c != order])))
-        return probe.join(F.broadcast(items), ["ax", "ay"]).select(left_id, best.alias("_b")).select(
+        return probe.join(F.broadcast(items), ["ax", "ay"]).select(left_id, nearest_of("items").alias("_b")).select(
             left_id, *[f"_b.{c}" for c in out_cols[1:]])
     grid = float(2**deepest)
 
@@ -343,7 +346,9 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, x: str, y: str
             matched = probe.join(F.broadcast(items), keys)
         else:
             matched = salted_join(probe, items, keys, left_id)
-        parts.append(least(matched.withColumn("item", F.explode("items")).drop("items")))
+        # a point lies in one finished cell, whose list is weighed in place: no rows per candidate, no shuffle
+        parts.append(matched.select(left_id, nearest_of("items").alias("_b")).select(
+            left_id, *[f"_b.{c}" for c in out_cols[1:]]))
     for lv, pairs, is_few in done:
         if is_few:
             continue
