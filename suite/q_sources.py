@@ -49,10 +49,8 @@ _SUB_SQL = f"select source_id, name, cast(raw_kv as string) as volt, {s('x', 1e9
 @q("read_features", _SUB_SQL)
 def read_features(spark, sf):
     path = fresh_path(spark, "features")
-    _pages(spark, sf).select("body").write.text(path)
-    # One collection per line here, so that the scan splits.
-    docs = spark.read.text(path).withColumnRenamed("value", "body")
-    return _points_out(S.collection_features(docs))
+    _pages(spark, sf).select("page", "body").write.partitionBy("page").text(path)  # a file for each collection
+    return _points_out(S.read_features(spark, path))
 
 
 @q("read_feature_pages", _SUB_SQL)
@@ -86,8 +84,8 @@ def read_csv_varchar(spark, sf):
 def read_csv_inferred(spark, sf):
     path = fresh_path(spark, "solar-csv")
     view(spark, sf, "solar").write.csv(path, header=True)
-    t = S.read_csv_typed(spark, path, "id long, lon double, lat double, avg_ghi double")
-    return t.select("id", scaled("lon", 1e6).alias("lon6"), scaled("avg_ghi", 1e6).alias("ghi6"))
+    t = S.read_csv_typed(spark, path)
+    return t.select(F.col("id").cast("long").alias("id"), scaled("lon", 1e6).alias("lon6"), scaled("avg_ghi", 1e6).alias("ghi6"))
 
 
 _LAYER_SQL = f"select id, kind, {s('x0', 1e6)} as xmin6, {s('y0', 1e6)} as ymin6, {s('x1', 1e6)} as xmax6, {s('y1', 1e6)} as ymax6, cast(5 as int) as n from overlays"
