@@ -79,35 +79,43 @@ class Automaton:
                 state, before = self.parts[state][1], s  # copied from the state of its last part, before the cut
 
     def path(self, word: bytes) -> list[int]:
-        """The arcs of the one path that spells ``word``."""
+        """The arcs of the one path that spells ``word``.
+
+        Goes on by the longest arc there is and steps back where no arc leads on. Only one path leads to each
+        place, so no place is come to twice.
+        """
         n, step, arc, known = len(word), self.step, self.arc, self.known
-        last, origin = [START] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            state, node = last[i], 0
-            if i and state == START:
-                continue
-            for j in range(i, n):
+        out: list[int] = []
+        ahead: list[list[tuple[int, int]]] = []
+        at = 0
+        while at < n:
+            node, found = 0, []
+            for j in range(at, n):
                 node = step.get(node << 8 | word[j])
                 if node is None:
                     break
-                token = arc[node]
-                if token == START:
+                if arc[node] != START:
+                    found.append((j + 1, arc[node]))
+            ahead.append(found)
+            while True:
+                if not ahead[-1]:
+                    ahead.pop()
+                    out.pop()
                     continue
-                if i:
-                    key = state << 20 | token
-                    there = known.get(key)
-                    if there is None:
-                        if len(known) > CACHE:
-                            known.clear()
-                        there = known[key] = self.has_arc(state, token)
-                    if not there:
-                        continue
-                last[j + 1], origin[j + 1] = token, i
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = origin[at]
-        return out[::-1]
+                end, token = ahead[-1].pop()
+                if not out:
+                    break
+                key = out[-1] << 20 | token
+                there = known.get(key)
+                if there is None:
+                    if len(known) > CACHE:
+                        known.clear()
+                    there = known[key] = self.has_arc(out[-1], token)
+                if there:
+                    break
+            out.append(token)
+            at = end
+        return out
 
 
 class Coder:
