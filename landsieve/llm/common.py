@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landsieve.session import materialize, ship_package
+from landsieve.session import fresh_path, materialize, ship_package
 
 #: No more than this many keys can hold a HOT_PARTS-th of all rows each.
 HOT_PARTS = 2048
@@ -76,9 +77,27 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, rows: int, count:
     return on_hot.unionByName(on_cold)
 
 
+#: Paths of the tables written while ``recorded`` is in force.
+_record: list[str] | None = None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` from a table in the shared folder: computed once, and not again if an executor is lost."""
-    return materialize(df, f"llm-{name}")
+    path = fresh_path(df.sparkSession, f"llm-{name}")
+    if _record is not None:
+        _record.append(path)
+    return materialize(df, name, path=path)
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Notes the tables that operators write meanwhile, so that they can go once their result is stored elsewhere."""
+    global _record
+    before, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = before
 
 
 def ascii_lower(c: Column) -> Column:

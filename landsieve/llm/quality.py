@@ -111,7 +111,8 @@ def clean(docs: DataFrame) -> DataFrame:
 
     The verdicts are written first: a filter pushed through them would repeat their expressions many times over.
     """
-    kept = written(rate(docs).select(*docs.columns, "_q_clean", "_q_kept"), "rated").filter("_q_kept")
+    others = [c for c in docs.columns if c != "text"]
+    kept = written(rate(docs).select(*others, "_q_clean", "_q_kept"), "rated").filter("_q_kept")
     changed = {"text": F.col("_q_clean")} | ({"n_chars": F.length("_q_clean").cast(docs.schema["n_chars"].dataType)}
                                              if "n_chars" in docs.columns else {})
     return kept.withColumns(changed).select(*docs.columns)
