@@ -132,7 +132,7 @@ def groups(rows, width, percent):
 def near_rows(seed=7):
     rng = random.Random(seed)
     rows = []
-    for size in (1, 1, 2, 3, 8, 140):
+    for size in (1, 1, 2, 3, 8, 420):
         base = [rng.choice("abcdefghij") * rng.randrange(1, 9) + str(rng.randrange(99)) for _ in range(120)]
         for k in range(size):
             copy = list(base)
