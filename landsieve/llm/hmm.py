@@ -189,20 +189,25 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
-def expected_counts(seqs: DataFrame, model: Model) -> tuple[Model, float]:
-    """The next model and the log-likelihood of ``seqs`` (seq) under this one.
+def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Model, float]:
+    """The next model and the log-likelihood of ``seqs`` (seq) under the one before it.
 
     Each task sums over its documents; a row for each symbol goes through the shuffle, and what comes back to the
-    driver has as many rows as the model has symbols.
+    driver has as many rows as the model has symbols. ``rounds`` over 1 are for a single partition: all run there.
     """
     states, n_symbols = len(model.start), len(model.emit)
     shared = seqs.sparkSession.sparkContext.broadcast(model)
     cols = [f"s{k}" for k in range(states)]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Expected(n_symbols, states)
-        for batch in source:
-            found.add(shared.value, _sequences(batch.column(0)))
+        held = [b.column(0) for b in source] if rounds > 1 else None
+        own = shared.value
+        for again in range(rounds):
+            found = Expected(n_symbols, states)
+            for column in held if rounds > 1 else (b.column(0) for b in source):
+                found.add(own, _sequences(column))
+            if again < rounds - 1:
+                own = Model.of(found.start, found.step, found.emit)
         used = np.flatnonzero(found.emit.any(1))
         tail = np.vstack([found.step, found.start, np.full(states, found.log)])
         number = np.concatenate([used, -1 - np.arange(len(tail))])
@@ -211,11 +216,14 @@ def expected_counts(seqs: DataFrame, model: Model) -> tuple[Model, float]:
                                          names=["symbol", *cols])
 
     ddl = "symbol long, " + ", ".join(f"{c} double" for c in cols)
-    rows = map_batches(seqs.select("seq"), run, ddl).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-    number, values = rows["symbol"].to_numpy(), rows[cols].to_numpy()
+    summed = map_batches(seqs.select("seq"), run, ddl).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    shared.destroy()
     emit, tail = np.zeros((n_symbols, states)), np.zeros((states + 2, states))
-    emit[number[number >= 0]] = values[number >= 0]
-    tail[-1 - number[number < 0]] = values[number < 0]
+    for number, *values in summed:
+        if number >= 0:
+            emit[number] = values
+        else:
+            tail[-1 - number] = values
     return Model.of(tail[states], tail[:states], emit), float(tail[states + 1, 0])
 
 
@@ -224,9 +232,8 @@ def train(seqs: DataFrame, counts: np.ndarray, states: int = STATES, sample: int
     """A model of the training documents ``seqs`` (uid, seq): started on a bounded sample, then fitted to all."""
     model = Model.begin(counts, states)
     chosen = seqs.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample)
-    few = written(seqs.join(F.broadcast(chosen), "uid").select("seq").repartition(6), "hmm-sample")
-    for _ in range(sample_rounds):
-        model, _ = expected_counts(few, model)
+    few = seqs.join(F.broadcast(chosen), "uid").select("seq")
+    model, _ = expected_counts(few.coalesce(1), model, sample_rounds)
     for _ in range(rounds):
         model, _ = expected_counts(seqs, model)
     return model

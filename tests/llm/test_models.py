@@ -60,6 +60,8 @@ def test_training_raises_likelihood(spark):
         model, log = hmm.expected_counts(rows, model)
         logs.append(log)
     assert all(b > a - 1e-3 for a, b in zip(logs, logs[1:])) and logs[-1] > logs[0]
+    once, log = hmm.expected_counts(rows.coalesce(1), toy()[0], 6)
+    assert math.isclose(log, logs[-1]) and np.allclose(once.emit, model.emit)
 
 
 @pytest.mark.parametrize("frequent", [30, 100_000])
