@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     marks = written(marked(docs, size).select(F.struct("id", "digest").alias("key"), "covered"), "marks")
     row = docs.select(F.struct("*").alias("row"))
     keyed = row.withColumn("key", F.struct(F.col("row.doc_id").alias("id"), F.md5("row.text").alias("digest")))
-    joined = keyed.join(marks, keyed["key"].eqNullSafe(marks["key"]), "left").select("row", "covered")
+    # one plan at every size: were the marks broadcast while they are few, texts would begin to move at some size
+    joined = keyed.join(marks.hint("merge"), keyed["key"].eqNullSafe(marks["key"]), "left").select("row", "covered")
     joined = joined.withColumn("lines", F.coalesce(_lines("row.text"), F.array().cast("array<string>")))
     lines, n = F.col("lines"), F.size("lines")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("covered"))
