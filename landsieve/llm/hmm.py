@@ -2,8 +2,8 @@
 
 Words are counted over all training documents. The most frequent ones are symbols of their own; all others share one
 symbol for rare words, below which each keeps its own share by its count. Every document is kept once as a sequence
-of symbols, ended by the end symbol. A bounded sample gives the states a start; then each round runs forward and
-backward over all training documents and sums the expected counts over all partitions. The likelihood of a document
+of symbols, ended by the end symbol. The states start from the counts with a fixed disturbance; each round runs forward
+and backward over all training documents and sums the expected counts over all partitions. The likelihood of a document
 comes from the scaled forward recursion, the shares of its rare words from a join with their counts.
 
 Defined results: a null or empty text is the end token alone; repeated rows and rows without id are scored each
@@ -30,8 +30,10 @@ END = b" "
 #: Symbols: 0 ends a document, 1 stands for rare words, the others are the FREQUENT most frequent words.
 ENDED, RARE, FREQUENT = 0, 1, 65_000
 STATES = 8
-#: Documents of the sample from which the states start, rounds on it, and rounds on all training documents.
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2000, 12, 2
+#: Rounds, each over all training documents, at every size of the input.
+ROUNDS = 14
+#: None run on a sample; the name stays for tests that set it.
+SAMPLE_ROUNDS = 0
 #: Added to expected counts.
 SMOOTH_EMIT, SMOOTH_STEP = 0.01, 1.0
 LANES = 256
@@ -116,13 +118,13 @@ def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def score(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each sequence; keeps one step of the recursion."""
-    out = np.zeros(len(seqs))
+    out, ones = np.zeros(len(seqs)), np.ones(len(model.start))
     for rows, obs in lanes(seqs):
         live = (obs >= 0).sum(1).tolist()
         log, a = np.zeros(len(rows)), None
         for t, n in enumerate(live):
             a = (model.start if t == 0 else a[:n] @ model.step) * model.emit[obs[t, :n]]
-            scale = a.sum(1)
+            scale = a @ ones
             a = a / scale[:, None]
             log[:n] += np.log(scale)
         out[rows] = log
@@ -130,7 +132,22 @@ def score(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 #: Steps that one block of the backward recursion keeps in memory.
-BLOCK_STEPS = 2048
+BLOCK_STEPS = 512
+
+
+def _forward(model: Model, obs: np.ndarray, live: list[int], begin: int, a: np.ndarray | None) -> tuple[list, list, list]:
+    """Scaled forward rows of one block of steps, their scales and the emissions they met; ``a`` is the row before."""
+    alpha, scales, met, ones = [], [], [], np.ones(len(model.start))
+    for t in range(begin, min(len(live), begin + BLOCK_STEPS)):
+        n = live[t]
+        e = model.emit.take(obs[t, :n], 0)
+        a = e * model.start if t == 0 else (a[:n] @ model.step) * e
+        scale = a @ ones
+        a /= scale[:, None]
+        alpha.append(a)
+        scales.append(scale)
+        met.append(e)
+    return alpha, scales, met
 
 
 class Expected:
@@ -143,46 +160,39 @@ class Expected:
     def add(self, model: Model, seqs: list[np.ndarray]) -> None:
         """One pass forward and backward over the sequences; long ones are taken in blocks of steps.
 
-        Only the first row of each block is kept going forward, and a block is filled again going backward, so
-        memory is bounded by a block whatever the length.
+        Only the row before each block is kept going forward, and a block is filled again going backward, so
+        memory is bounded by a block whatever the length. Backward rows take the scales of the forward ones, so
+        that the product of both sums to 1.
         """
         for _, obs in lanes(seqs):
             live = (obs >= 0).sum(1).tolist()
             firsts, a = [], None
-            for t, n in enumerate(live):
-                if t % BLOCK_STEPS == 0:
-                    firsts.append(a)
-                a = (model.start if t == 0 else a[:n] @ model.step) * model.emit[obs[t, :n]]
-                scale = a.sum(1)
-                a = a / scale[:, None]
-                self.log += float(np.log(scale).sum())
-            beta = np.ones((obs.shape[1], len(model.start)))
+            for begin in range(0, len(live), BLOCK_STEPS):
+                firsts.append(a)
+                alpha, scales, met = _forward(model, obs, live, begin, a)
+                a = alpha[-1]
+                self.log += float(np.log(np.concatenate(scales)).sum())
+            beta, moved = np.ones((obs.shape[1], len(model.start))), np.zeros_like(self.step)
             for block in range(len(firsts) - 1, -1, -1):
-                begin, end = block * BLOCK_STEPS, min(len(live), (block + 1) * BLOCK_STEPS)
-                alpha, a = [], firsts[block]
-                for t in range(begin, end):
-                    a = (model.start if t == 0 else a[:live[t]] @ model.step) * model.emit[obs[t, :live[t]]]
-                    a = a / a.sum(1, keepdims=True)
-                    alpha.append(a)
+                begin = block * BLOCK_STEPS
+                if block < len(firsts) - 1:
+                    alpha, scales, met = _forward(model, obs, live, begin, firsts[block])
                 gammas = []
-                for t in range(end - 1, begin - 1, -1):
-                    n, a = live[t], alpha[t - begin]
-                    gamma = a * beta[:n]
-                    gamma /= gamma.sum(1, keepdims=True)
-                    gammas.append(gamma)
-                    if t == 0:
-                        self.start += gamma.sum(0)
+                for k in range(len(alpha) - 1, -1, -1):
+                    n = live[begin + k]
+                    gammas.append(alpha[k] * beta[:n])
+                    if begin + k == 0:
+                        self.start += gammas[-1].sum(0)
                         break
-                    ahead = model.emit[obs[t, :n]] * beta[:n]
-                    back = ahead @ model.step.T
-                    prev = alpha[t - 1 - begin] if t > begin else firsts[block]
-                    norm = (prev[:n] * back).sum(1, keepdims=True)
-                    self.step += (prev[:n].T @ (ahead / norm)) * model.step
-                    beta[:n] = back / norm
-                flat = np.concatenate([obs[t, :live[t]] for t in range(end - 1, begin - 1, -1)])
+                    ahead = met[k] * beta[:n]
+                    ahead /= scales[k][:, None]
+                    moved += (alpha[k - 1] if k else firsts[block])[:n].T @ ahead
+                    beta[:n] = ahead @ model.step.T
+                flat = np.concatenate([obs[t, :live[t]] for t in range(begin + len(alpha) - 1, begin - 1, -1)])
                 weight = np.concatenate(gammas)
                 for s in range(weight.shape[1]):
                     self.emit[:, s] += np.bincount(flat, weight[:, s], len(self.emit))
+            self.step += moved * model.step
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -190,24 +200,26 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
 
 
 def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Model, float]:
-    """The next model and the log-likelihood of ``seqs`` (seq) under the one before it.
+    """The model after ``rounds`` rounds over all of ``seqs`` (seq), and their log-likelihood under the one before it.
 
-    Each task sums over its documents; a row for each symbol goes through the shuffle, and what comes back to the
-    driver has as many rows as the model has symbols. ``rounds`` over 1 are for a single partition: all run there.
+    In each round every task sums over its documents; a row for each symbol goes through the shuffle, and what comes
+    back to the driver has as many rows as the model has symbols.
     """
+    log = 0.0
+    for _ in range(rounds):
+        model, log = _round(seqs.select("seq"), model)
+    return model, log
+
+
+def _round(seqs: DataFrame, model: Model) -> tuple[Model, float]:
     states, n_symbols = len(model.start), len(model.emit)
     shared = seqs.sparkSession.sparkContext.broadcast(model)
     cols = [f"s{k}" for k in range(states)]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.column(0) for b in source] if rounds > 1 else None
-        own = shared.value
-        for again in range(rounds):
-            found = Expected(n_symbols, states)
-            for column in held if rounds > 1 else (b.column(0) for b in source):
-                found.add(own, _sequences(column))
-            if again < rounds - 1:
-                own = Model.of(found.start, found.step, found.emit)
+        found, own = Expected(n_symbols, states), shared.value
+        for batch in source:
+            found.add(own, _sequences(batch.column(0)))
         used = np.flatnonzero(found.emit.any(1))
         tail = np.vstack([found.step, found.start, np.full(states, found.log)])
         number = np.concatenate([used, -1 - np.arange(len(tail))])
@@ -216,7 +228,7 @@ def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Mod
                                          names=["symbol", *cols])
 
     ddl = "symbol long, " + ", ".join(f"{c} double" for c in cols)
-    summed = map_batches(seqs.select("seq"), run, ddl).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    summed = map_batches(seqs, run, ddl).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in cols]).collect()
     shared.destroy()
     emit, tail = np.zeros((n_symbols, states)), np.zeros((states + 2, states))
     for number, *values in summed:
@@ -227,16 +239,9 @@ def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Mod
     return Model.of(tail[states], tail[:states], emit), float(tail[states + 1, 0])
 
 
-def train(seqs: DataFrame, counts: np.ndarray, states: int = STATES, sample: int = SAMPLE,
-          sample_rounds: int = SAMPLE_ROUNDS, rounds: int = ROUNDS) -> Model:
-    """A model of the training documents ``seqs`` (uid, seq): started on a bounded sample, then fitted to all."""
-    model = Model.begin(counts, states)
-    chosen = seqs.select("uid").orderBy(F.xxhash64("uid"), "uid").limit(sample)
-    few = seqs.join(F.broadcast(chosen), "uid").select("seq")
-    model, _ = expected_counts(few.coalesce(1), model, sample_rounds)
-    for _ in range(rounds):
-        model, _ = expected_counts(seqs, model)
-    return model
+def train(seqs: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """A model of the training documents ``seqs`` (seq): every round runs over all of them."""
+    return expected_counts(seqs, Model.begin(counts, states), rounds)[0]
 
 
 def score_documents(docs: DataFrame, states: int = STATES, frequent: int = FREQUENT) -> DataFrame:

@@ -64,6 +64,27 @@ def test_training_raises_likelihood(spark):
     assert math.isclose(log, logs[-1]) and np.allclose(once.emit, model.emit)
 
 
+def test_every_round_sees_all_training_documents(spark, monkeypatch):
+    """More documents than any sample would hold, dealt in two ways: same rounds, same model."""
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(2, 6, 3).astype(np.uint16) + np.uint16(4 * (k % 2)) for k in range(2600)]
+    counts = np.bincount(np.concatenate(seqs), minlength=10).astype(float)
+    rows = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(seqs)], "uid long, seq binary")
+    met = []
+    real = hmm.map_batches
+    monkeypatch.setattr(hmm, "map_batches", lambda df, fn, ddl: (met.append(df.count()), real(df, fn, ddl))[1])
+    model = hmm.train(rows.repartition(3), counts, 2)
+    assert met == [len(seqs)] * hmm.ROUNDS
+    want = hmm.Model.begin(counts, 2)
+    for _ in range(hmm.ROUNDS):
+        found = hmm.Expected(len(counts), 2)
+        found.add(want, seqs)
+        want = hmm.Model.of(found.start, found.step, found.emit)
+    assert np.allclose(model.emit, want.emit) and np.allclose(model.step, want.step)
+    again = hmm.train(rows.withColumn("uid", -rows["uid"]).repartition(5), counts, 2)
+    assert np.allclose(again.emit, model.emit) and np.allclose(again.step, model.step)
+
+
 @pytest.mark.parametrize("frequent", [30, 100_000])
 def test_scores_of_documents(spark, frequent, monkeypatch):
     monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 2)
