@@ -40,7 +40,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20}
 
-TOKEN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+#: An equals sign is padding at the end only, so that a value after ``name=`` is a token of its own.
+TOKEN = re.compile("[A-Za-z0-9+/_-]{20,}={0,2}")
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Name, symbols and the classes a token must show, from the narrowest alphabet to the widest.
 ENCODINGS = (

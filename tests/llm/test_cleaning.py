@@ -216,6 +216,26 @@ def test_base_spans_match_the_patterns(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_values_after_an_equals_sign_are_tested(spark):
+    rng = random.Random(12)
+    b62 = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(48, 58)))
+    forms = ("AUTH={}", "see https://x.org/a?sig={}&n=1 there", "session={}; path", "auth: {} end", "k=={}", "pad={}==")
+    texts, want = [], {}
+    for k in range(600):
+        value = "".join(rng.choices(b62, k=rng.choice([32, 40]))) + "aZ7"
+        form = forms[k % len(forms)]
+        start = form.index("{}")
+        want[k] = f"random:{start}:{start + len(value) + 2 * form.endswith('==')}"
+        texts.append(form.format(value))
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(docs)).collect()}
+    for k, form in enumerate(forms):
+        mine = [i for i in want if i % len(forms) == k]
+        assert sum(got[i] == want[i] for i in mine) >= 0.9 * len(mine), form
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs).collect()}
+    assert all((masked[i] == forms[i % len(forms)].format("[SECRET]").replace("]==", "]")) == (got[i] == want[i]) for i in want)
+
+
 def test_battery_finds_random_strings_among_ordinary_ones(spark):
     rng = random.Random(11)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
