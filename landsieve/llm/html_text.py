@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive where their surroundings are those of content and
 negative in menus, notices and the like; tags score negative. The weights are log-odds from labelled pages, those
-with exactly one article element: what lies in it is content. One linear scan finds the contiguous region with the
+with exactly one article element: what lies in it is content. Where no element names an article, plain words are
+weighed as those of labelled pages read without their article and main elements. One linear scan finds the contiguous region with the
 highest total. Its words, less those in surroundings that score negative, are the text.
 
 Defined results: a null or empty page gives an empty text; an unclosed comment, script or style hides what follows
@@ -57,7 +58,7 @@ _ROLE_OF = {word: role for role, words in NAME_ROLES.items() for word in words.s
 BOILER = frozenset(NAME_ROLES)
 
 #: Words counted in favour and against before any page is seen.
-PRIOR = {"article": (20.0, 1.0), "plain": (4.0, 2.0)}
+PRIOR = {"article": (20.0, 1.0), "plain": (4.0, 2.0), "unnamed": (4.0, 2.0)}
 BOILER_PRIOR = (1.0, 20.0)
 #: Bounds of the weights. Words and tags of page furniture cost little each, so that an advert within an article
 #: does not cut off what follows it, while a menu's many tags still part it from the article.
@@ -123,6 +124,8 @@ def counts(page: str) -> Counter:
             found["tag:" + what, inside and role not in BOILER] += 1
         else:
             found["word:" + role, inside and role not in BOILER] += len(what.split())
+            if role not in BOILER:  # what the page would show without its article and main elements
+                found["word:unnamed", inside] += len(what.split())
     return found
 
 
@@ -131,7 +134,7 @@ def weights_from(found: dict[tuple[str, bool], float]) -> dict[str, float]:
     total = {side: sum(n for (f, s), n in found.items() if s == side and f.startswith("tag:")) + len(TAGS)
              for side in (True, False)}
     out = {}
-    for role in ["plain", "article", *sorted(BOILER)]:
+    for role in ["plain", "article", "unnamed", *sorted(BOILER)]:
         yes, no = PRIOR.get(role, BOILER_PRIOR)
         odds = (found.get(("word:" + role, True), 0) + yes) / (found.get(("word:" + role, False), 0) + no)
         out["word:" + role] = max(MIN_WORD, min(MAX_WORD, math.log(odds)))
@@ -156,6 +159,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the best region, white space made single, joined by two line feeds."""
     parts = list(parse(page))
+    if not any(kind == "text" and role == "article" and what.strip() for kind, what, role in parts):
+        parts = [(kind, what, "unnamed" if role == "plain" else role) for kind, what, role in parts]
     scores = [weights["tag:" + what] if kind == "tag" else weights["word:" + role] * len(what.split())
               for kind, what, role in parts]
     start, end = best_region(scores)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -209,6 +210,23 @@ def test_text_of_labelled_and_other_pages(spark):
     assert html_text.page_texts(table.limit(0)).count() == 0
 
 
+def test_pages_without_article_among_labelled_ones_with_plain_words_outside(spark):
+    """A date line and a skip link outside the article say nothing against the text of pages made of div alone."""
+    stray = "<body><div>Skip to content</div><div>Monday, 3 May</div>"
+    plain = ("<body><div class=menu><a href=/>Home</a></div><div><div>The only text of a page of div elements.</div>"
+             "<div>Its second block.</div></div><div class=footer>Imprint</div>")
+    empty_main = "<body><main></main><div>Words beside an empty main element.</div>"
+    whole = [re.sub("<script>.*</script>", "", labelled(k)).replace("<body>", stray) for k in range(30)]
+    pages = [*whole, plain, empty_main]
+    table = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.page_texts(table).collect()}
+    for k in range(30):
+        want = [f"Title {k}", *[f"Paragraph {j} of page {k} with quite a few words in it." for j in range(4)]]
+        assert got[k] == "\n\n".join(want)
+    assert got[30] == "The only text of a page of div elements.\n\nIts second block."
+    assert got[31] == "Words beside an empty main element."
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(8)
     for _ in range(400):
