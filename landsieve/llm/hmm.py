@@ -36,7 +36,8 @@ ROUNDS = 14
 SAMPLE_ROUNDS = 0
 #: Added to expected counts.
 SMOOTH_EMIT, SMOOTH_STEP = 0.01, 1.0
-LANES = 256
+#: Sequences side by side, and cells (the longest times their number) from which there are fewer.
+LANES, LANE_CELLS = 256, 1 << 22
 LOG10 = np.log(10.0)
 
 
@@ -106,10 +107,14 @@ class Model:
 
 
 def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, symbols): up to LANES sequences side by side, the longest first; past an end stands -1."""
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    for at in range(0, len(order), LANES):
-        rows = order[at:at + LANES]
+    """(rows, symbols): up to LANES sequences side by side, the longest first; past an end stands -1.
+
+    No more than LANE_CELLS cells at once; a longer sequence is alone.
+    """
+    order, at = np.argsort([-len(s) for s in seqs], kind="stable"), 0
+    while at < len(order):
+        rows = order[at:at + max(1, min(LANES, LANE_CELLS // max(1, len(seqs[order[at]]))))]
+        at += len(rows)
         out = np.full((len(seqs[rows[0]]), len(rows)), -1, np.int64)
         for k, r in enumerate(rows):
             out[:len(seqs[r]), k] = seqs[r]

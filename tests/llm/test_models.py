@@ -53,6 +53,16 @@ def test_likelihood_and_expected_counts(monkeypatch):
         assert math.isclose(slope * model.step[i, j], whole.step[i, j], rel_tol=1e-3)
 
 
+def test_one_long_text_does_not_widen_its_neighbours(monkeypatch):
+    monkeypatch.setattr(hmm, "LANE_CELLS", 1000, raising=False)
+    model, _ = toy()
+    seqs = [np.arange(n) % 5 for n in (5000, *range(1, 256))]
+    groups = list(hmm.lanes(seqs))
+    assert sorted(r for rows, _ in groups for r in rows) == list(range(256))
+    assert groups[0][1].shape == (5000, 1) and all(obs.size <= 1000 for _, obs in groups[1:])
+    assert np.allclose(hmm.score(model, seqs), [by_hand(model, s) for s in seqs])
+
+
 def test_training_raises_likelihood(spark):
     model, seqs = toy()
     rows = spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "seq binary").repartition(3)
