@@ -26,6 +26,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that are unique over all tasks of one stage: task in the high bits, a counter in the low."""
     task = TaskContext.get()

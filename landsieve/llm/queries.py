@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve.llm.automaton import encode_decode
-from landsieve.llm.common import default_tokenizer, table
+from landsieve.llm.common import default_tokenizer, table, word_tokenizer
+from landsieve.llm.hard_negatives import mine
+from landsieve.llm.histogram_packing import pack_histogram
 from landsieve.llm.hmm import score_documents
 from landsieve.llm.html_text import page_texts
 from landsieve.llm.line_dedup import summary
+from landsieve.llm.manifest import manifest, tampered_fifth
 from landsieve.llm.near_dedup import near_duplicates
 from landsieve.llm.packing import pack_documents
 from landsieve.llm.quality import verdicts
@@ -75,3 +78,18 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), tampered_fifth(F.col("doc_id")))
+
+
+@query
+def op12_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_histogram(table(spark, sf_dir, "documents"), word_tokenizer())
