@@ -71,3 +71,59 @@ s as (select q.vec_id as query_id, q.z as qz, c.vec_id as vec_id,
 r as (select *, row_number() over (partition by query_id, qz order by score desc, vec_id) as rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 20
 """
+
+ORACLE["op12_packed_negatives"] = """
+with r as (select distinct vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+                  [floor(256 * x::double)::bigint for x in embedding] as z from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+           and len([1 for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (select a.vec_id as anchor_id, a.label as al, a.z as az, c.vec_id, c.label,
+             list_inner_product(a.z::double[], c.z::double[])::bigint as score
+      from r a join r c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+p as (select * from (select anchor_id, al, az, vec_id as positive_id, score as positive_score,
+                            row_number() over (partition by anchor_id, al, az order by score desc, vec_id) as pr
+                     from s where label = al) where pr <= 5),
+n as (select p.anchor_id, p.positive_id, s.vec_id as negative_id, p.positive_score, s.score as negative_score,
+             row_number() over (partition by p.anchor_id, p.al, p.az, p.pr order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and s.al = p.al and s.az = p.az and s.label <> p.al
+      and 50 * p.positive_score <= 100 * s.score and 100 * s.score <= 95 * p.positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+def _walk(name: str, start: str, groups: str) -> str:
+    """Paths up one tree: the digests beside a node are added to its proof and folded into its digest."""
+    before, after = "array_to_string(g.hs[1:w.pos % 16], '')", "array_to_string(g.hs[w.pos % 16 + 2:], '')"
+    return f"""{name} as (select *, 0 as lvl from ({start}) union all
+ select w.rid, w.tree, w.pos // 16, sha256({before} || w.f || {after}), w.proof || {before} || {after}, w.lvl + 1
+ from {name} w join {groups} g on g.lvl = w.lvl and g.tree = w.tree and g.node = w.pos // 16)"""
+
+
+_ORDER = "tree, doc_id nulls first, leaf"
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295], [ascii(x)::bigint for x in string_split(doc_id::varchar, '')]),
+ lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"""
+
+ORACLE["op11_merkle_manifest"] = f"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce('+' || source, '') as tree,
+  sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) as leaf,
+  case when {_CRC} % 5 = 0 then sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || coalesce(strlen(text) || ':'
+   || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) end as altered from documents),
+e as (select *, row_number() over (partition by tree order by {_ORDER.removeprefix('tree, ')}) - 1 as pos, count(*) over (partition by tree) as n from d),
+lev as (select 0 as lvl, tree, pos, leaf as h, n from e
+ union all select lvl + 1, tree, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from lev where n > 1 group by lvl, tree, pos // 16, n),
+grp as (select lvl, tree, pos // 16 as node, list(h order by pos) as hs from lev where n > 1 group by 1, 2, 3),
+sub as (select tree as name, h as subroot, 'all' as tree, row_number() over (order by tree) - 1 as pos, count(*) over () as n from lev where n = 1),
+rlev as (select 0 as lvl, tree, pos, subroot as h, n from sub
+ union all select lvl + 1, tree, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from rlev where n > 1 group by lvl, tree, pos // 16, n),
+rgrp as (select lvl, tree, pos // 16 as node, list(h order by pos) as hs from rlev where n > 1 group by 1, 2, 3),
+{_walk('w', "select rid, tree, pos, coalesce(altered, leaf) as f, '' as proof from e", 'grp')},
+own as (select rid, arg_max(f, lvl) as f, arg_max(proof, lvl) as proof from w group by rid),
+{_walk('v', "select o.rid, s.tree, s.pos, o.f, o.proof from own o join d on d.rid = o.rid join sub s on s.name = d.tree", 'rgrp')},
+up as (select rid, arg_max(f, lvl) as folded_root, sha256(arg_max(proof, lvl)) as proof_sha256 from v group by rid)
+select doc_id, leaf, subroot, r.h as root, proof_sha256, folded_root, folded_root = r.h as verified
+from d join up on up.rid = d.rid join sub on sub.name = d.tree, (select h from rlev where n = 1) r
+"""
