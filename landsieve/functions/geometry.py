@@ -182,7 +182,7 @@ def _crossings(px: Column, py: Column, es: Column) -> Column:
     )
 
 
-def _on_edge(px: Column, py: Column, es: Column) -> Column:
+def on_edge(px: Column, py: Column, es: Column) -> Column:
     return F.exists(
         es,
         lambda e: ((e["x2"] - e["x1"]) * (py - e["y1"]) == (e["y2"] - e["y1"]) * (px - e["x1"]))
@@ -193,12 +193,12 @@ def _on_edge(px: Column, py: Column, es: Column) -> Column:
 
 def contains_strict(px: Column, py: Column, es: Column) -> Column:
     """Point strictly inside; on the boundary is not inside."""
-    return _crossings(px, py, es) & ~_on_edge(px, py, es)
+    return _crossings(px, py, es) & ~on_edge(px, py, es)
 
 
 def covers(px: Column, py: Column, es: Column) -> Column:
     """Point inside or on the boundary."""
-    return _crossings(px, py, es) | _on_edge(px, py, es)
+    return _crossings(px, py, es) | on_edge(px, py, es)
 
 
 def _side(ax, ay, bx, by, px, py) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsieve.functions import geometry as G
+from landsieve.operators import fragments as FR
 from landsieve.operators.joins import BROADCAST_POINTS, BROADCAST_ROWS, salted_join, small_side
 from landsieve.session import materialize
 
@@ -116,18 +117,30 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: float, left_id: str =
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: str, y: str,
                        point_id: str = "id", strict: bool = True) -> DataFrame:
-    """Pairs of points and the polygons that contain them."""
-    test = G.contains_strict if strict else G.covers
+    """Pairs of points and the polygons that contain them.
+
+    Where polygons are large enough to be cut into pieces, a point on the border of two
+    pieces comes once for each.
+    """
     pts = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(
         "bbox", G.point_bbox(F.col(x), F.col(y)))
-    return overlap_join(pts, polygons, cell, point_id, left_points=True).filter(
-        test(F.col(x), F.col(y), F.col("r_edges")))
+    if "anchors" not in polygons.columns:
+        polygons = polygons.withColumn("anchors", F.array().cast(f"array<{G.POINT_T}>"))
+    cut, _ = FR.pieces(polygons)
+    return overlap_join(pts, cut, cell, point_id, left_points=True).filter(
+        FR.piece_contains(F.col(x), F.col(y), "r_", strict)).drop("r_ref", "r_anchors")
 
 
-def intersecting(left: DataFrame, right: DataFrame, cell: float, left_id: str = "id") -> DataFrame:
-    """Pairs of polygons that share at least one point."""
-    return overlap_join(left, right, cell, left_id).filter(
-        G.polygons_intersect(F.col("edges"), F.col("anchors"), F.col("r_edges"), F.col("r_anchors")))
+def intersecting(left: DataFrame, right: DataFrame, cell: float, left_id: str = "id", right_id: str | None = None) -> DataFrame:
+    """Pairs of polygons that share at least one point.
+
+    Large polygons are cut into pieces first, so a test never reads more than two pieces' edges, and pieces travel in
+    place of whole edge arrays. A pair then shows in several pieces; with ``right_id`` it comes once.
+    """
+    a, a_cut = FR.pieces(left)
+    b, b_cut = FR.pieces(right)
+    pairs = overlap_join(a, b, cell, left_id).filter(FR.pieces_intersect()).drop("ref", "r_ref", "anchors", "r_anchors")
+    return pairs.dropDuplicates([left_id, f"r_{right_id}"]) if right_id and (a_cut or b_cut) else pairs
 
 
 def smallest_container(points: DataFrame, polygons: DataFrame, cell: float, x: str, y: str,

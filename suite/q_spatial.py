@@ -314,7 +314,7 @@ def exclusion_overlay_flags(spark, sf):
 
 @q("polygons_intersect", f"select p.id, count(*) as n, {lng('sum(o.id)')} as ids from parcels p join overlays o on {BOX_HIT} group by p.id")
 def polygons_intersect(spark, sf):
-    pairs = S.intersecting(parcel_boxes(spark, sf), box_layer(view(spark, sf, "overlays")), 0.02)
+    pairs = S.intersecting(parcel_boxes(spark, sf), box_layer(view(spark, sf, "overlays")), 0.02, right_id="id")
     return pairs.groupBy("id").agg(F.count("*").alias("n"), F.sum("r_id").alias("ids"))
 
 
