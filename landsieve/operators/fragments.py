@@ -190,13 +190,18 @@ def _cut(batch: pa.RecordBatch, out: pa.Schema, max_edges: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([made[n] if n in made else batch[n].take(pa.array(number)) for n in out.names], schema=out)
 
 
+def one_piece(polygons: DataFrame) -> DataFrame:
+    """Polygons as one piece each, whatever their size."""
+    return polygons.withColumn("ref", _ref_outside(F.col("bbox")))
+
+
 def pieces(polygons: DataFrame, max_edges: int = MAX_EDGES) -> tuple[DataFrame, bool]:
     """Pieces of polygons (bbox, edges, anchors and other columns), and whether any polygon was divided.
 
     A piece has the polygon's other columns, its own bbox, edges and anchors, and ``ref``. Pieces without edges lie
     wholly inside. Only large polygons leave the JVM, each divided where its row is; the pieces are written once.
     """
-    whole = polygons.withColumn("ref", _ref_outside(F.col("bbox")))
+    whole = one_piece(polygons)
     if polygons.filter(large(polygons, max_edges)).isEmpty():
         return whole, False
     out = to_arrow_schema(whole.schema)

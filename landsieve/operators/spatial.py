@@ -131,16 +131,21 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, x: s
         FR.piece_contains(F.col(x), F.col(y), "r_", strict)).drop("r_ref", "r_anchors")
 
 
-def intersecting(left: DataFrame, right: DataFrame, cell: float, left_id: str = "id", right_id: str | None = None) -> DataFrame:
+def intersecting(left: DataFrame, right: DataFrame, cell: float, left_id: str = "id", right_id: str | None = None,
+                 cut_left: bool = False) -> DataFrame:
     """Pairs of polygons that share at least one point.
 
-    Large polygons are cut into pieces first, so a test never reads more than two pieces' edges, and pieces travel in
-    place of whole edge arrays. A pair then shows in several pieces; with ``right_id`` it comes once.
+    Large polygons on the right are cut into pieces first, so a test reads one piece's edges and pieces travel in place
+    of whole edge arrays; ``cut_left`` does the same on the left, for one more look at its rows. A pair then shows in
+    several pieces; with ``right_id`` it comes once.
     """
-    a, a_cut = FR.pieces(left)
     b, b_cut = FR.pieces(right)
-    pairs = overlap_join(a, b, cell, left_id).filter(FR.pieces_intersect()).drop("ref", "r_ref", "anchors", "r_anchors")
-    return pairs.dropDuplicates([left_id, f"r_{right_id}"]) if right_id and (a_cut or b_cut) else pairs
+    a, a_cut = FR.pieces(left) if cut_left else (FR.one_piece(left), False)
+    if not a_cut and not b_cut:
+        return overlap_join(left, right, cell, left_id).filter(
+            G.polygons_intersect(F.col("edges"), F.col("anchors"), F.col("r_edges"), F.col("r_anchors")))
+    pairs = overlap_join(a, b, cell, left_id).filter(FR.pieces_intersect()).drop("ref", "r_ref")
+    return pairs.dropDuplicates([left_id, f"r_{right_id}"]) if right_id else pairs
 
 
 def smallest_container(points: DataFrame, polygons: DataFrame, cell: float, x: str, y: str,

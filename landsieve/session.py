@@ -25,6 +25,10 @@ def build_session(master: str | None = None, app: str = "landsieve", **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # state of streams lies on the executors' disks, and a checkpoint holds what changed
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
         b = b.config(key, value)

@@ -1,95 +1,72 @@
-"""Structured Streaming jobs over usage events.
+"""Structured Streaming jobs over usage events, with their memory in Spark's state store.
 
-Each micro-batch writes folders of its own number, so a batch that is run again replaces what it wrote. An event is
-charged once: ids of earlier batches are looked up in what those wrote, by day, so events may be as late as they
-like and none is dropped. A replayed event carries its first timestamp; events without id are all charged.
+A micro-batch reads its own events and nothing of earlier ones. Ids already charged are keyed state of a
+deduplication, totals are keyed state of an aggregation (combined inside each task before the shuffle, so a client
+with very many events does not overload one task), and whether a client has been announced is keyed state of its own.
+All of it is restored from the checkpoint.
+
+An event is charged once, however late it is: the watermark follows the time of arrival, not the event's own, so no
+event is ever too late; it only decides how long an id is remembered (``REMEMBER`` after its first arrival). A
+replayed event carries its id; events without id are all charged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from landsieve.operators.usage import NANO, chargeable, effective_cap, price_events
 
 EVENTS = "event_id long, ts timestamp, client string, mode string, cost_nano long, cost_usd double"
-TOTALS = "client string, mode string, before_nano long, spent_nano long"
-
-
-def _open(spark: SparkSession, path: str, schema: str, *keys: str) -> None:
-    """Make an empty first folder, so that the table can be read before any batch has written."""
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*keys).parquet(f"{path}/batch=-1")
-
+TOTALS = "client string, mode string, spent_nano long"
+ALERTS = "client string, mode string, spent_nano long, batch_id long"
+#: How long after its first arrival an id is known.
+REMEMBER = "30 days"
 
-def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch long").parquet(path).filter(F.col("batch") < batch_id)
 
+def new_events(events: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    """Events of a stream, each id once; ids are state keyed by themselves."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    named = (
+        timed.filter(F.col("event_id").isNotNull()).withColumn("arrived", F.current_timestamp())
+        .withWatermark("arrived", remember).dropDuplicatesWithinWatermark(["event_id"]).drop("arrived"))
+    return named.unionByName(timed.filter(F.col("event_id").isNull()))
 
-def new_events(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """Events of ``batch`` that neither it nor an earlier batch holds already."""
-    timed = batch.withColumn("ts", F.col("ts").cast("timestamp"))
-    named = timed.filter(F.col("event_id").isNotNull()).dropDuplicates(["event_id"])
-    known = _earlier(batch.sparkSession, path, f"{EVENTS}, day date", batch_id).select("event_id", "day").distinct()
-    fresh = named.withColumn("day", F.to_date("ts")).join(known.withColumnRenamed("event_id", "_id").withColumnRenamed(
-        "day", "_day"), (F.col("event_id") == F.col("_id")) & F.col("day").eqNullSafe(F.col("_day")), "left_anti")
-    return fresh.drop("day").unionByName(timed.filter(F.col("event_id").isNull()))
 
-
-def _save_events(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
-    """Price the new events of a batch, keep them, and read them back."""
-    spark = batch.sparkSession
-    priced = price_events(new_events(batch, batch_id, path)).select(*[c.split()[0] for c in EVENTS.split(", ")])
-    own = f"{path}/batch={batch_id}"
-    priced.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(own)
-    return spark.read.schema(f"{EVENTS}, day date").parquet(own)
-
-
-def _start(events: DataFrame, checkpoint: str, save: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    return (events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def priced_stream(events: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    return price_events(new_events(events, remember)).select(*[c.split()[0] for c in EVENTS.split(", ")])
 
 
-def write_priced(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Every event once, with its cost."""
-    _open(events.sparkSession, out, f"{EVENTS}, day date", "day")
-    return _start(events, checkpoint, lambda batch, k: _save_events(batch, k, out) and None)
+def write_priced(events: DataFrame, out: str, checkpoint: str, remember: str = REMEMBER) -> StreamingQuery:
+    """Every event once, with its cost, as a table by day; each batch's files count once it has ended."""
+    return (priced_stream(events, remember).withColumn("day", F.to_date("ts")).writeStream.format("parquet").partitionBy("day")
+            .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_priced(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(out)
 
 
-def _book(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
-    """Totals of the clients that this batch charges, before and after it.
-
-    The batch's sum is combined inside each task before the shuffle, so a client
-    with very many events does not overload one task.
-    """
-    spark = batch.sparkSession
-    sums = chargeable(_save_events(batch, batch_id, f"{out}/events")).groupBy("client", "mode").agg(
-        F.sum("cost_nano").alias("now"))
-    last = _earlier(spark, f"{out}/totals", TOTALS, batch_id).groupBy("client", "mode").agg(
-        F.max_by("spent_nano", "batch").alias("before"))
-    before = F.coalesce("before", F.lit(0).cast("long"))
-    own = f"{out}/totals/batch={batch_id}"
-    sums.join(last, ["client", "mode"], "left").select(
-        "client", "mode", before.alias("before_nano"), (before + F.col("now")).alias("spent_nano")
-    ).write.mode("overwrite").parquet(own)
-    return spark.read.schema(TOTALS).parquet(own)
+def _open(spark: SparkSession, path: str, schema: str) -> None:
+    """Make an empty first folder, so that the table can be read before any batch has written."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
 
-def _open_book(spark: SparkSession, out: str) -> None:
-    _open(spark, f"{out}/events", f"{EVENTS}, day date", "day")
-    _open(spark, f"{out}/totals", TOTALS)
+def write_ledger(events: DataFrame, out: str, checkpoint: str, remember: str = REMEMBER) -> StreamingQuery:
+    """Changed totals of each micro-batch, in a folder of its number: a batch that is run again replaces what it wrote."""
+    _open(events.sparkSession, f"{out}/totals", TOTALS)
+    sums = chargeable(priced_stream(events, remember)).groupBy("client", "mode").agg(F.sum("cost_nano").alias("spent_nano"))
 
+    def save(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
 
-def write_ledger(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Changed totals of each micro-batch."""
-    _open_book(events.sparkSession, out)
-    return _start(events, checkpoint, lambda batch, k: _book(batch, k, out) and None)
+    return (sums.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def read_ledger(spark: SparkSession, out: str) -> DataFrame:
@@ -99,21 +76,37 @@ def read_ledger(spark: SparkSession, out: str) -> DataFrame:
     return latest.withColumn("spent_usd", F.col("spent_nano") / F.lit(NANO))
 
 
-def write_alerts(events: DataFrame, out: str, checkpoint: str, cap: float | None = None) -> StreamingQuery:
-    """One alert per client and mode, in the batch that takes its total from below the cap to the cap or beyond."""
-    limit = round(effective_cap(cap) * NANO)
-    spark = events.sparkSession
-    _open_book(spark, out)
-    _open(spark, f"{out}/raised", TOTALS)
+def crossings(totals: DataFrame, limit: int) -> DataFrame:
+    """The first total of each client and mode at or above ``limit``, from a stream of totals (with their ledger batch).
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        crossed = (F.col("before_nano") < limit) & (F.col("spent_nano") >= limit) & F.lit(limit > 0)
-        _book(batch, batch_id, out).filter(crossed).write.mode("overwrite").parquet(f"{out}/raised/batch={batch_id}")
+    State is one flag for each client and mode. A group holds a row for each ledger batch read, so none is large.
+    """
+    def first(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        hits = pd.concat([r[r["spent_nano"] >= limit] for r in rows])
+        if len(hits):
+            state.update((True,))
+            best = hits.sort_values("batch").iloc[[0]]
+            yield pd.DataFrame({"client": [key[0]], "mode": [key[1]], "spent_nano": best["spent_nano"].to_numpy(),
+                                "batch_id": best["batch"].to_numpy()})
 
-    return _start(events, checkpoint, save)
+    return totals.groupBy("client", "mode").applyInPandasWithState(
+        first, ALERTS, "raised boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_alerts(events: DataFrame, out: str, checkpoint: str, cap: float | None = None,
+                 remember: str = REMEMBER) -> StreamingQuery:
+    """One alert per client and mode, when its total first reaches the cap.
+
+    The ledger runs first; its totals, one row for each changed client, are the stream that the alerts follow.
+    """
+    spark, limit = events.sparkSession, round(effective_cap(cap) * NANO)
+    write_ledger(events, out, f"{checkpoint}/ledger", remember).awaitTermination()
+    totals = spark.readStream.schema(f"{TOTALS}, batch long").parquet(f"{out}/totals").filter(F.lit(limit > 0))
+    return (crossings(totals, limit).writeStream.format("parquet").option("path", f"{out}/raised")
+            .option("checkpointLocation", f"{checkpoint}/alerts").trigger(availableNow=True).start())
 
 
 def read_alerts(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.schema(f"{TOTALS}, batch long").parquet(f"{out}/raised")
-    return rows.select("client", "mode", "spent_nano", (F.col("spent_nano") / F.lit(NANO)).alias("spent_usd"),
-                       F.col("batch").alias("batch_id"))
+    return spark.read.schema(ALERTS).parquet(f"{out}/raised").withColumn("spent_usd", F.col("spent_nano") / F.lit(NANO))

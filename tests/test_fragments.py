@@ -54,7 +54,7 @@ def meets_box(es, x, y, w):
 
 
 def pairs(spark, a, b, cell=0.3):
-    got = S.intersecting(layer(spark, a), layer(spark, b), cell, right_id="id")
+    got = S.intersecting(layer(spark, a), layer(spark, b), cell, right_id="id", cut_left=True)
     return sorted((r["id"], r["r_id"]) for r in got.select("id", "r_id").collect())
 
 
