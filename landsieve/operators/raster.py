@@ -1,20 +1,27 @@
 """Terrain rasters as cell tables: (row, col, z), one row per grid cell.
 
 A grid is described by x0, y0 (outer corner of cell 0,0), dx and dy; row grows
-with y. Neighbours meet through one aggregation keyed by cell, so no window
-ever holds a whole raster row or column.
+with y. Work that looks at neighbours runs on square blocks: a cell moves to its
+block once, and only cells at a block's border move to the next one as well, so
+that a block has the margin it needs and nothing is exchanged afterwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landsieve.functions import geometry as G
 from landsieve.operators.spatial import points_in_polygons
+from landsieve.session import ship_package
 
+#: Cells to a side of a block.
+BLOCK = 256
 
 @dataclass(frozen=True)
 class Grid:
@@ -45,10 +52,45 @@ def raster_window(cells: DataFrame, row0: int, row1: int, col0: int, col1: int)
     return out
 
 
-def raster_resample(cells: DataFrame, source: Grid, target: Grid, to_source=None) -> DataFrame:
-    """Bilinear resampling; missing neighbours are left out and weights rescaled.
+def in_blocks(cells: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """Cells with the block (brow, bcol) they lie in, and once more for each block whose margin they are in.
 
-    ``to_source(x, y)`` turns target coordinates into source coordinates.
+    A block's margin is ``before`` cells ahead of its first row and column and ``after`` cells past its last, so a
+    raster grows by about (before + after) * 2 / size.
+    """
+    def places(c: str) -> Column:
+        at, inside = F.floor(F.col(c) / size), F.pmod(F.col(c), F.lit(size))
+        return F.filter(F.array(at, F.when(inside < after, at - 1), F.when(inside >= size - before, at + 1)), lambda b: b.isNotNull())
+
+    rows, cols = places("row"), places("col")
+    both = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("brow"), c.alias("bcol")))))
+    return cells.withColumn("_b", F.explode(both)).select("*", "_b.brow", "_b.bcol").drop("_b")
+
+
+def _dense(block: pa.Table, size: int, before: int, after: int) -> tuple[np.ndarray, int, int]:
+    """A block's values with its margin, missing ones NaN, and the row and column of its first cell of its own."""
+    row0, col0 = block["brow"][0].as_py() * size, block["bcol"][0].as_py() * size
+    z = np.full((size + before + after,) * 2, np.nan)
+    z[block["row"].to_numpy() - row0 + before, block["col"].to_numpy() - col0 + before] = block["z"].to_numpy()
+    return z, row0, col0
+
+
+def _as_cells(found: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows and columns in the types they came in."""
+    return found.withColumn("row", F.col("row").cast(like.schema["row"].dataType)).withColumn(
+        "col", F.col("col").cast(like.schema["col"].dataType))
+
+
+def _numbers(values: np.ndarray) -> pa.Array:
+    """NaN as null."""
+    return pa.array(values, pa.float64(), mask=np.isnan(values))
+
+
+def raster_resample(cells: DataFrame, source: Grid, target: Grid, to_source: Callable | None = None) -> DataFrame:
+    """Bilinear resampling; missing neighbours (null or NaN) are left out and weights rescaled.
+
+    ``to_source(x, y)`` turns target coordinates into source coordinates. Each target cell goes to the source block that
+    holds the first of its four neighbours; that block's margin holds the others.
     """
     spark = cells.sparkSession
     t = (
@@ -60,40 +102,60 @@ def raster_resample(cells: DataFrame, source: Grid, target: Grid, to_source=None
         "fr", (sy - F.lit(source.y0)) / F.lit(source.dy) - 0.5)
     inside = (
         F.col("fc").between(-0.5, source.cols - 0.5) & F.col("fr").between(-0.5, source.rows - 0.5))
-    c0, r0 = F.floor("fc"), F.floor("fr")
-    wc, wr = F.col("fc") - c0, F.col("fr") - r0
-    corners = F.array(*[
-        F.struct((r0 + i).alias("sr"), (c0 + j).alias("sc"),
-                 ((wr if i else F.lit(1.0) - wr) * (wc if j else F.lit(1.0) - wc)).alias("w"))
-        for i in (0, 1) for j in (0, 1)])
-    probes = t.filter(inside).withColumn("k", F.explode(corners)).select("row", "col", "k.sr", "k.sc", "k.w").filter("w > 0")
-    src = cells.filter(F.col("z").isNotNull()).select(F.col("row").alias("sr"), F.col("col").alias("sc"), "z")
-    return (
-        probes.join(src, ["sr", "sc"]).groupBy("row", "col")
-        .agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z")))
-
-
-def slope_gradient(cells: DataFrame, rows: int, cols: int, dx: float, dy: float) -> DataFrame:
+    # a finer target gets smaller source blocks, so that a block's work stays bounded
+    finer = max(1.0, target.rows * target.cols / max(1, source.rows * source.cols))
+    size = max(8, int(BLOCK / finer ** 0.5))
+    probes = t.filter(inside).withColumn("brow", F.floor(F.floor("fr") / size)).withColumn("bcol", F.floor(F.floor("fc") / size))
+    known = cells.filter(F.col("z").isNotNull()).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("double"))
+    schema = pa.schema([("row", pa.int64()), ("col", pa.int64()), ("z", pa.float64())])
+
+    def bilinear(want: pa.Table, have: pa.Table) -> pa.Table:
+        if not want.num_rows or not have.num_rows:
+            return schema.empty_table()
+        z, row0, col0 = _dense(have, size, 0, 1)
+        fr, fc = want["fr"].to_numpy(), want["fc"].to_numpy()
+        r0, c0 = np.floor(fr), np.floor(fc)
+        wr, wc = fr - r0, fc - c0
+        r, c = r0.astype(np.int64) - row0, c0.astype(np.int64) - col0
+        total, weight = np.zeros(len(fr)), np.zeros(len(fr))
+        for i in (0, 1):
+            for j in (0, 1):
+                w = (wr if i else 1.0 - wr) * (wc if j else 1.0 - wc)
+                v = z[r + i, c + j]
+                use = (w > 0) & ~np.isnan(v)
+                total += np.where(use, w * np.where(use, v, 0.0), 0.0)
+                weight += np.where(use, w, 0.0)
+        hit = weight > 0
+        return pa.table([want["row"].filter(pa.array(hit)), want["col"].filter(pa.array(hit)), pa.array(total[hit] / weight[hit])], schema=schema)
+
+    ship_package(spark)
+    return probes.select("row", "col", "fr", "fc", "brow", "bcol").groupBy("brow", "bcol").cogroup(
+        in_blocks(known, size, 0, 1).groupBy("brow", "bcol")).applyInArrow(bilinear, "row long, col long, z double")
+
+
+def slope_gradient(cells: DataFrame, rows: int, cols: int, dx: float, dy: float, size: int = BLOCK) -> DataFrame:
     """dz/dx and dz/dy: central differences inside, one-sided at the grid edge.
 
-    A missing neighbour inside the grid gives NULL.
+    A missing neighbour (null or NaN) inside the grid gives NULL.
     """
-    moves = F.array(*[
-        F.struct((F.col("row") + dr).alias("r"), (F.col("col") + dc).alias("c"), F.lit(tag).alias("tag"))
-        for tag, dr, dc in (("o", 0, 0), ("w", 0, 1), ("e", 0, -1), ("s", 1, 0), ("n", -1, 0))])
-    spread = (
-        cells.filter(F.col("z").isNotNull()).withColumn("m", F.explode(moves))
-        .select(F.col("m.r").alias("row"), F.col("m.c").alias("col"), "m.tag", "z"))
-    got = spread.groupBy("row", "col").agg(*[F.max(F.when(F.col("tag") == t, F.col("z"))).alias(t) for t in "owesn"])
-
-    def diff(lo, hi, pos, n, step):
-        o = F.col("o")
-        return (
-            F.when(F.col(pos) == 0, (F.col(hi) - o) / step).when(F.col(pos) == n - 1, (o - F.col(lo)) / step)
-            .otherwise((F.col(hi) - F.col(lo)) / (2.0 * step)))
-
-    return got.filter(F.col("o").isNotNull()).select(
-        "row", "col", diff("w", "e", "col", cols, dx).alias("dzdx"), diff("s", "n", "row", rows, dy).alias("dzdy"))
+    schema = pa.schema([("row", pa.int64()), ("col", pa.int64()), ("dzdx", pa.float64()), ("dzdy", pa.float64())])
+
+    def difference(low: np.ndarray, own: np.ndarray, high: np.ndarray, at: np.ndarray, n: int, step: float) -> np.ndarray:
+        return np.where(at == 0, (high - own) / step, np.where(at == n - 1, (own - low) / step, (high - low) / (2.0 * step)))
+
+    def gradient(block: pa.Table) -> pa.Table:
+        z, row0, col0 = _dense(block, size, 1, 1)
+        own = z[1:-1, 1:-1]
+        r, c = np.nonzero(~np.isnan(own))
+        row, col = r + row0, c + col0
+        x = difference(z[r + 1, c], own[r, c], z[r + 1, c + 2], col, cols, dx)
+        y = difference(z[r, c + 1], own[r, c], z[r + 2, c + 1], row, rows, dy)
+        return pa.table([pa.array(row), pa.array(col), _numbers(x), _numbers(y)], schema=schema)
+
+    ship_package(cells.sparkSession)
+    known = cells.filter(F.col("z").isNotNull()).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("z").cast("double"))
+    found = in_blocks(known, size, 1, 1).groupBy("brow", "bcol").applyInArrow(gradient, "row long, col long, dzdx double, dzdy double")
+    return _as_cells(found, cells)
 
 
 def raster_slope(gradient: DataFrame) -> DataFrame:
