@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landsieve.functions import geometry as G
@@ -185,43 +185,175 @@ def raster_stats(cells: DataFrame, grid: Grid) -> DataFrame:
         F.lit(grid.x0 + grid.cols * grid.dx).alias("bbox_xmax"), F.lit(grid.y0 + grid.rows * grid.dy).alias("bbox_ymax"))
 
 
-def touched_cells(parcels: DataFrame, grid: Grid) -> DataFrame:
-    """(id, row, col) of every grid cell a parcel's metric polygon touches.
+def _reach(lo: Column, hi: Column, origin: float, step: float) -> tuple[Column, Column]:
+    """First and last closed cell that a stretch meets, as their borders origin + k * step have it to the last bit."""
+    border = lambda k: F.lit(origin) + k * F.lit(step)
+    near = lambda v: F.floor((v - F.lit(origin)) / F.lit(step))
+    first = G.let(near(lo), lambda k: F.when(border(k) >= lo, k - 1).when(border(k + 1) < lo, k + 1).otherwise(k))
+    last = G.let(near(hi), lambda k: F.when(border(k + 1) <= hi, k + 1).when(border(k) > hi, k - 1).otherwise(k))
+    return first, last
+
+
+def _columns(lo: Column, hi: Column, grid: Grid) -> Column:
+    """First and last column whose closed cells a stretch of x meets."""
+    c0, c1 = _reach(lo, hi, grid.x0, grid.dx)
+    return F.struct(F.greatest(c0, F.lit(0)).cast("int").alias("c0"), F.least(c1, F.lit(grid.cols - 1)).cast("int").alias("c1"))
+
+
+def _strip(grid: Grid, row: Column) -> tuple[Column, Column]:
+    return F.lit(grid.y0) + row * F.lit(grid.dy), F.lit(grid.y0) + (row + 1) * F.lit(grid.dy)
+
+
+def _in_strip(e: Column, low: Column, high: Column) -> Column:
+    return (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
+
+
+def _x_range(e: Column, low: Column, high: Column, grid: Grid) -> Column:
+    """Columns that the part of an edge inside a strip meets; its ends keep their exact x."""
+    def x_at(y):
+        slope = (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+        return F.when(y == e["y1"], e["x1"]).when(y == e["y2"], e["x2"]).otherwise(e["x1"] + (y - e["y1"]) * slope)
+
+    flat = e["y1"] == e["y2"]
+    a = F.when(flat, e["x1"]).otherwise(x_at(F.greatest(F.least(e["y1"], e["y2"]), low)))
+    b = F.when(flat, e["x2"]).otherwise(x_at(F.least(F.greatest(e["y1"], e["y2"]), high)))
+    return _columns(F.least(a, b), F.greatest(a, b), grid)
+
+
+def _crossing(e: Column, high: Column) -> Column:
+    """Where an edge crosses the upper line of a strip, NULL if it doesn't."""
+    return F.when((e["y1"] > high) != (e["y2"] > high), e["x1"] + (high - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)))
+
+
+def _rows_of(lo: Column, hi: Column, grid: Grid) -> Column:
+    """Rows whose closed strips a stretch of y meets; an empty list past the grid."""
+    first, last = _reach(lo, hi, grid.y0, grid.dy)
+    r0, r1 = F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(grid.rows - 1).cast("long"))
+    return F.when(r0 <= r1, F.sequence(r0, r1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def covered_runs(parcels: DataFrame, grid: Grid, keep: list[str], large: int = 48) -> DataFrame:
+    """Runs of cells (row, c0, c1) that each parcel touches, with the columns ``keep``.
 
-    Rows are spread out before they are expanded, so one very large parcel
-    becomes many small row ranges instead of one long list.
+    Inside the strip of one raster row a polygon shows as the stretches of its edges there and the stretches between
+    its crossings of the strip's upper line; overlapping ones are merged. Rows grow with a parcel's height, not its
+    area. The edges of large polygons are dealt to the strips they meet instead of being searched for each strip.
     """
-    b = F.col("bbox")
-    lo = lambda v, o, s: F.floor((v - F.lit(o)) / F.lit(s))
-    clampr = lambda c, n: F.greatest(F.least(c, F.lit(n - 1)), F.lit(0)).cast("int")
-    on_grid = (
-        (b["xmax"] >= grid.x0) & (b["xmin"] <= grid.x0 + grid.cols * grid.dx)
-        & (b["ymax"] >= grid.y0) & (b["ymin"] <= grid.y0 + grid.rows * grid.dy))
-    rng = (
-        parcels.filter(on_grid)
-        .withColumn("row", F.explode(F.sequence(clampr(lo(b["ymin"], grid.y0, grid.dy), grid.rows), clampr(lo(b["ymax"], grid.y0, grid.dy), grid.rows))))
-        .withColumn("col", F.explode(F.sequence(clampr(lo(b["xmin"], grid.x0, grid.dx), grid.cols), clampr(lo(b["xmax"], grid.x0, grid.dx), grid.cols)))))
-    x0 = F.lit(grid.x0) + F.col("col") * F.lit(grid.dx)
-    y0 = F.lit(grid.y0) + F.col("row") * F.lit(grid.dy)
-    cell = G.box_polygon(x0, y0, x0 + F.lit(grid.dx), y0 + F.lit(grid.dy))
-    return rng.withColumn("_cell", cell).filter(
-        G.polygons_intersect(F.col("edges"), F.col("anchors"), G.edges(F.col("_cell")), G.anchors(F.col("_cell")))
-    ).drop("_cell")
+    keep = list(dict.fromkeys(keep))
+    low, high = _strip(grid, F.col("row"))
+    b, es = F.col("bbox"), F.col("edges")
+    big = F.size("edges") > large
+    small = (
+        parcels.filter(~big).select(*keep, "bbox", "edges", F.explode(_rows_of(b["ymin"], b["ymax"], grid)).alias("row"))
+        .select(*keep, "row", F.transform(F.filter(es, lambda e: _in_strip(e, low, high)), lambda e: _x_range(e, low, high, grid)).alias("ranges"),
+                F.filter(F.transform(es, lambda e: _crossing(e, high)), lambda x: x.isNotNull()).alias("xs")))
+    e = F.col("e")
+    dealt = (
+        parcels.filter(big).select(F.struct(*keep).alias("own"), F.explode("edges").alias("e"))
+        .withColumn("row", F.explode(_rows_of(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]), grid)))
+        .groupBy("own", "row").agg(F.collect_list(_x_range(e, low, high, grid)).alias("ranges"), F.collect_list(_crossing(e, high)).alias("xs"))
+        .select(*[F.col(f"own.{c}").alias(c) for c in keep], "row", "ranges", "xs"))
+    rows = small.unionByName(dealt).withColumn("xs", F.array_sort("xs"))
+    xs, pairs = F.col("xs"), (F.size("xs") / 2).cast("int")
+    inner = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: _columns(xs[i * 2], xs[i * 2 + 1], grid)))
+    kind = "array<struct<c0:int,c1:int>>"
+    spans = F.array_sort(F.filter(F.concat("ranges", F.coalesce(inner, F.array().cast(kind))), lambda r: r["c0"] <= r["c1"]))
+
+    def merge(acc, r):
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["c0"].alias("c0"), F.greatest(last["c1"], r["c1"]).alias("c1"))
+        return F.when(F.size(acc) == 0, F.array(r)).when(
+            r["c0"] <= last["c1"] + 1, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
+
+    return rows.select(*keep, "row", F.explode(F.aggregate(spans, F.array().cast(kind), merge)).alias("r")).select(*keep, "row", "r.c0", "r.c1")
+
+
+#: Cells of a raster row that are added up together; runs are cut there.
+SEGMENT = 256
+
+
+def in_segments(runs: DataFrame) -> DataFrame:
+    """Runs cut at the borders of segments, with the number ``seg`` of theirs."""
+    seg = F.col("seg")
+    return runs.withColumn("seg", F.explode(F.sequence(F.floor(F.col("c0") / SEGMENT), F.floor(F.col("c1") / SEGMENT)))).withColumn(
+        "c0", F.greatest("c0", seg * SEGMENT).cast("int")).withColumn("c1", F.least("c1", (seg + 1) * SEGMENT - 1).cast("int"))
+
+
+def assign_runs(parcels: DataFrame, grid: Grid, order: list[str], mode: str = "last") -> DataFrame:
+    """Runs of cells (id, row, seg, c0, c1) that belong to each parcel.
+
+    ``all``: every parcel has what it touches. ``last``: a cell belongs to the last parcel in ``order``; the runs of one
+    segment are painted over one another in that order. Equal runs are first reduced to the last, so a segment holds
+    no more runs than it has pairs of cells, however many parcels lie on one another.
+    """
+    runs = in_segments(covered_runs(parcels, grid, ["id", *order]))
+    if mode == "all":
+        return runs.select("id", "row", "seg", "c0", "c1")
+    top = runs.groupBy("row", "seg", "c0", "c1").agg(F.max(F.struct(F.struct(*order).alias("k"), F.col("id").alias("id"))).alias("w"))
+    id_type = parcels.schema["id"].dataType.simpleString()
+
+    def paint(group: pa.Table) -> pa.Table:
+        start = group["seg"][0].as_py() * SEGMENT
+        c0, c1 = group["c0"].to_numpy() - start, group["c1"].to_numpy() - start
+        owner = np.full(SEGMENT, -1)
+        for i in np.argsort(group["place"].to_numpy(), kind="stable"):
+            owner[c0[i]:c1[i] + 1] = i
+        edge = np.flatnonzero(np.diff(owner, prepend=-2))
+        last = np.append(edge[1:], SEGMENT) - 1
+        mine = owner[edge] >= 0
+        who = pa.array(owner[edge][mine])
+        return pa.table([group["id"].take(who), group["row"].take(who), group["seg"].take(who),
+                         pa.array((edge[mine] + start).astype(np.int32)), pa.array((last[mine] + start).astype(np.int32))],
+                        names=["id", "row", "seg", "c0", "c1"])
+
+    ship_package(parcels.sparkSession)
+    place = F.row_number().over(Window.partitionBy("row", "seg").orderBy("w")).alias("place")
+    return top.select(F.col("w.id").alias("id"), "row", "seg", "c0", "c1", place).groupBy("row", "seg").applyInArrow(
+        paint, f"id {id_type}, row long, seg long, c0 int, c1 int")
+
+
+def touched_cells(parcels: DataFrame, grid: Grid) -> DataFrame:
+    """(id, row, col) of every grid cell a parcel's metric polygon touches."""
+    return covered_runs(parcels, grid, ["id"]).select("id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def raster_assign(parcels: DataFrame, grid: Grid, order: list[str], mode: str = "last") -> DataFrame:
     """Cells per parcel. ``last``: a cell belongs to the last parcel in ``order``;
     ``all``: to every parcel that touches it."""
-    hits = touched_cells(parcels, grid)
-    if mode == "all":
-        return hits.select("id", "row", "col")
-    key = F.struct(*order)
-    return hits.groupBy("row", "col").agg(F.max(F.struct(key.alias("k"), F.col("id").alias("id"))).alias("w")).select(
-        F.col("w.id").alias("id"), "row", "col")
+    return assign_runs(parcels, grid, order, mode).select("id", "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def row_sums(cells: DataFrame) -> DataFrame:
+    """Per row and segment the running sums and counts of its valid cells: row, seg, sums, counts.
+
+    Entry k covers the segment's first k cells.
+    """
+    good = cells.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    at = F.pmod(F.col("col"), F.lit(SEGMENT)).cast("int")
+    held = good.groupBy(F.col("row").cast("long").alias("row"), F.floor(F.col("col") / SEGMENT).alias("seg")).agg(
+        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("value").cast("double").alias("v")))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda k: F.col("m")[k])
+
+    def running(start, amount):
+        return F.aggregate("vs", F.array(start), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + amount(v))))
+
+    return held.select("row", "seg", values.alias("vs")).select(
+        "row", "seg", running(F.lit(0.0), lambda v: F.coalesce(v, F.lit(0.0))).alias("sums"),
+        running(F.lit(0), lambda v: v.isNotNull().cast("int")).alias("counts"))
 
 
 def zonal_mean(assigned: DataFrame, cells: DataFrame, name: str = "mean_slope_pct") -> DataFrame:
-    """Mean value of the valid cells assigned to each parcel."""
+    """Mean value of the valid cells assigned to each parcel, from its cells or, cheaper, its runs.
+
+    A run is settled by two entries of its segment's running sums, whatever its length.
+    """
+    if "c0" in assigned.columns:
+        sums, a, b = row_sums(cells), F.col("c0") - F.col("seg") * SEGMENT, F.col("c1") - F.col("seg") * SEGMENT + 1
+        get = lambda c, i: F.col(c)[i.cast("int")]
+        parts = assigned.join(sums, ["row", "seg"]).select(
+            "id", (get("sums", b) - get("sums", a)).alias("s"), (get("counts", b) - get("counts", a)).alias("n"))
+        return parts.groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").select(
+            "id", (F.col("s") / F.col("n")).alias(name))
     good = cells.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     return assigned.join(good, ["row", "col"]).groupBy("id").agg(F.avg("value").alias(name))
 
@@ -229,10 +361,10 @@ def zonal_mean(assigned: DataFrame, cells: DataFrame, name: str = "mean_slope_pc
 def two_resolution(parcels: DataFrame, coarse: DataFrame, coarse_grid: Grid, fine: DataFrame | None,
                    fine_grid: Grid | None, order: list[str], mode: str = "last") -> DataFrame:
     """Screening mean for every parcel, and a second, finer mean where there is one."""
-    out = parcels.select("id").join(zonal_mean(raster_assign(parcels, coarse_grid, order, mode), coarse), "id", "left")
+    out = parcels.select("id").join(zonal_mean(assign_runs(parcels, coarse_grid, order, mode), coarse), "id", "left")
     if fine is None:
         return out.withColumn("mean_slope_pct_final", F.lit(None).cast("double"))
-    final = zonal_mean(raster_assign(parcels, fine_grid, order, mode), fine, "mean_slope_pct_final")
+    final = zonal_mean(assign_runs(parcels, fine_grid, order, mode), fine, "mean_slope_pct_final")
     return out.join(final, "id", "left")
 
 

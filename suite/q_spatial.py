@@ -629,7 +629,7 @@ def raster_assign(spark, sf):
 
 @q("zonal_mean", f"select a.id, {s('avg(d.z)', 1e6)} as mean6 from ({_ASSIGN}) a join dem d on d.row_ = a.\"row\" and d.col_ = a.col where d.z is not null group by 1")
 def zonal_mean(spark, sf):
-    a = R.raster_assign(plots(spark, sf), dem_grid(spark, sf), ["id"])
+    a = R.assign_runs(plots(spark, sf), dem_grid(spark, sf), ["id"])
     return R.zonal_mean(a, dem(spark, sf).withColumnRenamed("z", "value")).select("id", scaled("mean_slope_pct", 1e6).alias("mean6"))
 
 
