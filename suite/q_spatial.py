@@ -14,6 +14,7 @@ from landsieve.operators import repair as RP
 from landsieve.operators import scoring as SC
 from landsieve.operators import spatial as S
 from landsieve.operators import tiles as T
+from landsieve.operators import union as UN
 from landsieve.operators import usage as U
 from landsieve.plans.build import exclusions_union
 from landsieve.session import fresh_path, materialize
@@ -496,13 +497,24 @@ def geometry_repair(spark, sf):
     return r.select("id", "repair", scaled(G.area(F.col("parts")), 1e10).alias("area10"))
 
 
-@q("boundary_union", f"select {ZCODE} as zone_code, {s('sum((x1 - x0) * (y1 - y0))', 1e6)} as area6, count(*) as parts, {s('min(x0)', 1e6)} as xmin6, {s('max(y1)', 1e6)} as ymax6 from zones group by 1")
+_COVERED = f"""zc as (select {ZCODE} as zone_code, x0, y0, x1, y1 from zones),
+ xs as (select zone_code, v as x, lead(v) over (partition by zone_code order by v) as xn from (select distinct zone_code, unnest([x0, x1]) as v from zc) t),
+ ys as (select zone_code, v as y, lead(v) over (partition by zone_code order by v) as yn from (select distinct zone_code, unnest([y0, y1]) as v from zc) t),
+ hit as (select zone_code, x, xn, y, yn from xs join ys using (zone_code) where xn is not null and yn is not null
+  and exists (select 1 from zc where zc.zone_code = xs.zone_code and x0 <= x and x1 >= xn and y0 <= y and y1 >= yn))"""
+
+
+@q("boundary_union", f"""with {_COVERED}
+ select h.zone_code, {s('sum((xn - x) * (yn - y))', 1e6)} as area6, {s('min(x)', 1e6)} as xmin6, {s('max(yn)', 1e6)} as ymax6, max(n) as polygons
+ from hit h join (select zone_code, count(*) as n from zc group by 1) c on c.zone_code = h.zone_code group by 1""")
 def boundary_union(spark, sf):
-    """All polygons of a zone taken together: parts, area and extent, combined before the shuffle."""
-    z = zones_geo(spark, sf)
-    return z.groupBy("zone_code").agg(
-        scaled(F.sum(G.area(F.col("parts"))), 1e6).alias("area6"), F.sum(F.size("parts")).alias("parts"),
-        scaled(F.min("bbox.xmin"), 1e6).alias("xmin6"), scaled(F.max("bbox.ymax"), 1e6).alias("ymax6"))
+    """Union of the polygons of each zone code: area without overlap, and its extent."""
+    z = materialize(zones_geo(spark, sf), "zones")
+    parts = UN.boundary_union(z, "zone_code", 0.25)
+    box = G.bbox_of(F.col("ring"))
+    found = parts.groupBy("zone_code").agg(scaled(F.sum("area"), 1e6).alias("area6"), scaled(F.min(box["xmin"]), 1e6).alias("xmin6"),
+                                           scaled(F.max(box["ymax"]), 1e6).alias("ymax6"))
+    return found.join(z.groupBy("zone_code").agg(F.count("*").alias("polygons")), "zone_code")
 
 
 def _unit(lo, hi, v0, span):
