@@ -666,9 +666,21 @@ def tile_assign(spark, sf):
     return T.tile_assign(view(spark, sf, "parcels"), "x", "y").select("id", "zoom", "tile_x", "tile_y")
 
 
-@q("tile_thin", f"select id, zoom, tile_x, tile_y from (select *, row_number() over (partition by zoom, tile_x, tile_y order by acres desc nulls last, id) as pos from ({_TILES}) t) p where pos <= 50")
+def _spread(v):
+    for k, m in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = f"((({v}) | (({v}) << {k})) & {m})" if k == 16 else f"(select (x | (x << {k})) & {m} from (select {v} as x) t{k})"
+    return v
+
+
+_CURVE = f"""c as (select id, acres, x, y, cast(floor((x + 180.0) / 360.0 * 4194304.0) as bigint) as u, cast(floor((1.0 - asinh(tan(radians(y))) / pi()) / 2.0 * 4194304.0) as bigint) as v from parcels),
+ g as (select *, {_spread('u')} | ({_spread('v')} << 1) as m from c), t as (select *, m >> (44 - 2 * cast(z as int)) as tile, cast(z as int) as zoom from g, range(8, 17) r(z)),
+ k as (select *, coalesce(m - lag(m) over (partition by zoom, tile order by m, id), 4611686018427387904) as gap from t)"""
+
+
+@q("tile_thin", f"""with {_CURVE} select id, zoom, gap, u >> (22 - zoom) as tile_x, v >> (22 - zoom) as tile_y
+ from (select *, row_number() over (partition by zoom, tile order by gap desc, id) as pos from k) p where pos <= 50""")
 def tile_thin(spark, sf):
-    return T.tile_thin(T.tile_assign(view(spark, sf, "parcels"), "x", "y"), 50).select("id", "zoom", "tile_x", "tile_y")
+    return T.tile_thin(view(spark, sf, "parcels"), "x", "y", 50).select("id", "zoom", "gap", "tile_x", "tile_y")
 
 
 # --- streams --------------------------------------------------------------------
