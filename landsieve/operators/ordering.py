@@ -50,3 +50,30 @@ def spatial_order(df: DataFrame, tie: str = "id") -> DataFrame:
     if x0 is None or x1 <= x0 or y1 <= y0:
         return df
     return hilbert_key(df, (x0, y0, x1, y1)).repartitionByRange("hilbert", tie).sortWithinPartitions("hilbert", tie)
+
+
+def write_ordered(df: DataFrame, path: str, rows_per_file: int = 1_000_000, tie: str = "id", extent=None) -> DataFrame:
+    """Write rows (with ``bbox``) along the curve, ``rows_per_file`` to a file, and return what each file covers.
+
+    Places along the curve come from a parallel range sort, so where files are cut depends on the rows alone.
+    """
+    extent = extent or layer_extent(df).first()
+    flat = extent[0] is None or extent[2] <= extent[0] or extent[3] <= extent[1]
+    keyed = df.withColumn("hilbert", F.lit(0).cast("long")) if flat else hilbert_key(df, extent)
+    placed = ordered_id(keyed, ["hilbert", tie], "place").withColumn("file", F.floor((F.col("place") - 1) / rows_per_file))
+    placed.repartition("file").sortWithinPartitions("file", "place").write.mode("overwrite").partitionBy("file").parquet(path)
+    return file_boxes(df.sparkSession.read.schema(placed.schema).parquet(path))
+
+
+def file_boxes(written: DataFrame) -> DataFrame:
+    """What each file covers: file, n_rows, its first and last place on the curve, and the box of its features."""
+    b = F.col("bbox")
+    return written.groupBy(F.col("file").cast("long").alias("file")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("hilbert").alias("first"), F.max("hilbert").alias("last"), F.min(b["xmin"]).alias("xmin"),
+        F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax"))
+
+
+def files_in_box(boxes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Files whose features may meet a box."""
+    x0, y0, x1, y1 = box
+    return boxes.filter((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))

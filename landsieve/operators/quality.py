@@ -67,3 +67,18 @@ def enforce(checks: DataFrame) -> DataFrame:
     if failed:
         raise BuildError("; ".join(f"{r['check']}: {r['detail']}" for r in failed))
     return checks.filter(~F.col("ok"))
+
+
+def distinct_zones(flood: DataFrame) -> DataFrame:
+    """Number of distinct flood zone codes."""
+    return flood.agg(F.countDistinct(F.upper(F.trim("fld_zone"))).alias("zones"))
+
+
+def with_coordinates(points: DataFrame, needed: list[str]) -> DataFrame:
+    """Points that have their coordinates and values."""
+    return points.dropna(subset=needed)
+
+
+def grid_mean(grid: DataFrame) -> DataFrame:
+    """Mean of the solar grid."""
+    return grid.agg(F.avg("avg_ghi").alias("mean_ghi"))

@@ -159,6 +159,31 @@ def queue_summary(queue: DataFrame) -> DataFrame:
         "n_projects", "total_mw", "active_n_projects", "active_total_mw")
 
 
+def summary_union(queue: DataFrame) -> DataFrame:
+    """The totals of ``queue_summary`` written as a union of three groupings."""
+    aggs = [F.count("*").alias("n_projects"), F.coalesce(F.sum("capacity_mw"), F.lit(0.0)).alias("total_mw"),
+            F.count_if("is_active").alias("active_n_projects"),
+            F.coalesce(F.sum(F.when(F.col("is_active"), F.col("capacity_mw"))), F.lit(0.0)).alias("active_total_mw")]
+    out = queue.agg(*aggs).select(F.lit("total").alias("category"), F.lit("all").alias("key"), "*")
+    for category, column in (("by_type", "generation_type"), ("by_status", "status")):
+        key = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("Unknown")).alias("key")
+        out = out.unionByName(queue.groupBy(key).agg(*aggs).withColumn("category", F.lit(category)))
+    return out
+
+
+def active_by(queue: DataFrame, column: str) -> DataFrame:
+    """Active projects and their MW for each value of a column."""
+    return queue.groupBy(column).agg(
+        F.count_if("is_active").alias("n_active"),
+        F.coalesce(F.sum(F.when(F.col("is_active"), F.col("capacity_mw"))), F.lit(0.0)).alias("mw_active"))
+
+
+def queue_coverage(queue: DataFrame) -> DataFrame:
+    """How many projects there are, are active, have a capacity, and name no station."""
+    return queue.agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"), F.count("capacity_mw").alias("with_mw"),
+                     F.count_if(F.col("poi_name").isNull()).alias("no_poi"))
+
+
 def queue_context(summary: DataFrame) -> DataFrame:
     """One record: total, and the two lists by descending MW (unknown as 0)."""
     w = Window.partitionBy("category").orderBy(F.desc(F.coalesce("total_mw", F.lit(0.0))), "key")

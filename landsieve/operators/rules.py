@@ -71,3 +71,8 @@ def prohibited_join(parcels: DataFrame, rules: DataFrame, use_case: str) -> Data
 
 def distinct_codes(zones: DataFrame) -> DataFrame:
     return zones.select("zone_code").distinct()
+
+
+def distinct_sorted(rules: DataFrame) -> DataFrame:
+    """The zone codes of each use case, each once and in order."""
+    return rules.groupBy("use_case").agg(F.array_sort(F.collect_set("zone_code")).alias("codes"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landsieve.constants import MAX_LIMIT
 from landsieve.functions import geometry as G
 from landsieve.operators.results import csv_header, csv_lines
 from landsieve.operators.rules import COLUMNS as RULE_COLUMNS
@@ -33,7 +34,9 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_results_csv(scored: DataFrame, path: str) -> None:
-    """A ranked page (at most a request's limit) as one CSV file: BOM, CRLF, escaped cells."""
+    """A ranked page as one CSV file: BOM, CRLF, escaped cells. More rows than a request may ask for are refused."""
+    if scored.limit(MAX_LIMIT + 1).count() > MAX_LIMIT:
+        raise ValueError(f"a result file holds at most {MAX_LIMIT} rows")
     header = scored.sparkSession.createDataFrame([(0, csv_header())], "rank int, line string")
     lines = header.unionByName(csv_lines(scored)).coalesce(1).sortWithinPartitions("rank")
     lines.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)

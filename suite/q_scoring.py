@@ -11,6 +11,7 @@ from landsieve.functions import geometry as G
 from landsieve.operators import economics as EC
 from landsieve.operators import ordering as O
 from landsieve.operators import places as PL
+from landsieve.operators import quality as QL
 from landsieve.operators import queue as QU
 from landsieve.operators import requests as RQ
 from landsieve.operators import results as RS
@@ -231,15 +232,7 @@ def queue_summary(spark, sf):
 
 @q("summary_union", SUMMARY)
 def summary_union(spark, sf):
-    """The same totals written as a union of three groupings."""
-    qd = queue(spark, sf)
-    aggs = [F.count("*").alias("n_projects"), F.coalesce(F.sum("capacity_mw"), F.lit(0.0)).alias("total_mw"), F.count_if("is_active").alias("active_n_projects"),
-            F.coalesce(F.sum(F.when(F.col("is_active"), F.col("capacity_mw"))), F.lit(0.0)).alias("active_total_mw")]
-    name = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
-    out = qd.agg(*aggs).select(F.lit("total").alias("category"), F.lit("all").alias("key"), "*")
-    for cat, col in (("by_type", "generation_type"), ("by_status", "status")):
-        out = out.unionByName(qd.groupBy(name(col).alias("key")).agg(*aggs).withColumn("category", F.lit(cat)))
-    return out
+    return QU.summary_union(queue(spark, sf))
 
 
 @q("summary_order", f"select row_number() over (order by category, key) as pos, category, key from ({SUMMARY}) s")
@@ -251,8 +244,7 @@ def summary_order(spark, sf):
 
 @q("conditional_agg", f"select generation_type, count(*) filter (where is_active) as n_active, coalesce(sum(mw) filter (where is_active), 0) as mw_active from ({QUEUE}) q group by 1")
 def conditional_agg(spark, sf):
-    return queue(spark, sf).groupBy("generation_type").agg(
-        F.count_if("is_active").alias("n_active"), F.coalesce(F.sum(F.when(F.col("is_active"), F.col("capacity_mw"))), F.lit(0.0)).alias("mw_active"))
+    return QU.active_by(queue(spark, sf), "generation_type")
 
 
 @q("queue_context", f"""select string_agg(key, ',' order by coalesce(total_mw, 0) desc, key) filter (where category = 'by_type') as types,
@@ -269,8 +261,7 @@ def context_order(spark, sf):
 
 @q("coverage_counts", f"select count(*) as n, count(*) filter (where is_active) as active, count(mw) as with_mw, count(*) filter (where poi_name is null) as no_poi from ({QUEUE}) q")
 def coverage_counts(spark, sf):
-    return queue(spark, sf).agg(F.count("*").alias("n"), F.count_if("is_active").alias("active"), F.count("capacity_mw").alias("with_mw"),
-                                F.count_if(F.col("poi_name").isNull()).alias("no_poi"))
+    return QU.queue_coverage(queue(spark, sf))
 
 
 @q("enrich_summary", "select count(*) as parcels, count(mean_slope_pct) as with_slope, count(zoning_class) as zoning_classified, count(*) filter (where sfha_flag) as sfha_parcels from parcels")
@@ -281,7 +272,7 @@ def enrich_summary(spark, sf):
 
 @q("distinct_zones", "select count(distinct upper(trim(fld_zone))) as zones from floods")
 def distinct_zones(spark, sf):
-    return view(spark, sf, "floods").agg(F.countDistinct(F.upper(F.trim("fld_zone"))).alias("zones"))
+    return QL.distinct_zones(view(spark, sf, "floods"))
 
 
 @q("distinct_codes", "select distinct zone_code from zone_codes")
@@ -291,12 +282,12 @@ def distinct_codes(spark, sf):
 
 @q("distinct_sorted", "select use_case, string_agg(distinct zone_code, ',' order by zone_code) as codes from rules group by 1")
 def distinct_sorted(spark, sf):
-    return view(spark, sf, "rules").groupBy("use_case").agg(F.array_join(F.array_sort(F.collect_set("zone_code")), ",").alias("codes"))
+    return RU.distinct_sorted(view(spark, sf, "rules")).select("use_case", F.array_join("codes", ",").alias("codes"))
 
 
 @q("grid_mean", f"select {s('avg(avg_ghi)', 1e3)} as mean_ghi3 from solar")
 def grid_mean(spark, sf):
-    return view(spark, sf, "solar").agg(scaled(F.avg("avg_ghi"), 1e3).alias("mean_ghi3"))
+    return QL.grid_mean(view(spark, sf, "solar")).select(scaled("mean_ghi", 1e3).alias("mean_ghi3"))
 
 
 @q("layer_extent", f"select {s('min(x0)', 1e9)} as xmin9, {s('min(y0)', 1e9)} as ymin9, {s('max(x1)', 1e9)} as xmax9, {s('max(y1)', 1e9)} as ymax9 from parcels")
@@ -340,11 +331,6 @@ def ordered_id(spark, sf):
     return O.ordered_id(view(spark, sf, "solar").withColumnRenamed("id", "grid_id"), ["lat", "lon", "grid_id"]).select("grid_id", "id")
 
 
-@q("spatial_order", "select id from parcels")
-def spatial_order(spark, sf):
-    return O.spatial_order(parcels_geo(spark, sf)).select("id")
-
-
 @q("result_sorts", "select id, row_number() over (order by mean_slope_pct nulls last, id) as by_slope, row_number() over (order by coalesce(acres, 0) desc, id) as by_acres from parcels")
 def result_sorts(spark, sf):
     """Positions under two of the orders, numbered in parallel."""

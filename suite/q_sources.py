@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landsieve import constants as K
@@ -133,19 +134,34 @@ def write_features(spark, sf):
                        scaled(G.bbox(parts)["xmin"], 1e5).alias("x5"), scaled(G.bbox(parts)["ymax"], 1e5).alias("y5"))
 
 
-_CSV_SQL = """
-select id, concat(cast(id as string), ',', cell, ',', case when acres is null then '' else regexp_replace(regexp_replace(cast(cast(floor(acres * cast(100.0 as double) + 0.5) / cast(100.0 as double) as decimal(38,6)) as string), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') end) as line
-from (select id, acres, case when t like '%"%' or t like '%,%' then concat('"', replace(t, '"', '""'), '"') else t end as cell
-from (select id, acres, case when apn like '=%' then concat('''', apn) else apn end as t from parcels) a) b
+def _num(c: str, digits: int) -> str:
+    """A number as the result file shows it, in SQL text."""
+    k = f"cast({float(10**digits)!r} as double)"
+    return (f"case when {c} is null then '' else regexp_replace(regexp_replace(cast(cast(floor({c} * {k} + 0.5) / {k} as decimal(38,6)) as string), "
+            f"'(\\.\\d*?)0+$', '\\1'), '\\.$', '') end")
+
+
+_CSV_SQL = f"""
+with top as (select *, row_number() over (order by coalesce(acres, 0) desc, id) as rank from parcels),
+t as (select *, case when apn like '=%' then concat(chr(39), apn) else apn end as a from top where rank <= 200)
+select 0 as rank, 'rank,id,apn,score,acres,zoning_class,sfha_flag,ghi,mean_slope_pct,dist_tx_m,dist_sub_m,nearest_sub_kv,poi_competition_mw' as line
+union all select rank, concat_ws(',', rank, id, case when a like '%"%' or a like '%,%' then concat('"', replace(a, '"', '""'), '"') else a end,
+ {_num('dist_sub_m / cast(250.0 as double)', 2)}, {_num('acres', 2)}, coalesce(zoning_class, ''), coalesce(cast(sfha_flag as string), ''), {_num('ghi', 2)},
+ {_num('mean_slope_pct', 2)}, {_num('dist_tx_m', 1)}, {_num('dist_sub_m', 1)}, {_num('nearest_sub_kv', 2)}, {_num('poi_competition_mw', 2)}) from t
 """
 
 
 @q("write_results_csv", _CSV_SQL)
 def write_results_csv(spark, sf):
-    """The cell rules on every parcel; the one-file page writer is covered by tests."""
-    p = view(spark, sf, "parcels")
-    num = RS.js_number(F.floor(F.col("acres") * 100.0 + 0.5) / 100.0)
-    return p.select("id", F.concat_ws(",", F.col("id").cast("string"), C.csv_safe(F.col("apn")), C.csv_safe(num)).alias("line"))
+    """A page of 200 results written as one file, its lines read back (the reader takes the byte order mark off): header, all columns."""
+    path = fresh_path(spark, "results-csv")
+    p = view(spark, sf, "parcels").withColumn("score", F.col("dist_sub_m") / 250.0)
+    page = RS.result_sort(p.withColumn("score_raw", F.col("score")), "acres").limit(200)
+    ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.coalesce("acres", F.lit(0.0))), "id")))
+    W.write_results_csv(ranked, path)
+    lines = spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "line")
+    number = F.coalesce(F.regexp_extract("line", r"^(\d+),", 1).try_cast("int"), F.lit(0))
+    return lines.select(number.alias("rank"), "line")
 
 
 @q("overlay_layer", f"select kind, count(*) as n, {lng('sum(id)')} as ids from overlays group by kind")
@@ -229,10 +245,16 @@ def optional_layer(spark, sf):
     return there.unionByName(gone)
 
 
-@q("manifest", "select 'parcels' as key, count(*) as features from orders union all select 'substations', count(*) from supplier union all select 'zoning', count(*) from zones")
+def _entry(pos: int, key: str, count: str) -> str:
+    return (f"select {pos} as pos, '{key}' as key, n as features, 'derived' as source, concat('{{\"features\":', cast(n as string), ',\"source\":\"derived\"}}') as value "
+            f"from (select count(*) as n from {count}) t{pos}")
+
+
+@q("manifest", f"""{_entry(0, 'parcels', 'orders')} union all {_entry(1, 'substations', 'supplier')} union all {_entry(2, 'zoning', 'zones')}
+ union all select 3, 'crs', null, null, '"EPSG:4326"'""")
 def manifest(spark, sf):
-    m = W.manifest({n: (view(spark, sf, v), "derived") for n, v in (("parcels", "parcels"), ("substations", "substations"), ("zoning", "zones"))})
-    return m.select("key", "features")
+    return W.manifest({n: (view(spark, sf, v), "derived") for n, v in (("parcels", "parcels"), ("substations", "substations"), ("zoning", "zones"))},
+                      {"crs": '"EPSG:4326"'})
 
 
 @q("publish_release", "select 'parcels' as tbl, count(*) as n from orders union all select 'substations', count(*) from supplier")
@@ -309,7 +331,7 @@ def active_status(spark, sf):
 def coord_filter(spark, sf):
     g = view(spark, sf, "solar").withColumn("lon", F.when(F.col("id") % 3 != 0, F.col("lon"))).withColumn(
         "avg_ghi", F.when(F.col("id") % 5 != 0, F.col("avg_ghi")))
-    return g.dropna(subset=["lon", "lat", "avg_ghi"]).select("id")
+    return Q.with_coordinates(g, ["lon", "lat", "avg_ghi"]).select("id")
 
 
 FLAGS = """coalesce(acres < 20, false) as excl_min_acres, coalesce(sfha_flag, false) as excl_sfha,
@@ -330,11 +352,13 @@ def excluded_filter(spark, sf):
     return SC.exclusion_flags(view(spark, sf, "parcels"), th, ["E", "R-1"]).filter(~SC.any_exclusion()).select("id")
 
 
-@q("parcel_lookup", f"select w.event_id, p.id, {s('p.x', 1e9)} as x9 from (select event_id, event_id * 3 + 1 as want from events) w join parcels p on p.id = w.want")
+@q("parcel_lookup", f"""select w.event_id, w.want as id, {s('p.x', 1e9)} as x9, case when p.id is null then 'parcel not found' end as error
+ from (select event_id, event_id * 3 + 1 as want from events) w left join parcels p on p.id = w.want""")
 def parcel_lookup(spark, sf):
-    """Many lookups at once: wanted ids joined to the parcels."""
+    """Many lookups at once; an unknown id comes back with its error."""
     want = spark.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") * 3 + 1).alias("id"))
-    return want.join(view(spark, sf, "parcels").select("id", scaled("x", 1e9).alias("x9")), "id").select("event_id", "id", "x9")
+    found = RS.parcel_lookup(view(spark, sf, "parcels").select("id", "x"), want)
+    return found.select("event_id", "id", scaled("x", 1e9).alias("x9"), "error")
 
 
 _BAD = """case when request_id % 11 = 3 then 'geometry type' when request_id % 11 = 4 then 'no coordinates' when request_id % 11 = 5 then 'too many vertices'
@@ -379,19 +403,19 @@ def result_filters(spark, sf):
     return RS.result_filters(view(spark, sf, "parcels"), 50, 10, 12).select("id")
 
 
-@q("result_projection", f"select id, apn, zoning_class, {s('ghi', 1e6)} as ghi6, poi_competition_n, {s('x', 1e6)} as lng6 from parcels")
+@q("result_projection", f"""select id, apn, 1 as rank, cast(1.0 as double) as score, acres, zoning_class, sfha_flag, {s('x', 1e6)} as lng6, {s('y', 1e6)} as lat6,
+ {', '.join(RS.FACTOR_PROPS)} from parcels""")
 def result_projection(spark, sf):
     p = view(spark, sf, "parcels").withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0)).withColumn(
         "centroid_lng", F.col("x")).withColumn("centroid_lat", F.col("y"))
     r = RS.result_projection(p)
-    return r.select("id", "apn", "zoning_class", scaled("factors.ghi", 1e6).alias("ghi6"),
-                    F.col("factors.poi_competition_n").alias("poi_competition_n"), scaled(F.col("centroid")[0], 1e6).alias("lng6"))
+    return r.select("id", "apn", "rank", "score", "acres", "zoning_class", "sfha_flag", scaled(F.col("centroid")[0], 1e6).alias("lng6"),
+                    scaled(F.col("centroid")[1], 1e6).alias("lat6"), "factors.*")
 
 
-@q("raw_struct", "select id, sfha_flag, zoning_class, eia_nearest_m, mean_slope_pct_final from parcels")
+@q("raw_struct", f"select {', '.join(K.RAW_COLUMNS)} from parcels")
 def raw_struct(spark, sf):
-    r = view(spark, sf, "parcels").select(RS.raw_struct().alias("raw"))
-    return r.select("raw.id", "raw.sfha_flag", "raw.zoning_class", "raw.eia_nearest_m", "raw.mean_slope_pct_final")
+    return view(spark, sf, "parcels").select(RS.raw_struct().alias("raw")).select("raw.*")
 
 
 @q("dominant_reasons", """

@@ -522,17 +522,31 @@ def _unit(lo, hi, v0, span):
     return f"least(greatest(cast(trunc((({lo} + {hi}) / {d(2.0)} - {d(v0)}) / {d(span)} * {d(65536.0)}) as bigint), 0), 65535)"
 
 
-@q("hilbert_index", f"""with recursive walk as (
+_WALK = f"""with recursive walk as (
  select id, {_unit('x0', 'x1', -120.21, -117.61 + 120.21)} as hx, {_unit('y0', 'y1', 34.78, 35.82 - 34.78)} as hy, cast(0 as bigint) as pos, cast(32768 as bigint) as side from parcels
  union all
  select id, case when ry = 0 then (case when rx = 1 then 65535 - hy else hy end) else hx end, case when ry = 0 then (case when rx = 1 then 65535 - hx else hx end) else hy end,
   pos + side * side * xor(3 * rx, ry), side // 2
- from (select *, case when hx & side > 0 then 1 else 0 end as rx, case when hy & side > 0 then 1 else 0 end as ry from walk where side > 0) w)
+ from (select *, case when hx & side > 0 then 1 else 0 end as rx, case when hy & side > 0 then 1 else 0 end as ry from walk where side > 0) w)"""
+CURVE_BOX = (-120.21, 34.78, -117.61, 35.82)
+
+
+@q("hilbert_index", f"""{_WALK}
 select id, pos as hilbert from walk where side = 0""")
 def hilbert_index(spark, sf):
     """Curve position of every parcel."""
     p = parcels_geo(spark, sf)
-    return O.hilbert_key(p, (-120.21, 34.78, -117.61, 35.82)).select("id", "hilbert")
+    return O.hilbert_key(p, CURVE_BOX).select("id", "hilbert")
+
+
+@q("spatial_order", f"""{_WALK}
+select (rn - 1) // 500 as file, count(*) as n_rows, min(pos) as first, max(pos) as last, {', '.join(s(f'{f}({c})', 1e9) + f' as {n}9' for f, c, n in (
+    ('min', 'x0', 'xmin'), ('min', 'y0', 'ymin'), ('max', 'x1', 'xmax'), ('max', 'y1', 'ymax')))}
+from (select w.id, pos, row_number() over (order by pos, w.id) as rn from walk w where side = 0) o join parcels p on p.id = o.id group by 1""")
+def spatial_order(spark, sf):
+    """Files cut along the curve, and what each of them covers."""
+    boxes = O.write_ordered(parcels_geo(spark, sf).select("id", "bbox"), fresh_path(spark, "ordered-files"), 500, extent=CURVE_BOX)
+    return boxes.select("file", "n_rows", "first", "last", *[scaled(c, 1e9).alias(f"{c}9") for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @q("grid_points", f"select request_id as box_id, count(*) as n from (select request_id, x0 + i * {d(0.01)} as x, y0 + j * {d(0.01)} as y from requests, range(0, 11) a(i), range(0, 11) b(j) where i <= floor((x1 - x0 + 1e-9) / 0.01) and j <= floor((y1 - y0 + 1e-9) / 0.01)) g where {IN_L} group by 1")
