@@ -18,8 +18,9 @@ from landsieve.llm.common import written
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = "[|»›•·]"
-#: Marks with which a sentence or a quotation may end.
-FINAL = """[.!?…:;"”’')»\\]][\\x20\\x09-\\x0D]*\\z"""
+#: Marks with which a sentence or a quotation may end, in Latin, Devanagari, Arabic, Armenian, Ethiopic, Khmer,
+#: Burmese, Tibetan and East Asian text (fixed values).
+FINAL = """[.!?…:;"”’')»\\]।॥؟۔؛։።៕။།。．！？｡」』）】》〉］][\\x20\\x09-\\x0D]*\\z"""
 SHOUTS = "!!"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = ("all rights reserved", "click here", "cookie policy", "enable javascript", "follow us on",

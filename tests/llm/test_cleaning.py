@@ -269,3 +269,14 @@ def test_p_values_are_even_for_random_symbols():
         p = np.array([secrets.battery(rng.integers(0, m, n), m) for _ in range(800)])
         assert abs((p < 0.05).mean() - 0.05) < 0.035 and abs((p < 0.5).mean() - 0.5) < 0.15
     assert secrets.battery(np.zeros(30, int), 64) < 1e-6
+
+
+def test_sentences_of_other_scripts_are_kept(spark):
+    """Lines that end in the marks of their own script pass, and their documents with them."""
+    lines = {"hindi": "यह एक साफ वाक्य है जो पूरा है और अपने चिह्न पर समाप्त होता है।", "arabic": "هل هذه جملة نظيفة وكاملة تنتهي بعلامتها الخاصة في هذا السطر؟",
+             "urdu": "یہ ایک صاف جملہ ہے جو اپنے نشان پر ختم ہوتا ہے اور پورا ہے۔", "japanese": "これは 文 です が 空白 で 分けた 十 語 以上 の 行 です。",
+             "chinese": "这 是 一 个 干净 的 句子 用 空格 分开 成 词！", "armenian": "Սա մաքուր նախադասություն է որը ավարտվում է իր նշանով այս տողում կրկին։"}
+    rows = quality.rate(frame(spark, list(lines.values()))).select("doc_id", "_q_kept", "_q_lost_chars").collect()
+    assert all(r["_q_kept"] and r["_q_lost_chars"] == 0 for r in rows), rows
+    bare = quality.rate(frame(spark, [x[:-1] for x in lines.values()])).select("_q_kept").collect()
+    assert not any(r["_q_kept"] for r in bare)
