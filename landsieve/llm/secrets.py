@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Fixed patterns find assignments, access keys and long hex runs. Of all other long tokens the encoding is inferred
-from their characters. Three tests ask whether the symbols could be drawn evenly and independently: chi-squared
+from their characters; tokens that mix encodings are tested piece by piece. Three tests ask whether the symbols could be drawn evenly and independently: chi-squared
 against an even alphabet, runs about the alphabet's middle, and lag-one serial correlation. Fisher's method joins
 their p-values. True random strings spread evenly over [0, 1] there and ordinary ones pile up near 0, more so the
 longer they are. So for each encoding and length class, the share of random strings follows from the upper
@@ -42,6 +42,8 @@ LEAST = {"assign": 6, "access": 20}
 
 #: An equals sign is padding at the end only, so that a value after ``name=`` is a token of its own.
 TOKEN = re.compile("[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Where the alphabets differ, and what lies between.
+SEPARATORS, PIECE = re.compile("[+/_-]"), re.compile("[A-Za-z0-9]{20,}={0,2}")
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Name, symbols and the classes a token must show, from the narrowest alphabet to the widest.
 ENCODINGS = (
@@ -132,18 +134,42 @@ def battery(x: np.ndarray, m: int) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def _outside(start: int, end: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans leave over of a stretch."""
+    at = start
+    for _, s, e in base:
+        if s < end and at < e:
+            yield at, s
+            at = max(at, e)
+    yield at, end
+
+
+def tested(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, tuple[str, int, np.ndarray]]]:
+    """Start, end and encoding of all stretches that the battery tests.
+
+    A token of one encoding is tested whole. One that mixes separators of several is tested between its separators,
+    and of one that meets base spans what they leave over. Stretches under 20 symbols are too short for the tests.
+    """
+    for m in TOKEN.finditer(text):
+        for start, end in _outside(*m.span(), base):
+            if end - start < 20:
+                continue
+            if known := infer_encoding(text[start:end]):
+                if len(known[2]) >= 20:
+                    yield start, end, known
+            elif SEPARATORS.search(text, start, end):
+                for piece in PIECE.finditer(text, start, end):
+                    if (known := infer_encoding(piece[0])) and len(known[2]) >= 20:
+                        yield *piece.span(), known
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str, int]]:
-    """Tokens of a known encoding that meet no base span, with their class (encoding, length) and p-value cell."""
+    """Tested stretches with their class (encoding, length) and p-value cell."""
     out = []
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for _, s, e in base):
-            continue
-        if (known := infer_encoding(m[0])) and len(known[2]) >= 20:
-            name, size, x = known
-            length = min(LENGTH_CLASSES, int(2 * math.log2(len(x))))
-            cell = sum(battery(x, size) >= edge for edge in CELLS) - 1
-            out.append(("random", start, end, f"{name}:{length}", cell))
+    for start, end, (name, size, x) in tested(text, base):
+        length = min(LENGTH_CLASSES, int(2 * math.log2(len(x))))
+        cell = sum(battery(x, size) >= edge for edge in CELLS) - 1
+        out.append(("random", start, end, f"{name}:{length}", cell))
     return out
 
 

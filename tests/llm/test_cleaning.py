@@ -280,3 +280,15 @@ def test_sentences_of_other_scripts_are_kept(spark):
     assert all(r["_q_kept"] and r["_q_lost_chars"] == 0 for r in rows), rows
     bare = quality.rate(frame(spark, [x[:-1] for x in lines.values()])).select("_q_kept").collect()
     assert not any(r["_q_kept"] for r in bare)
+
+
+def test_no_token_is_left_untested_for_its_alphabet():
+    """Tokens that mix separators are tested between them, and of tokens that meet base spans what is left over."""
+    value = "Zk3vQ9xT7mB2nL5wR8yP1cD4"
+    tested = lambda t: [t[a:b] for _, a, b, *_ in secrets.candidates(t, secrets.base_spans(t))]
+    assert tested(f"see /my-path/{value} there") == tested(f"key_{value}/x") == [value]
+    assert tested(f"a-b/{value}+{value[::-1]}_z") == [value, value[::-1]]
+    assert tested(f"{value}-{value}") == [f"{value}-{value}"] and tested(f"{value}/{value}==") == [f"{value}/{value}=="]
+    key = "AKIA" + "ABCDEFGH23456789"
+    assert tested(f"{value}-{key}/{value}") == [f"{value}-", f"/{value}"] and tested(f"{value}{key}z") == [value]
+    assert tested("some-long/words_without+anything-in/them") == tested(f"a-b/{value[:19]}_c") == tested("") == []
