@@ -9,6 +9,9 @@ empty table gives no rows; columns of the input are kept apart from those comput
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = "[|»›•·]"
 #: Marks with which a sentence or a quotation may end, in Latin, Devanagari, Arabic, Armenian, Ethiopic, Khmer,
-#: Burmese, Tibetan and East Asian text (fixed values).
-FINAL = """[.!?…:;"”’')»\\]।॥؟۔؛։።៕။།。．！？｡」』）】》〉］][\\x20\\x09-\\x0D]*\\z"""
+#: Burmese, Tibetan and East Asian text (fixed values), and the pattern of a line that ends in one.
+MARKS = """.!?…:;"”’')»]।॥؟۔؛։።៕။།。．！？｡」』）】》〉］"""
+FINAL = "[" + MARKS.replace("]", "\\]") + """][\\x20\\x09-\\x0D]*\\z"""
 SHOUTS = "!!"
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = ("all rights reserved", "click here", "cookie policy", "enable javascript", "follow us on",
@@ -48,15 +52,29 @@ def _share(n: Column, percent: int, of: Column) -> Column:
     return n * 100 > of * percent
 
 
-def line_fails(line: Column) -> Column:
-    """Which rule a line with a word fails: punctuation, navigation, boilerplate; null if none."""
-    n = F.size(words(line))
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
+def findings(text: Column) -> Column:
+    """What the rules look for and a whole text has at all; most texts have none, and their lines skip those tests."""
+    return F.struct(
+        text.rlike(SEPARATORS).alias("separators"), text.rlike(SYMBOLS).alias("symbols"), text.contains(SHOUTS).alias("shouts"),
+        F.exists(F.array(F.lower(text)), lambda t: reduce(or_, [t.contains(p) for p in BOILERPLATE])).alias("furniture"))
+
+
+def line_fails(line: Column, has: Column | None = None) -> Column:
+    """Which rule a line with a word fails: punctuation, navigation, boilerplate; null if none.
+
+    ``has``: the findings of the whole text, if they are known. The cheap test of the last mark goes first, words are
+    counted only where a rule depends on their number.
+    """
+    there = lambda name: F.lit(True) if has is None else has[name]
+    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    count = lambda name, pattern: F.when(there(name), F.regexp_count(line, F.lit(pattern))).otherwise(F.lit(0))
+    separators = count("separators", SEPARATORS)
     navigation = (separators >= MIN_SEPARATORS) & (separators * 100 >= n * SEPARATOR_PERCENT)
-    punctuation = (((n >= SENTENCE_WORDS) & ~line.rlike(FINAL))
-                   | _share(F.regexp_count(line, F.lit(SYMBOLS)), MAX_SYMBOL_PERCENT, n)
-                   | _share(F.regexp_count(line, F.lit(SHOUTS)), MAX_SHOUT_PERCENT, n))
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    last = F.substring(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), -1, 1)
+    share = lambda name, pattern, percent: there(name) & _share(F.regexp_count(line, F.lit(pattern)), percent, n)
+    punctuation = (((F.instr(F.lit(MARKS), last) == 0) & (n >= SENTENCE_WORDS))
+                   | share("symbols", SYMBOLS, MAX_SYMBOL_PERCENT) | share("shouts", SHOUTS, MAX_SHOUT_PERCENT))
+    boilerplate = there("furniture") & F.lower(line).rlike("|".join(BOILERPLATE))
     return F.when(navigation, "navigation").when(punctuation, "punctuation").when(boilerplate, "boilerplate")
 
 
@@ -73,7 +91,7 @@ def rate(docs: DataFrame) -> DataFrame:
     w, n, win = F.col("_q_words"), F.col("_q_n_words"), F.col("_q_windows")
     starts = F.sequence(F.lit(0), n.cast("int") - WINDOW)
     d = (docs.withColumn("_q_text", F.coalesce("text", F.lit("")))
-         .withColumns({"_q_words": words(F.col("_q_text")), "_q_split": F.split("_q_text", "\n"),
+         .withColumns({"_q_words": words(F.col("_q_text")), "_q_has": findings(F.col("_q_text")), "_q_split": F.split("_q_text", "\n"),
                        "_q_n_symbols": F.regexp_count("_q_text", F.lit(SYMBOLS)).cast("long")})
          .withColumns({"_q_n_words": F.size("_q_words").cast("long"),
                        "_q_word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
@@ -98,9 +116,10 @@ def rate(docs: DataFrame) -> DataFrame:
         "_q_n_repeat_words": F.coalesce(_sum(covered), F.lit(0).cast("long")),
         "_q_n_dup_lines": (F.size("_q_worded") - F.size(F.array_distinct("_q_worded"))).cast("long"),
         "_q_rated": F.transform("_q_worded", lambda x: F.struct(
-            x.alias("line"), F.length(F.regexp_replace(x, BLANK, "")).alias("chars"), line_fails(x).alias("rule")))})
+            x.alias("line"), line_fails(x, F.col("_q_has")).alias("rule")))})
     d = d.withColumns({
-        "_q_lost_chars": _sum(F.transform("_q_rated", lambda x: F.when(x["rule"].isNotNull(), x["chars"]).otherwise(0))),
+        "_q_lost_chars": _sum(F.transform(F.filter("_q_rated", lambda x: x["rule"].isNotNull()),
+                                          lambda x: F.length(F.regexp_replace(x["line"], BLANK, "")))),
         "_q_base_failed": (n < MIN_WORDS) | _share(F.col("_q_n_repeat_words"), MAX_REPEAT_PERCENT, n),
         "_q_clean": F.array_join(F.transform(F.filter("_q_rated", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n")})
     return d.withColumn("_q_kept", ~F.col("_q_base_failed") & ~_share(
