@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landsieve.llm.common import batches, map_batches, row_numbers, texts, words_of, written
+from landsieve.llm.common import batches, map_batches, row_numbers, shuffles_freed, texts, words_of, written
 
 #: The end token, counted as a token. No word holds a space.
 END = b" "
@@ -37,7 +37,7 @@ SAMPLE_ROUNDS = 0
 #: Added to expected counts.
 SMOOTH_EMIT, SMOOTH_STEP = 0.01, 1.0
 #: Sequences side by side, and cells (the longest times their number) from which there are fewer.
-LANES, LANE_CELLS = 256, 1 << 22
+LANES, LANE_CELLS = 512, 1 << 22
 LOG10 = np.log(10.0)
 
 
@@ -162,6 +162,16 @@ class Expected:
         self.start, self.step = np.zeros(states), np.zeros((states, states))
         self.emit, self.log = np.zeros((symbols_, states)), 0.0
 
+    def _count(self, flat: np.ndarray, weight: np.ndarray) -> None:
+        """Adds weights (S x n) to the symbols; few symbols are numbered among themselves first."""
+        if len(flat) * 4 < len(self.emit):
+            used, flat = np.unique(flat, return_inverse=True)
+            for s, w in enumerate(weight):
+                self.emit[used, s] += np.bincount(flat, w, len(used))
+            return
+        for s, w in enumerate(weight):
+            self.emit[:, s] += np.bincount(flat, w, len(self.emit))
+
     def add(self, model: Model, seqs: list[np.ndarray]) -> None:
         """One pass forward and backward over the sequences; long ones are taken in blocks of steps.
 
@@ -194,9 +204,7 @@ class Expected:
                     moved += (alpha[k - 1] if k else firsts[block])[:n].T @ ahead
                     beta[:n] = ahead @ model.step.T
                 flat = np.concatenate([obs[t, :live[t]] for t in range(begin + len(alpha) - 1, begin - 1, -1)])
-                weight = np.concatenate(gammas)
-                for s in range(weight.shape[1]):
-                    self.emit[:, s] += np.bincount(flat, weight[:, s], len(self.emit))
+                self._count(flat, np.concatenate(gammas).T)
             self.step += moved * model.step
 
 
@@ -207,8 +215,8 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
 def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Model, float]:
     """The model after ``rounds`` rounds over all of ``seqs`` (seq), and their log-likelihood under the one before it.
 
-    In each round every task sums over its documents; a row for each symbol goes through the shuffle, and what comes
-    back to the driver has as many rows as the model has symbols.
+    In each round every task sums over its documents; the sums go through a shuffle in chunks of symbols, and what
+    comes back to the driver has as many rows of states as the model has symbols.
     """
     log = 0.0
     for _ in range(rounds):
@@ -216,31 +224,50 @@ def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Mod
     return model, log
 
 
+#: Symbols whose expected counts travel together, and cells of sequences that one pass takes at least.
+CHUNK, PASS_CELLS = 512, 1 << 21
+
+
 def _round(seqs: DataFrame, model: Model) -> tuple[Model, float]:
     states, n_symbols = len(model.start), len(model.emit)
     shared = seqs.sparkSession.sparkContext.broadcast(model)
-    cols = [f"s{k}" for k in range(states)]
+    schema = pa.schema([("chunk", pa.int64()), ("sums", pa.binary())])
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, own = Expected(n_symbols, states), shared.value
+        held, cells = [], 0
         for batch in source:
-            found.add(own, _sequences(batch.column(0)))
-        used = np.flatnonzero(found.emit.any(1))
+            held.extend(_sequences(batch.column(0)))
+            cells = sum(map(len, held))
+            if cells >= PASS_CELLS:
+                found.add(own, held)
+                held = []
+        found.add(own, held)
         tail = np.vstack([found.step, found.start, np.full(states, found.log)])
-        number = np.concatenate([used, -1 - np.arange(len(tail))])
-        values = np.vstack([found.emit[used], tail])
-        yield pa.RecordBatch.from_arrays([pa.array(number), *[pa.array(values[:, k]) for k in range(states)]],
-                                         names=["symbol", *cols])
+        parts = ((k // CHUNK, found.emit[k:k + CHUNK]) for k in range(0, n_symbols, CHUNK))
+        yield from batches([(-1, tail.tobytes()), *((k, x.tobytes()) for k, x in parts if x.any())], schema, 64)
 
-    ddl = "symbol long, " + ", ".join(f"{c} double" for c in cols)
-    summed = map_batches(seqs, run, ddl).groupBy("symbol").agg(*[F.sum(c).alias(c) for c in cols]).collect()
+    def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in source:
+            for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if chunk in sums:
+                    sums[chunk] += np.frombuffer(part)
+                else:
+                    sums[chunk] = np.frombuffer(part).copy()
+        yield from batches(((k, x.tobytes()) for k, x in sums.items()), schema, 64)
+
+    ddl = "chunk long, sums binary"
+    with shuffles_freed(seqs.sparkSession):
+        rows = map_batches(seqs, per_task, ddl).repartition("chunk").mapInArrow(summed, ddl).collect()
     shared.destroy()
     emit, tail = np.zeros((n_symbols, states)), np.zeros((states + 2, states))
-    for number, *values in summed:
-        if number >= 0:
-            emit[number] = values
+    for chunk, sums in rows:
+        part = np.frombuffer(sums).reshape(-1, states)
+        if chunk >= 0:
+            emit[chunk * CHUNK:chunk * CHUNK + len(part)] = part
         else:
-            tail[-1 - number] = values
+            tail = part
     return Model.of(tail[states], tail[:states], emit), float(tail[states + 1, 0])
 
 
