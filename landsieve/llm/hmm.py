@@ -32,12 +32,10 @@ ENDED, RARE, FREQUENT = 0, 1, 65_000
 STATES = 8
 #: Rounds, each over all training documents, at every size of the input.
 ROUNDS = 14
-#: None run on a sample; the name stays for tests that set it.
-SAMPLE_ROUNDS = 0
 #: Added to expected counts.
 SMOOTH_EMIT, SMOOTH_STEP = 0.01, 1.0
 #: Sequences side by side, and cells (the longest times their number) from which there are fewer.
-LANES, LANE_CELLS = 512, 1 << 22
+LANES, LANE_CELLS = 2048, 1 << 19
 LOG10 = np.log(10.0)
 
 
@@ -91,6 +89,7 @@ class Model:
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
+        self.emit_by_state = np.ascontiguousarray(emit.T)
 
     @staticmethod
     def begin(counts: np.ndarray, states: int = STATES) -> Model:
@@ -121,38 +120,97 @@ def lanes(seqs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, out
 
 
-def score(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
-    """Natural log-likelihood of each sequence; keeps one step of the recursion."""
-    out, ones = np.zeros(len(seqs)), np.ones(len(model.start))
-    for rows, obs in lanes(seqs):
-        live = (obs >= 0).sum(1).tolist()
-        log, a = np.zeros(len(rows)), None
-        for t, n in enumerate(live):
-            a = (model.start if t == 0 else a[:n] @ model.step) * model.emit[obs[t, :n]]
-            scale = a @ ones
-            a = a / scale[:, None]
-            log[:n] += np.log(scale)
-        out[rows] = log
+#: Longer sequences are worked on in pieces of so many steps, side by side.
+BLOCK_STEPS = 2048
+#: Columns are scaled at every so many steps; a few small factors in a row stay far from the least double.
+SCALE_STEPS = 4
+
+
+def _emissions(model: Model, obs: np.ndarray) -> np.ndarray:
+    """T x S x n; states lie before the sequences, so that each operation runs along the sequences."""
+    met = np.empty((len(obs), len(model.start), obs.shape[1]))
+    for s in range(len(model.start)):
+        met[:, s] = model.emit_by_state[s].take(obs, mode="clip")
+    return met
+
+
+def _transfers(model: Model, parts: list[np.ndarray]) -> np.ndarray:
+    """P x S x S: what each part makes of a forward row before it, up to a factor for each part."""
+    states = len(model.start)
+    out, move = np.empty((len(parts), states, states)), np.ascontiguousarray(model.step.T)
+    for rows, obs in lanes(parts):
+        met = _emissions(model, obs)
+        now, logs = np.repeat(np.eye(states)[:, :, None], len(rows), 2), np.zeros((states, len(rows)))
+        for t, n in enumerate((obs >= 0).sum(1).tolist()):
+            new = (move @ now[:, :, :n].reshape(states, -1)).reshape(states, states, n)
+            if t % SCALE_STEPS == 0:
+                scale = new.sum(0)
+                new /= scale
+                logs[:, :n] += np.log(scale)
+            np.multiply(new, met[t, :, None, :n], out=now[:, :, :n])
+        out[rows] = (now * np.exp(logs - logs.max(0))).transpose(2, 1, 0)
     return out
 
 
-#: Steps that one block of the backward recursion keeps in memory.
-BLOCK_STEPS = 512
+def pieces(model: Model, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, owner, before, after): parts of at most BLOCK_STEPS that can be worked on apart from each other.
 
+    ``before`` (S x P) has the forward column before a part (0 for a first one), ``after`` what follows it, up to a factor.
+    Both are exact: they come from the products of the parts' transfers.
+    """
+    states = len(model.start)
+    parts, owner, long = [], [], []
+    for i, seq in enumerate(seqs):
+        if len(seq) > BLOCK_STEPS:
+            long.append((len(parts), -(-len(seq) // BLOCK_STEPS)))
+        parts.extend(seq[k:k + BLOCK_STEPS] for k in range(0, len(seq), BLOCK_STEPS))
+        owner.extend([i] * (len(parts) - len(owner)))
+    before, after = np.zeros((states, len(parts))), np.ones((states, len(parts)))
+    moves = iter(_transfers(model, [parts[at + k][k == 0:] for at, n in long for k in range(n)]))
+    for at, n in long:
+        own = [next(moves) for _ in range(n)]
+        a = model.start * model.emit[parts[at][0]]
+        for k in range(n - 1):
+            a = a / a.sum() @ own[k]
+            before[:, at + k + 1] = a / a.sum()
+        back = np.ones(states)
+        for k in range(n - 1, 0, -1):
+            back = own[k] @ back
+            after[:, at + k - 1] = back = back / back.max()
+    return parts, np.array(owner, np.int64), before, after
+
+
+def _forward(model: Model, met: np.ndarray, live: list[int], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward columns (T x S x n), and what they were scaled by (T x n), 1 between scaled steps."""
+    alpha, factor = np.empty(met.shape), np.ones((len(met), met.shape[2]))
+    move, ones = np.ascontiguousarray(model.step.T), np.ones(len(model.start))
+    for t, n in enumerate(live):
+        now = alpha[t, :, :n]
+        if t:
+            np.matmul(move, alpha[t - 1, :, :n], out=now)
+            now *= met[t, :, :n]
+        else:
+            np.multiply(met[0], np.where(before.any(0), move @ before, model.start[:, None]), out=now)
+        if t % SCALE_STEPS == 0:
+            f = factor[t, :n]
+            np.divide(1.0, ones @ now, out=f)
+            now *= f
+    return alpha, factor
 
-def _forward(model: Model, obs: np.ndarray, live: list[int], begin: int, a: np.ndarray | None) -> tuple[list, list, list]:
-    """Scaled forward rows of one block of steps, their scales and the emissions they met; ``a`` is the row before."""
-    alpha, scales, met, ones = [], [], [], np.ones(len(model.start))
-    for t in range(begin, min(len(live), begin + BLOCK_STEPS)):
-        n = live[t]
-        e = model.emit.take(obs[t, :n], 0)
-        a = e * model.start if t == 0 else (a[:n] @ model.step) * e
-        scale = a @ ones
-        a /= scale[:, None]
-        alpha.append(a)
-        scales.append(scale)
-        met.append(e)
-    return alpha, scales, met
+
+def _last(alpha: np.ndarray, obs: np.ndarray) -> np.ndarray:
+    """S x n: each sequence's last forward column."""
+    return alpha[(obs >= 0).sum(0) - 1, :, np.arange(obs.shape[1])].T
+
+
+def score(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
+    """Natural log-likelihood of each sequence, by the scaled forward recursion."""
+    out = np.zeros(len(seqs))
+    parts, owner, before, _ = pieces(model, seqs)
+    for rows, obs in lanes(parts):
+        alpha, factor = _forward(model, _emissions(model, obs), (obs >= 0).sum(1).tolist(), before[:, rows])
+        np.add.at(out, owner[rows], np.log(_last(alpha, obs).sum(0)) - np.log(factor[::SCALE_STEPS]).sum(0))
+    return out
 
 
 class Expected:
@@ -160,52 +218,50 @@ class Expected:
 
     def __init__(self, symbols_: int, states: int):
         self.start, self.step = np.zeros(states), np.zeros((states, states))
-        self.emit, self.log = np.zeros((symbols_, states)), 0.0
+        self.by_state, self.log = np.zeros((states, symbols_)), 0.0
+
+    @property
+    def emit(self) -> np.ndarray:
+        return self.by_state.T
 
     def _count(self, flat: np.ndarray, weight: np.ndarray) -> None:
-        """Adds weights (S x n) to the symbols; few symbols are numbered among themselves first."""
-        if len(flat) * 4 < len(self.emit):
+        """Adds weights (T x S x n) to the symbols; few symbols are numbered among themselves first."""
+        used: np.ndarray | slice = slice(None)
+        if len(flat) * 4 < self.by_state.shape[1]:
             used, flat = np.unique(flat, return_inverse=True)
-            for s, w in enumerate(weight):
-                self.emit[used, s] += np.bincount(flat, w, len(used))
-            return
-        for s, w in enumerate(weight):
-            self.emit[:, s] += np.bincount(flat, w, len(self.emit))
+        symbols_ = self.by_state.shape[1] if isinstance(used, slice) else len(used)
+        for s in range(weight.shape[1]):
+            self.by_state[s, used] += np.bincount(flat, weight[:, s].ravel(), symbols_)
 
     def add(self, model: Model, seqs: list[np.ndarray]) -> None:
-        """One pass forward and backward over the sequences; long ones are taken in blocks of steps.
+        """One pass forward and backward over the sequences, long ones in pieces; memory is bounded by LANE_CELLS.
 
-        Only the row before each block is kept going forward, and a block is filled again going backward, so
-        memory is bounded by a block whatever the length. Backward rows take the scales of the forward ones, so
-        that the product of both sums to 1.
+        Backward columns take the scales of the forward ones and end with what makes the product of both sum to 1.
         """
-        for _, obs in lanes(seqs):
+        parts, _, before, after = pieces(model, seqs)
+        for rows, obs in lanes(parts):
             live = (obs >= 0).sum(1).tolist()
-            firsts, a = [], None
-            for begin in range(0, len(live), BLOCK_STEPS):
-                firsts.append(a)
-                alpha, scales, met = _forward(model, obs, live, begin, a)
-                a = alpha[-1]
-                self.log += float(np.log(np.concatenate(scales)).sum())
-            beta, moved = np.ones((obs.shape[1], len(model.start))), np.zeros_like(self.step)
-            for block in range(len(firsts) - 1, -1, -1):
-                begin = block * BLOCK_STEPS
-                if block < len(firsts) - 1:
-                    alpha, scales, met = _forward(model, obs, live, begin, firsts[block])
-                gammas = []
-                for k in range(len(alpha) - 1, -1, -1):
-                    n = live[begin + k]
-                    gammas.append(alpha[k] * beta[:n])
-                    if begin + k == 0:
-                        self.start += gammas[-1].sum(0)
-                        break
-                    ahead = met[k] * beta[:n]
-                    ahead /= scales[k][:, None]
-                    moved += (alpha[k - 1] if k else firsts[block])[:n].T @ ahead
-                    beta[:n] = ahead @ model.step.T
-                flat = np.concatenate([obs[t, :live[t]] for t in range(begin + len(alpha) - 1, begin - 1, -1)])
-                self._count(flat, np.concatenate(gammas).T)
+            met, earlier = _emissions(model, obs), before[:, rows]
+            alpha, factor = _forward(model, met, live, earlier)
+            last = _last(alpha, obs)
+            self.log += float(np.log(last.sum(0)).sum() - np.log(factor[::SCALE_STEPS]).sum())
+            beta, moved = after[:, rows] / (last * after[:, rows]).sum(0), np.zeros_like(self.step)
+            for t in range(len(live) - 1, -1, -1):
+                n = live[t]
+                ahead = beta[:, :n]
+                now = alpha[t, :, :n]
+                now *= ahead  # each column is needed once more, then holds its weight
+                if n < len(rows):
+                    alpha[t, :, n:] = 0.0  # past an end nothing is added
+                ahead *= met[t, :, :n]
+                if t % SCALE_STEPS == 0:
+                    ahead *= factor[t, :n]
+                moved += (alpha[t - 1, :, :n] if t else earlier) @ ahead.T
+                if t:
+                    beta[:, :n] = model.step @ ahead
+            self.start += alpha[0][:, ~earlier.any(0)].sum(1)
             self.step += moved * model.step
+            self._count(np.maximum(obs, 0).ravel(), alpha)
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -225,7 +281,7 @@ def expected_counts(seqs: DataFrame, model: Model, rounds: int = 1) -> tuple[Mod
 
 
 #: Symbols whose expected counts travel together, and cells of sequences that one pass takes at least.
-CHUNK, PASS_CELLS = 512, 1 << 21
+CHUNK, PASS_CELLS = 512, 1 << 22
 
 
 def _round(seqs: DataFrame, model: Model) -> tuple[Model, float]:

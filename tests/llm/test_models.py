@@ -42,6 +42,7 @@ def test_likelihood_and_expected_counts(monkeypatch):
     monkeypatch.setattr(hmm, "LANES", 2)
     parts = hmm.Expected(5, 3)
     parts.add(model, seqs)
+    assert np.allclose(hmm.score(model, seqs), [by_hand(model, s) for s in seqs])
     for name in ("start", "step", "emit", "log"):
         assert np.allclose(getattr(whole, name), getattr(parts, name)), name
     assert math.isclose(whole.emit.sum(), sum(map(len, seqs))) and math.isclose(whole.step.sum(), sum(len(s) - 1 for s in seqs))
@@ -97,8 +98,7 @@ def test_every_round_sees_all_training_documents(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("frequent", [30, 100_000])
-def test_scores_of_documents(spark, frequent, monkeypatch):
-    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 2)
+def test_scores_of_documents(spark, frequent):
     rng = random.Random(3)
     rows = [*enumerate([*odd_texts(), *[sentence(rng, 60) for _ in range(40)]]), (None, "no id"), (3, "id again")]
     docs = frame(spark, rows, ["uid", "seq", "rare", "word"])
