@@ -93,20 +93,29 @@ def enrich_assemble(parcels: DataFrame, substations: DataFrame, lines: DataFrame
                     flood: DataFrame | None = None, zoning: DataFrame | None = None, competition: DataFrame | None = None,
                     exclusions: DataFrame | None = None, generators: DataFrame | None = None,
                     slope: DataFrame | None = None) -> DataFrame:
-    """All derived columns, every parcel exactly once.
+    """All derived columns, every parcel exactly once."""
+    # Seven steps read the parcels with their centroids: derive them once.
+    p = materialize(with_centroids(polygon_columns(parcels)), "centroids")
+    cent = p.select("id", "mx", "my", "clon", "clat")
+    return assemble(p, cent, substations, lines, grid, flood, zoning, competition, exclusions, generators, slope).drop(
+        "sub_id", "edges", "anchors")
+
+
+def assemble(p: DataFrame, cent: DataFrame, substations: DataFrame, lines: DataFrame, grid: DataFrame,
+             flood: DataFrame | None = None, zoning: DataFrame | None = None, competition: DataFrame | None = None,
+             exclusions: DataFrame | None = None, generators: DataFrame | None = None,
+             slope: DataFrame | None = None) -> DataFrame:
+    """All derived columns and ``sub_id`` beside the polygons ``p``, whose centres are ``cent``.
 
     The parts are all keyed by parcel id, so the joins that put them together
     share one partitioning of the parcel table.
     """
-    # Seven steps read the parcels with their centroids: derive them once.
-    p = materialize(with_centroids(polygon_columns(parcels)), "centroids")
-    cent = p.select("id", "mx", "my", "clon", "clat")
     near = nearest_substation(cent, substations)
     if competition is not None:
         near = competition_attach(near, competition)
     else:
         near = near.withColumn("poi_competition_mw", F.lit(None).cast("double")).withColumn("poi_competition_n", F.lit(None).cast("long"))
-    out = p.join(near.drop("sub_id"), "id", "left")
+    out = p.join(near, "id", "left")
     out = out.join(nearest_line_distance(cent, lines), "id", "left").join(nearest_ghi(cent, grid), "id", "left")
     if generators is not None:
         out = out.join(nearest_generator(cent, generators), "id", "left")
@@ -131,7 +140,7 @@ def enrich_assemble(parcels: DataFrame, substations: DataFrame, lines: DataFrame
         out = out.withColumn("mean_slope_pct", F.lit(None).cast("double")).withColumn("mean_slope_pct_final", F.lit(None).cast("double"))
     for c in ["sfha_flag", *[f"excl_{k}" for k in K.EXCLUSION_KINDS]]:
         out = out.withColumn(c, F.coalesce(c, F.lit(False)))
-    return out.drop("edges", "anchors")
+    return out
 
 
 def enrich_summary(parcels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landsieve import constants as K
 from landsieve.functions import geometry as G
 from landsieve.functions import projection as P
 from landsieve.operators import enrich as E
@@ -350,11 +351,11 @@ def point_in_polygon(spark, sf):
     return p.select("id").join(hit, "id", "left").select("id", F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-@q("enrich_assemble", f"""select p.id, s.tid as sub_kv_of, t.dist_cm as tx_cm, g.ghi6, z.code as zoning_class, coalesce(f.hit, false) as sfha_flag, coalesce(o.pa, false) as excl_protected_area
+@q("enrich_assemble", f"""select p.id, s.tid as sub_kv_of, t.dist_cm as tx_cm, g.ghi6, z.code as zoning_class, coalesce(f.hit, false) as sfha_flag, coalesce(o.pa, false) as excl_protected_area, coalesce(o.ow, false) as excl_open_water, coalesce(o.bu, false) as excl_built_up
  from parcels p join (select * from (select p.id, t.tid, row_number() over (partition by p.id order by {DIST}, t.tid) as rn from ({PM}) p, ({_SUB_T}) t) a where rn = 1) s on s.id = p.id
  join ({_TX}) t on t.id = p.id join ({_ghi_sql()}) g on g.id = p.id left join (select * from ({ZONE_AT}) a where rn = 1) z on z.id = p.id
  left join (select p.id, true as hit from parcels p join floods f on {FLOOD_HIT} group by 1) f on f.id = p.id
- left join (select p.id, bool_or(o.kind = 'protected_area') as pa from parcels p join overlays o on {BOX_HIT} group by p.id) o on o.id = p.id""")
+ left join (select p.id, bool_or(o.kind = 'protected_area') as pa, bool_or(o.kind = 'open_water') as ow, bool_or(o.kind = 'built_up') as bu from parcels p join overlays o on {BOX_HIT} group by p.id) o on o.id = p.id""")
 def enrich_assemble(spark, sf):
     """Everything joined at once; each parcel comes back exactly once.
 
@@ -363,15 +364,11 @@ def enrich_assemble(spark, sf):
     """
     p = materialize(parcel_boxes(spark, sf), "boxes", deal=True)
     cent = materialize(parcel_points(spark, sf), "centres", deal=True)
-    near = E.nearest_substation(cent, subs_m(spark, sf)).select("id", F.col("sub_id").alias("sub_kv_of"))
-    out = p.select("id").join(near, "id", "left")
-    out = out.join(E.nearest_line_distance(cent, line_geo(view(spark, sf, "lines"))).select("id", scaled("dist_tx_m", CM).alias("tx_cm")), "id", "left")
-    out = out.join(E.nearest_ghi(cent, ghi_grid(spark, sf)).select("id", scaled("ghi", 1e6).alias("ghi6")), "id", "left")
-    out = out.join(E.zoning_at_point(cent, zones_geo(spark, sf)), "id", "left")
-    out = out.join(E.flood_flag(p, flood_geo(view(spark, sf, "floods"))), "id", "left")
-    out = out.join(E.overlay_flags(p, box_layer(view(spark, sf, "overlays"))).select("id", "excl_protected_area"), "id", "left")
-    return out.select("id", "sub_kv_of", "tx_cm", "ghi6", "zoning_class", F.coalesce("sfha_flag", F.lit(False)).alias("sfha_flag"),
-                      F.coalesce("excl_protected_area", F.lit(False)).alias("excl_protected_area"))
+    out = E.assemble(p, cent, subs_m(spark, sf), line_geo(view(spark, sf, "lines")), ghi_grid(spark, sf),
+                     flood=flood_geo(view(spark, sf, "floods")), zoning=zones_geo(spark, sf),
+                     exclusions=box_layer(view(spark, sf, "overlays")))
+    return out.select("id", F.col("sub_id").alias("sub_kv_of"), scaled("dist_tx_m", CM).alias("tx_cm"), scaled("ghi", 1e6).alias("ghi6"),
+                      "zoning_class", "sfha_flag", *[f"excl_{k}" for k in K.EXCLUSION_KINDS])
 
 
 @q("update_from", "select p.id, p.acres, o.n as poi_competition_n from parcels p left join (select o_custkey as id, count(*) as n from orders group by 1) o on o.id = p.id")
