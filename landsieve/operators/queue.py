@@ -11,19 +11,25 @@ from landsieve.operators.joins import lookup_join, salted_join
 from landsieve.operators.spatial import radius_totals
 
 
-def _phrases(df: DataFrame, name: str, longest: int) -> DataFrame:
-    """All runs of whole words of ``name`` with at most ``longest`` words."""
-    words = F.split(F.col(name), " ")
-    return (
-        df.withColumn("_w", words).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_w"))))
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.size("_w") - F.col("_i") + 1, F.lit(longest)))))
-        .withColumn("phrase", F.array_join(F.slice("_w", F.col("_i"), F.col("_n")), " "))
-        .drop("_w", "_i", "_n").distinct()
-    )
+def _words(df: DataFrame, name: str) -> DataFrame:
+    """``name`` beside each of its distinct words."""
+    return df.select(name, F.explode(F.array_distinct(F.split(F.col(name), " "))).alias("word"))
 
 
-def _most_words(df: DataFrame, name: str) -> int:
-    return df.agg(F.max(F.size(F.split(F.col(name), " ")))).first()[0] or 1
+def _containing(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """Pairs (o, i) of different names where ``outer``'s o has all of ``inner``'s i in it as a run of whole words.
+
+    Each inner name is indexed once, under the word of it that the fewest outer names have; a name with a word that
+    none of them has can't be met. Outer names look up their words, and what is found is verified.
+    """
+    words = _words(outer, "o")
+    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = _words(inner, "i").join(frequency, "word", "left").groupBy("i").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
+    index = rarest.filter("r.n > 0").select("i", F.col("r.word").alias("word"))
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return salted_join(words, index, ["word"], "o").filter(
+        (F.col("o") != F.col("i")) & F.contains(spaced("o"), spaced("i"))).select("o", "i")
 
 
 def name_pairs(poi_names: DataFrame, station_names: DataFrame) -> DataFrame:
@@ -31,20 +37,18 @@ def name_pairs(poi_names: DataFrame, station_names: DataFrame) -> DataFrame:
 
     3: equal; 2: the POI name contains the station name as whole words; 1: the
     reverse. Containment needs a contained name of POI_MIN_NAME_LEN characters.
-    Names are compared through equal phrases, never all against all.
+    Contained names are found by their rarest word, never all against all.
     """
     p = poi_names.select("poi_norm").filter(F.col("poi_norm") != "").distinct()
     s = station_names.select("station_norm").filter(F.col("station_norm") != "").distinct()
     equal = p.join(s, p.poi_norm == s.station_norm).select("poi_norm", "station_norm", F.lit(3).alias("rank"))
     long_s = s.filter(F.length("station_norm") >= K.POI_MIN_NAME_LEN)
     long_p = p.filter(F.length("poi_norm") >= K.POI_MIN_NAME_LEN)
-    in_poi = _phrases(p, "poi_norm", _most_words(s, "station_norm")).join(
-        long_s, F.col("phrase") == F.col("station_norm")).filter("poi_norm <> station_norm")
-    in_station = _phrases(s, "station_norm", _most_words(p, "poi_norm")).join(
-        long_p, F.col("phrase") == F.col("poi_norm")).filter("poi_norm <> station_norm")
+    in_poi = _containing(p.select(F.col("poi_norm").alias("o")), long_s.select(F.col("station_norm").alias("i")))
+    in_station = _containing(s.select(F.col("station_norm").alias("o")), long_p.select(F.col("poi_norm").alias("i")))
     return (
-        equal.unionByName(in_poi.select("poi_norm", "station_norm", F.lit(2).alias("rank")))
-        .unionByName(in_station.select("poi_norm", "station_norm", F.lit(1).alias("rank")))
+        equal.unionByName(in_poi.select(F.col("o").alias("poi_norm"), F.col("i").alias("station_norm"), F.lit(2).alias("rank")))
+        .unionByName(in_station.select(F.col("i").alias("poi_norm"), F.col("o").alias("station_norm"), F.lit(1).alias("rank")))
     )
 
 
