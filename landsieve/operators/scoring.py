@@ -266,16 +266,19 @@ def request_columns(requests: DataFrame, rules: DataFrame | None = None) -> Data
 RANK_PARTS = 64
 
 
-def best_of_each(scored: DataFrame, reach: int) -> DataFrame:
+def best_of_each(scored: DataFrame, reach: int, own: Column | None = None) -> DataFrame:
     """The ``reach`` best rows of each request with their rank, however deep the page.
 
     Each part of a request is ranked by itself and hands on at most ``reach``
-    rows, so a request that covers everything is not sorted by one task.
+    rows, so a request that covers everything is not sorted by one task. With
+    ``own``, a request's own depth, a deep page of one request makes no other
+    hand on more rows than its own page needs.
     """
+    own = F.lit(reach) if own is None else own
     best = lambda *keys: Window.partitionBy("request_id", *keys).orderBy(F.desc("score_raw"), F.asc("id"))
     part = F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS))
     few = scored.withColumn("_part", part).withColumn("_r", F.row_number().over(best("_part"))).filter(
-        F.col("_r") <= reach).drop("_part", "_r")
+        (F.col("_r") <= reach) & (F.col("_r") <= own)).drop("_part", "_r")
     return few.withColumn("rank", F.row_number().over(best())).filter(F.col("rank") <= reach)
 
 
@@ -308,5 +311,5 @@ def batch_score(parcels: DataFrame, requests: DataFrame, cell: float, exact: boo
         total = term if total is None else total + term
     scored = kept.select(F.col("r_request_id").alias("request_id"), "id", (F.lit(100.0) * total).alias("score_raw"),
                          F.col("r_limit").alias("limit"), F.col("r_offset").alias("offset"))
-    return best_of_each(scored, int(reach or 0)).filter(
+    return best_of_each(scored, int(reach or 0), F.col("offset") + F.col("limit")).filter(
         (F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("limit"))).drop("limit", "offset")
