@@ -12,6 +12,15 @@ def clamp01(c: Column) -> Column:
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
 
+def round_half_away(c: Column, digits: int) -> Column:
+    """Rounded as doubles are in SQL: scaled, to the nearest whole number, and back.
+
+    ``round(c, digits)`` goes by the decimal text of ``c``, so that -29.849999999999998 gives -29.8 there and -29.9 here.
+    """
+    scale = float(10**digits)
+    return F.round(c * F.lit(scale), 0) / F.lit(scale)
+
+
 def affordability_score(median: Column) -> Column:
     """1 at the cheap end of the domain, 0 at the dear end; unknown stays NULL."""
     lo, hi = K.AFFORDABILITY_LOW_USD, K.AFFORDABILITY_HIGH_USD
@@ -71,7 +80,7 @@ def price_yoy(series: DataFrame, key: str = "county") -> DataFrame:
     prev = joined.filter(F.col("date") < F.col("last.date")).groupBy(key).agg(F.max(F.struct("date", "value")).alias("prev"))
     out = top.join(prev, key, "left")
     change = (F.col("last.value") - F.col("prev.value")) / F.nullif(F.col("prev.value"), F.lit(0.0)) * 100.0
-    return out.select(key, F.col("last.date").alias("as_of"), F.round("last.value", 2).alias("hpi_index"), F.round(change, 1).alias("yoy_pct"))
+    return out.select(key, F.col("last.date").alias("as_of"), round_half_away(F.col("last.value"), 2).alias("hpi_index"), round_half_away(change, 1).alias("yoy_pct"))
 
 
 def affordability_summary(medians: DataFrame, trends: DataFrame, key: str = "county") -> DataFrame:
