@@ -42,6 +42,17 @@ def write_results_csv(scored: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
+def write_ranked_csv(ranked: DataFrame, path: str) -> None:
+    """Every ranked row as CSV lines in files cut by rank, the header before rank 1.
+
+    One file after another, in the order of their names, they are the one CSV text.
+    """
+    header = ranked.sparkSession.createDataFrame([(0, csv_header())], "rank long, line string")
+    lines = header.unionByName(csv_lines(ranked.withColumn("rank", F.col("rank").cast("long"))))
+    lines.repartitionByRange("rank").sortWithinPartitions("rank").select("line").write.mode("overwrite").option(
+        "lineSep", "\r\n").text(path)
+
+
 def write_rules(rules: DataFrame, path: str) -> None:
     rules.select(*RULE_COLUMNS).write.mode("overwrite").csv(path, header=True)
 

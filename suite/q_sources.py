@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from landsieve import constants as K
 from landsieve.functions import cleaning as C
 from landsieve.functions import geometry as G
 from landsieve.operators import economics as EC
+from landsieve.operators import ordering as O
 from landsieve.operators import quality as Q
 from landsieve.operators import raster as R
 from landsieve.operators import requests as RQ
@@ -143,7 +143,7 @@ def _num(c: str, digits: int) -> str:
 
 _CSV_SQL = f"""
 with top as (select *, row_number() over (order by coalesce(acres, 0) desc, id) as rank from parcels),
-t as (select *, case when apn like '=%' then concat(chr(39), apn) else apn end as a from top where rank <= 200)
+t as (select *, case when apn like '=%' then concat(chr(39), apn) else apn end as a from top)
 select 0 as rank, 'rank,id,apn,score,acres,zoning_class,sfha_flag,ghi,mean_slope_pct,dist_tx_m,dist_sub_m,nearest_sub_kv,poi_competition_mw' as line
 union all select rank, concat_ws(',', rank, id, case when a like '%"%' or a like '%,%' then concat('"', replace(a, '"', '""'), '"') else a end,
  {_num('dist_sub_m / cast(250.0 as double)', 2)}, {_num('acres', 2)}, coalesce(zoning_class, ''), coalesce(cast(sfha_flag as string), ''), {_num('ghi', 2)},
@@ -153,14 +153,12 @@ union all select rank, concat_ws(',', rank, id, case when a like '%"%' or a like
 
 @q("write_results_csv", _CSV_SQL)
 def write_results_csv(spark, sf):
-    """A page of 200 results written as one file, its lines read back (the reader takes the byte order mark off): header, all columns."""
+    """Every parcel ranked and written, the lines read back (the reader takes the byte order mark off): header, all columns."""
     path = fresh_path(spark, "results-csv")
     p = view(spark, sf, "parcels").withColumn("score", F.col("dist_sub_m") / 250.0)
-    page = RS.result_sort(p.withColumn("score_raw", F.col("score")), "acres").limit(200)
-    ranked = page.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.coalesce("acres", F.lit(0.0))), "id")))
-    W.write_results_csv(ranked, path)
+    W.write_ranked_csv(O.ordered_id(p, [F.desc(F.coalesce("acres", F.lit(0.0))), "id"], "rank"), path)
     lines = spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "line")
-    number = F.coalesce(F.regexp_extract("line", r"^(\d+),", 1).try_cast("int"), F.lit(0))
+    number = F.coalesce(F.regexp_extract("line", r"^(\d+),", 1).try_cast("long"), F.lit(0).cast("long"))
     return lines.select(number.alias("rank"), "line")
 
 
