@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landsieve import constants as K
@@ -28,9 +28,13 @@ from landsieve.sources.writers import layer_frame
 CLIP_CELL = 0.1
 
 
-def _polygons(features: DataFrame, crs: int = K.CRS_STORAGE) -> DataFrame:
-    """Attributes as columns and ``parts`` in lon/lat, repaired; empty ones dropped."""
-    df = S.property_columns(features).withColumn("parts", S.parse_polygon(F.col("kind"), F.col("coordinates")))
+def _polygons(features: DataFrame, crs: int = K.CRS_STORAGE, only: Column | None = None) -> DataFrame:
+    """Attributes as columns and ``parts`` in lon/lat, repaired; empty ones dropped.
+
+    ``only`` picks features by their attributes before any geometry is read.
+    """
+    df = S.property_columns(features)
+    df = (df if only is None else df.filter(only)).withColumn("parts", S.parse_polygon(F.col("kind"), F.col("coordinates")))
     if crs not in (K.CRS_STORAGE, K.CRS_SOURCE_NAD83):
         df = df.withColumn("parts", G.map_points(F.col("parts"), lambda x, y: reproject(x, y, crs, K.CRS_STORAGE)))
     df = df.drop("kind", "coordinates").filter(drop_empty_geom())
@@ -43,7 +47,7 @@ def drop_empty_geom(parts: str = "parts"):
 
 def build_county(features: DataFrame, state: str = K.STATE_FIPS, county: str = K.COUNTY_FIPS, geoid: str = K.COUNTY_GEOID) -> DataFrame:
     """Exactly one boundary row with the expected id."""
-    df = _polygons(features).filter((F.col("STATEFP") == state) & (F.col("COUNTYFP") == county))
+    df = _polygons(features, only=(F.col("STATEFP") == state) & (F.col("COUNTYFP") == county))
     out = polygon_columns(df.select(
         F.col("GEOID").alias("geoid"), F.col("NAME").alias("name"), F.col("STATEFP").alias("statefp"),
         F.col("COUNTYFP").alias("countyfp"), "parts"))
