@@ -62,7 +62,8 @@ def write_ordered(df: DataFrame, path: str, rows_per_file: int = 1_000_000, tie:
     keyed = df.withColumn("hilbert", F.lit(0).cast("long")) if flat else hilbert_key(df, extent)
     placed = ordered_id(keyed, ["hilbert", tie], "place").withColumn("file", F.floor((F.col("place") - 1) / rows_per_file))
     placed.repartition("file").sortWithinPartitions("file", "place").write.mode("overwrite").partitionBy("file").parquet(path)
-    return file_boxes(df.sparkSession.read.schema(placed.schema).parquet(path))
+    # the rows as they were placed say what each file covers; to open every file again would cost more than writing it
+    return file_boxes(placed)
 
 
 def file_boxes(written: DataFrame) -> DataFrame:
