@@ -8,17 +8,20 @@ that a block has the margin it needs and nothing is exchanged afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from landsieve.functions import geometry as G
+from landsieve.operators import fragments as FR
+from landsieve.operators.joins import salted_join
 from landsieve.operators.spatial import points_in_polygons
-from landsieve.session import ship_package
+from landsieve.session import materialize, ship_package
 
 #: Cells to a side of a block.
 BLOCK = 256
@@ -204,10 +207,6 @@ def _strip(grid: Grid, row: Column) -> tuple[Column, Column]:
     return F.lit(grid.y0) + row * F.lit(grid.dy), F.lit(grid.y0) + (row + 1) * F.lit(grid.dy)
 
 
-def _in_strip(e: Column, low: Column, high: Column) -> Column:
-    return (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
-
-
 def _x_range(e: Column, low: Column, high: Column, grid: Grid) -> Column:
     """Columns that the part of an edge inside a strip meets; its ends keep their exact x."""
     def x_at(y):
@@ -232,28 +231,95 @@ def _rows_of(lo: Column, hi: Column, grid: Grid) -> Column:
     return F.when(r0 <= r1, F.sequence(r0, r1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered_runs(parcels: DataFrame, grid: Grid, keep: list[str], large: int = 48) -> DataFrame:
+#: Pairs of an edge and a raster row that are worked on at once.
+AT_ONCE = 1 << 20
+
+
+def _np_reach(lo: np.ndarray, hi: np.ndarray, origin: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """``_reach`` of arrays."""
+    border = lambda k: origin + k * step
+    a, b = np.floor((lo - origin) / step), np.floor((hi - origin) / step)
+    first = np.where(border(a) >= lo, a - 1, np.where(border(a + 1) < lo, a + 1, a))
+    return first, np.where(border(b + 1) <= hi, b + 1, np.where(border(b) > hi, b - 1, b))
+
+
+def _runs_of(of: np.ndarray, e: np.ndarray, first: np.ndarray, n: np.ndarray, grid: Grid) -> tuple[np.ndarray, ...]:
+    """(polygon, row, c0, c1) of the runs of some polygons, from their edges ``e``, whose ``n`` strips start at ``first``."""
+    at = np.repeat(np.arange(len(n)), n)
+    row = first[at] + (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n))
+    of, (x1, y1, x2, y2) = of[at], e[at].T
+    low, high = grid.y0 + row * grid.dy, grid.y0 + (row + 1) * grid.dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = (x2 - x1) / (y2 - y1)
+        x_at = lambda y: np.where(y == y1, x1, np.where(y == y2, x2, x1 + (y - y1) * slope))
+        a = np.where(y1 == y2, x1, x_at(np.maximum(np.minimum(y1, y2), low)))
+        b = np.where(y1 == y2, x2, x_at(np.minimum(np.maximum(y1, y2), high)))
+        crosses = (y1 > high) != (y2 > high)
+        x = (x1 + (high - y1) * (x2 - x1) / (y2 - y1))[crosses]
+    by = np.lexsort((x, row[crosses], of[crosses]))
+    x, c_of, c_row = x[by], of[crosses][by], row[crosses][by]
+    new = np.flatnonzero(np.diff(c_of, prepend=-1).astype(bool) | np.diff(c_row, prepend=-1).astype(bool))
+    place = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+    pair = np.flatnonzero((place[:-1] % 2 == 0) & (place[1:] == place[:-1] + 1)) if len(x) else new
+    of, row = np.concatenate([of, c_of[pair]]), np.concatenate([row, c_row[pair]])
+    c0, c1 = _np_reach(np.concatenate([np.minimum(a, b), x[pair]]), np.concatenate([np.maximum(a, b), x[pair + 1]]), grid.x0, grid.dx)
+    c0, c1 = np.maximum(c0, 0).astype(np.int64), np.minimum(c1, grid.cols - 1).astype(np.int64)
+    some = np.flatnonzero(c0 <= c1)
+    some = some[np.lexsort((c0[some], row[some], of[some]))]
+    of, row, c0, c1 = of[some], row[some], c0[some], c1[some]
+    if not len(some):
+        return of, row, c0, c1
+    fresh = np.diff(of, prepend=-1).astype(bool) | np.diff(row, prepend=-1).astype(bool)
+    # the farthest column so far in the same row of the same polygon
+    base = np.cumsum(fresh) * (grid.cols + 1)
+    far = np.maximum.accumulate(base + c1) - base
+    starts = np.flatnonzero(fresh | (c0 > np.append(0, far[:-1]) + 1))
+    ends = np.append(starts[1:], len(far)) - 1
+    return of[starts], row[starts], c0[starts], far[ends]
+
+
+def covered_runs(parcels: DataFrame, grid: Grid, keep: list[str], large: int = 10_000) -> DataFrame:
     """Runs of cells (row, c0, c1) that each parcel touches, with the columns ``keep``.
 
     Inside the strip of one raster row a polygon shows as the stretches of its edges there and the stretches between
     its crossings of the strip's upper line; overlapping ones are merged. Rows grow with a parcel's height, not its
-    area. The edges of large polygons are dealt to the strips they meet instead of being searched for each strip.
+    area. Polygons are gone through in Arrow batches; the edges of large ones are dealt to the strips they meet instead.
     """
     keep = list(dict.fromkeys(keep))
     low, high = _strip(grid, F.col("row"))
-    b, es = F.col("bbox"), F.col("edges")
     big = F.size("edges") > large
-    small = (
-        parcels.filter(~big).select(*keep, "bbox", "edges", F.explode(_rows_of(b["ymin"], b["ymax"], grid)).alias("row"))
-        .select(*keep, "row", F.transform(F.filter(es, lambda e: _in_strip(e, low, high)), lambda e: _x_range(e, low, high, grid)).alias("ranges"),
-                F.filter(F.transform(es, lambda e: _crossing(e, high)), lambda x: x.isNotNull()).alias("xs")))
+    own = parcels.select(*keep)
+    schema = own.select("*", F.lit(0).cast("long").alias("row"), F.lit(0).alias("c0"), F.lit(0).alias("c1")).schema
+    out = to_arrow_schema(schema)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at, e = FR._structs(batch["edges"], FR.EDGE)
+            if not len(e):
+                continue
+            first, last = _np_reach(np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3]), grid.y0, grid.dy)
+            first, last = np.maximum(first, 0), np.minimum(last, grid.rows - 1)
+            # edges without numbers meet no strip
+            n = np.where(last >= first, last - first + 1, 0).astype(np.int64)
+            first = np.where(n > 0, first, 0).astype(np.int64)
+            before = np.append(0, np.cumsum(n))[at]
+            of, lot = np.repeat(np.arange(len(at) - 1), np.diff(at)), before[:-1] // AT_ONCE
+            for start, stop in zip(cuts := np.flatnonzero(np.diff(lot, prepend=-1)), np.append(cuts[1:], len(lot)), strict=True):
+                s = slice(at[start], at[stop])
+                who, row, c0, c1 = _runs_of(of[s], e[s], first[s], n[s], grid)
+                if len(who):
+                    made = {"row": pa.array(row), "c0": pa.array(c0.astype(np.int32)), "c1": pa.array(c1.astype(np.int32))}
+                    ids = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else batch[c].take(ids) for c in out.names], schema=out)
+
+    ship_package(parcels.sparkSession)
+    small = parcels.filter(~big).select(*keep, "edges").mapInArrow(run, schema)
     e = F.col("e")
     dealt = (
         parcels.filter(big).select(F.struct(*keep).alias("own"), F.explode("edges").alias("e"))
         .withColumn("row", F.explode(_rows_of(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]), grid)))
         .groupBy("own", "row").agg(F.collect_list(_x_range(e, low, high, grid)).alias("ranges"), F.collect_list(_crossing(e, high)).alias("xs"))
-        .select(*[F.col(f"own.{c}").alias(c) for c in keep], "row", "ranges", "xs"))
-    rows = small.unionByName(dealt).withColumn("xs", F.array_sort("xs"))
+        .select(*[F.col(f"own.{c}").alias(c) for c in keep], "row", "ranges", F.array_sort("xs").alias("xs")))
     xs, pairs = F.col("xs"), (F.size("xs") / 2).cast("int")
     inner = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: _columns(xs[i * 2], xs[i * 2 + 1], grid)))
     kind = "array<struct<c0:int,c1:int>>"
@@ -265,7 +331,8 @@ def covered_runs(parcels: DataFrame, grid: Grid, keep: list[str], large: int = 4
         return F.when(F.size(acc) == 0, F.array(r)).when(
             r["c0"] <= last["c1"] + 1, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(r)))
 
-    return rows.select(*keep, "row", F.explode(F.aggregate(spans, F.array().cast(kind), merge)).alias("r")).select(*keep, "row", "r.c0", "r.c1")
+    merged = dealt.select(*keep, "row", F.explode(F.aggregate(spans, F.array().cast(kind), merge)).alias("r")).select(*keep, "row", "r.c0", "r.c1")
+    return small.unionByName(merged)
 
 
 #: Cells of a raster row that are added up together; runs are cut there.
@@ -331,15 +398,21 @@ def row_sums(cells: DataFrame) -> DataFrame:
     good = cells.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     at = F.pmod(F.col("col"), F.lit(SEGMENT)).cast("int")
     held = good.groupBy(F.col("row").cast("long").alias("row"), F.floor(F.col("col") / SEGMENT).alias("seg")).agg(
-        F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("value").cast("double").alias("v")))).alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), lambda k: F.col("m")[k])
-
-    def running(start, amount):
-        return F.aggregate("vs", F.array(start), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + amount(v))))
+        F.collect_list(at).alias("at"), F.collect_list(F.col("value").cast("double")).alias("vs"))
+    width = SEGMENT
+
+    def running(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            n = batch.num_rows
+            line, at = np.repeat(np.arange(n), np.diff(batch["at"].offsets.to_numpy())), batch["at"].flatten().to_numpy()
+            sums, counts = np.zeros((n, width + 1)), np.zeros((n, width + 1), np.int32)
+            sums[line, at + 1], counts[line, at + 1] = batch["vs"].flatten().to_numpy(), 1
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * (width + 1))
+            listed = [pa.ListArray.from_arrays(ends, pa.array(np.cumsum(v, axis=1, dtype=v.dtype).ravel())) for v in (sums, counts)]
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["seg"], *listed], names=["row", "seg", "sums", "counts"])
 
-    return held.select("row", "seg", values.alias("vs")).select(
-        "row", "seg", running(F.lit(0.0), lambda v: F.coalesce(v, F.lit(0.0))).alias("sums"),
-        running(F.lit(0), lambda v: v.isNotNull().cast("int")).alias("counts"))
+    ship_package(cells.sparkSession)
+    return held.mapInArrow(running, "row long, seg long, sums array<double>, counts array<int>")
 
 
 def zonal_mean(assigned: DataFrame, cells: DataFrame, name: str = "mean_slope_pct") -> DataFrame:
@@ -350,7 +423,8 @@ def zonal_mean(assigned: DataFrame, cells: DataFrame, name: str = "mean_slope_pc
     if "c0" in assigned.columns:
         sums, a, b = row_sums(cells), F.col("c0") - F.col("seg") * SEGMENT, F.col("c1") - F.col("seg") * SEGMENT + 1
         get = lambda c, i: F.col(c)[i.cast("int")]
-        parts = assigned.join(sums, ["row", "seg"]).select(
+        # many parcels meet one row of a small raster: its runs are dealt out
+        parts = salted_join(materialize(assigned, "runs"), materialize(sums, "row-sums"), ["row", "seg"], "id").select(
             "id", (get("sums", b) - get("sums", a)).alias("s"), (get("counts", b) - get("counts", a)).alias("n"))
         return parts.groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").select(
             "id", (F.col("s") / F.col("n")).alias(name))
