@@ -22,6 +22,7 @@ from landsieve.operators import raster as R
 from landsieve.operators.ordering import ordered_id, spatial_order
 from landsieve.operators.repair import geometry_repair
 from landsieve.operators.spatial import clip_lines, clip_points, clip_polygons, polygon_columns
+from landsieve.session import materialize
 from landsieve.sources import readers as S
 from landsieve.sources.writers import layer_frame
 
@@ -31,10 +32,10 @@ CLIP_CELL = 0.1
 def _polygons(features: DataFrame, crs: int = K.CRS_STORAGE, only: Column | None = None) -> DataFrame:
     """Attributes as columns and ``parts`` in lon/lat, repaired; empty ones dropped.
 
-    ``only`` picks features by their attributes before any geometry is read.
+    ``only`` picks features by their attributes; they are written first, so that no other feature's geometry is read.
     """
     df = S.property_columns(features)
-    df = (df if only is None else df.filter(only)).withColumn("parts", S.parse_polygon(F.col("kind"), F.col("coordinates")))
+    df = (df if only is None else materialize(df.filter(only), "picked-features")).withColumn("parts", S.parse_polygon(F.col("kind"), F.col("coordinates")))
     if crs not in (K.CRS_STORAGE, K.CRS_SOURCE_NAD83):
         df = df.withColumn("parts", G.map_points(F.col("parts"), lambda x, y: reproject(x, y, crs, K.CRS_STORAGE)))
     df = df.drop("kind", "coordinates").filter(drop_empty_geom())
