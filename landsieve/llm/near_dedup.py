@@ -39,6 +39,8 @@ REGION = 256
 BLOCK = 512
 WORD_CACHE = 1 << 19
 BLOCK_WORDS = 1 << 19
+#: Bits at most by which texts that no region asks for are left out (16 MB, broadcast).
+WANTED_BITS = 1 << 27
 
 _rng = np.random.default_rng(20_011)
 _FACTORS = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,11 +223,27 @@ def links_within(members: list[tuple], width: int, percent: int) -> list[tuple[i
     return out
 
 
+def only_wanted(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) without most of those that are not among ``nodes``: what is left is worth a shuffle.
+
+    A bit stands for each hash of a node, some sixteen bits for a node, WANTED_BITS at most. No wanted row is lost.
+    """
+    bits = min(WANTED_BITS, 1 << max(15, (16 * nodes.count()).bit_length()))
+    number = F.pmod(F.xxhash64("node"), F.lit(bits))
+    maps = nodes.select(number.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    at = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hashed = rows.withColumn("_h", number).withColumn("_bucket", F.bitmap_bucket_number("_h"))
+    return hashed.join(F.broadcast(maps), "_bucket").filter(
+        byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop("_h", "_bucket", "_bits")
+
+
 def confirmed(members: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of all regions (region, node, root, probe).
 
     A region has few members, and its rows follow each other in one partition. Texts are dealt by node at every
-    size: a plan that turns from a broadcast to this at some size scales by surprise.
+    size, all but those of no region: a plan that turns from a broadcast to this at some size scales by surprise.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -242,7 +260,7 @@ def confirmed(members: DataFrame, bodies: DataFrame, width: int, percent: int) -
 
         yield from batches(rows(), schema)
 
-    wanted = bodies.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    wanted = only_wanted(bodies, members.select("node").distinct())
     met = members.join(wanted.hint("merge"), "node").repartition("region").sortWithinPartitions("region", "node")
     return map_batches(met.select("region", "node", "root", "probe", "packed"), run, "a long, b long").distinct()
 
@@ -283,7 +301,10 @@ def connect(has_set: DataFrame, reps: DataFrame, width: int, percent: int) -> Da
     if rest.isEmpty():
         return roots
     more = written(confirmed(rest, bodies, width, percent), "confirmed")
-    return components(links.unionByName(more))
+    if more.isEmpty():
+        return roots
+    # what is joined already comes as stars, so that few rounds are left
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, keep: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from landsieve.llm import line_dedup, near_dedup, quality, secrets
-from landsieve.llm.components import components
+from landsieve.llm.components import _to_least, components
 from tests.llm.fixtures import DOCS, frame, odd_texts, sentence
 
 BLANK = "[\x20\x09-\x0d]"
@@ -171,6 +171,25 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.without_near_duplicates(docs).count() == 0
 
 
+def test_texts_of_no_region_are_left_out_before_the_shuffle(spark):
+    """No wanted row is lost, few others stay, and rows are not shuffled for that (op8_lsh_forest)."""
+    rows = spark.range(0, 40_000).select(F.col("id").alias("node"), F.lit("text").alias("packed"))
+    nodes = spark.range(0, 40_000, 97).select(F.col("id").alias("node"))
+    got = near_dedup.only_wanted(rows, nodes)
+    found = {r["node"] for r in got.collect()}
+    assert found >= set(range(0, 40_000, 97)) and len(found) < 413 + 4_000
+    assert near_dedup.only_wanted(rows, nodes.limit(0)).isEmpty()
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_take_two_shuffles_a_round(spark):
+    """A star step deals its pairs once (op8_lsh_forest)."""
+    pairs = spark.createDataFrame([(3, 1), (3, 2), (3, 2), (4, 3)], "a long, b long")
+    step = _to_least(pairs)
+    assert step._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, step.collect())) == [(3, 1, 1), (3, 2, 1), (4, 3, 3)]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
