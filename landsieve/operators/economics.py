@@ -42,7 +42,7 @@ def affordability_blend(score: Column, affordability: Column, weight: Column | N
     w = clamp01(F.coalesce(weight, F.lit(K.AFFORDABILITY_WEIGHT)) if weight is not None else F.lit(K.AFFORDABILITY_WEIGHT))
     fit = F.coalesce((affordability >= 0) & (affordability <= 1), F.lit(False))
     share = F.when(fit, affordability).otherwise(F.raise_error(F.lit("affordability must be a number in [0, 1]")).cast("double"))
-    return F.round((F.lit(1.0) - w) * score + w * F.lit(100.0) * share, 1)
+    return round_half_away((F.lit(1.0) - w) * score + w * F.lit(100.0) * share, 1)
 
 
 def median_value_parse(responses: DataFrame, body: str = "body", year: str = "year", key: str = "county") -> DataFrame:
