@@ -79,6 +79,18 @@ def with_coordinates(points: DataFrame, needed: list[str]) -> DataFrame:
     return points.dropna(subset=needed)
 
 
+#: Decimal digits past the point in which values are summed, and the size from which they are not.
+SUM_DIGITS, SUM_LIMIT = 20, 1e8
+
+
 def grid_mean(grid: DataFrame) -> DataFrame:
-    """Mean of the solar grid."""
-    return grid.agg(F.avg("avg_ghi").alias("mean_ghi"))
+    """Mean of the solar grid, the same however its rows are dealt out.
+
+    A sum of doubles depends on the order of its rows, by enough to move a mean that lies on a rounding tie. Values are
+    summed as decimals instead, without error; a grid with a value that such a decimal can't hold has the plain mean.
+    """
+    v = F.col("avg_ghi").cast("double")
+    exact = F.when(F.abs(v) < SUM_LIMIT, v.cast(f"decimal(28,{SUM_DIGITS})"))
+    held = F.coalesce(exact.cast("double") == v, F.lit(False))
+    mean = F.try_divide(F.sum(exact).cast("double"), F.count(exact))
+    return grid.agg(F.when(F.bool_and(F.when(v.isNotNull(), held)), mean).otherwise(F.avg(v)).alias("mean_ghi"))
