@@ -11,7 +11,7 @@ import math
 import numpy as np
 
 #: Tests of places that cost about as much as the look-ups in one strip, and centres that are worked on at once.
-STRIP_COST, AT_ONCE = 60, 4096
+STRIP_COST, AT_ONCE = 12, 4096
 #: Bits of the two whole numbers a value is split into: running totals of these are exact.
 HIGH_BITS, LOW_BITS = 60, 40
 
